@@ -1,61 +1,35 @@
-"""Array building blocks that Spark's higher-order functions lack."""
+"""Running folds over arrays, which Spark's higher-order functions lack."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from textwarden.functions.sql import let
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# Running folds work on chunks of this many elements, so that appending to an array stays cheap for texts
-# with very many matches.
+# The folds work on chunks of this many elements, so that appending to an array stays cheap for texts with
+# very many matches.
 CHUNK = 512
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
+def running_sum(values: str) -> str:
+    """For each element of a non-empty ``ARRAY<INT>`` the sum of the elements before it."""
+    return _running(values, "{a} + {b}")
 
-def running(values: Column, op: Callable[[Column, Column], Column], zero: int = 0) -> Column:
-    """Exclusive running fold of a non-empty ``ARRAY<INT>``: element i folds all elements before i.
 
-    ``op`` must be associative with ``zero`` as its neutral element (sum, greatest).
-    """
-    start = F.lit(zero).cast("int")
-    empty = F.array().cast("array<int>")
+def running_max(values: str) -> str:
+    """For each element of a non-empty array of non-negative ``INT`` the greatest element before it, or 0."""
+    return _running(values, "greatest({a}, {b})")
 
-    def scan(items: Column) -> Column:
-        return F.aggregate(
-            items,
-            F.struct(start.alias("total"), empty.alias("before")),
-            lambda acc, x: F.struct(
-                op(acc["total"], x).cast("int").alias("total"),
-                F.concat(acc["before"], F.array(acc["total"])).alias("before"),
-            ),
-        )
 
-    def over(arr: Column) -> Column:
-        chunks = F.transform(
-            F.sequence(F.lit(1), F.size(arr), F.lit(CHUNK)), lambda at: scan(F.slice(arr, at, F.lit(CHUNK)))
-        )
-        return let(
-            chunks,
-            lambda cs: F.flatten(
-                F.zip_with(
-                    cs,
-                    scan(F.transform(cs, lambda c: c["total"]))["before"],
-                    lambda c, base: F.transform(c["before"], lambda v: op(base, v).cast("int")),
-                )
-            ),
+def _running(values: str, op: str) -> str:
+    def scan(items: str) -> str:
+        total = op.format(a="acc.total", b="item")
+        return (
+            f"aggregate({items}, struct(0 AS total, CAST(array() AS array<int>) AS before), (acc, item) -> "
+            f"struct({total} AS total, concat(acc.before, array(acc.total)) AS before))"
         )
 
-    return let(values, over)
-
-
-def running_sum(values: Column) -> Column:
-    return running(values, lambda a, b: a + b)
-
-
-def running_max(values: Column) -> Column:
-    return running(values, lambda a, b: F.greatest(a, b))
+    chunks = f"transform(sequence(1, size(arr), {CHUNK}), first -> {scan(f'slice(arr, first, {CHUNK})')})"
+    joined = (
+        f"flatten(zip_with(chunks, {scan('transform(chunks, c -> c.total)')}.before, "
+        f"(chunk, base) -> transform(chunk.before, v -> {op.format(a='base', b='v')})))"
+    )
+    return let("arr", values, let("chunks", chunks, joined))

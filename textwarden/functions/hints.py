@@ -7,10 +7,8 @@ part of a regex search, and most texts have none of them.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from textwarden.functions.sql import lit
 
 # These letters equal ASCII letters when a regex ignores case, but lower() does not turn them into those.
 FOLDING_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
@@ -19,28 +17,24 @@ FOLDING_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
 DIGIT_RUN = r"\d(?:\d\d|\.\d)"
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def contains_any(text: str, literals: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {lit(x)})" for x in literals) + ")"
 
 
-def contains_any(text: Column, literals: Iterable[str]) -> Column:
-    return any_of(F.contains(text, F.lit(x)) for x in literals)
-
-
-def odd_letters(text: Column) -> Column:
+def odd_letters(text: str) -> str:
     """Whether hints about letters cannot be trusted for this text."""
     return contains_any(text, FOLDING_LETTERS)
 
 
-def digit_run(text: Column, unicode: bool = True) -> Column:
-    return text.rlike(("(?U)" if unicode else "") + DIGIT_RUN)
+def digit_run(text: str, unicode: bool = True) -> str:
+    return f"rlike({text}, {lit(('(?U)' if unicode else '') + DIGIT_RUN)})"
 
 
-def may_match(lowered: Column, odd: Column, hints: tuple[str, ...]) -> Column | None:
-    """Condition under which a regex with these hints can match at all; None if nothing is known."""
+def may_match(lowered: str, odd: str, hints: tuple[str, ...]) -> str:
+    """Condition under which a regex with these hints can match at all."""
     if not hints:
-        return None
+        return "true"
     found = contains_any(lowered, hints)
     if any(ch.isalpha() for hint in hints for ch in hint):
-        found = found | odd
+        found = f"({found} OR {odd})"
     return found

@@ -1,15 +1,13 @@
-"""Personal data and secrets: matches, redaction and summaries as Column expressions."""
+"""Personal data and secrets: matches, redaction and summaries as SQL expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from textwarden.functions.arrays import let, running_max
+from textwarden.functions.arrays import running_max
 from textwarden.functions.hints import digit_run, may_match, odd_letters
 from textwarden.functions.spans import mark_matches, marked_spans
+from textwarden.functions.sql import array, let, lit, struct
 from textwarden.functions.text import luhn_valid
 from textwarden.sources.catalogs import SEVERITIES, Pattern
 
@@ -17,96 +15,64 @@ STYLE_TYPE = "[REDACTED-TYPE]"
 STYLE_XXX = "[REDACTED-XXX]"
 STYLE_DEFAULT = "[REDACTED]"
 
-MATCHES_TYPE = (
-    "array<struct<type:string,name:string,value:string,start:int,end:int,severity:string,confidence:double>>"
+MATCH_TYPE = (
+    "struct<type:string,name:string,value:string,start:int,end:int,severity:string,confidence:double>"
 )
 
 
-def detect_pii(
-    text: Column, patterns: Iterable[Pattern], lowered: Column | None = None, unicode: bool = True
-) -> Column:
-    """All matches of all patterns as ``MATCHES_TYPE``, ordered by start, ties in catalog order.
+def detect_pii(text: str, patterns: Iterable[Pattern], lowered: str | None = None, unicode: bool = True) -> str:
+    """All matches of all patterns as ``ARRAY<MATCH_TYPE>``, ordered by start, ties in catalog order.
 
     ``lowered`` is the lower-cased text, if the caller already has it as a column.
     """
     patterns = tuple(patterns)
     if not patterns:
-        return F.when(text.isNotNull(), F.array().cast(MATCHES_TYPE))
-    labels = F.array(
-        *[
-            F.struct(
-                F.lit(p.type).alias("type"),
-                F.lit(p.name).alias("name"),
-                F.lit(p.severity).alias("severity"),
-                F.lit(p.validator == "luhn").alias("luhn"),
-            )
-            for p in patterns
-        ]
+        return f"if({text} IS NULL, NULL, {array([], MATCH_TYPE)})"
+    labels = array(
+        struct(type=lit(p.type), name=lit(p.name), severity=lit(p.severity), luhn=lit(p.validator == "luhn"))
+        for p in patterns
     )
-
-    def marked(t: Column) -> Column:
-        texts = [
-            F.struct(F.lit(i).alias("ordinal"), _marked(t, p, unicode).alias("marked"))
-            for i, p in enumerate(patterns)
-        ]
-        return F.filter(F.array(*texts), lambda m: m["marked"].isNotNull())
-
+    # Marked texts of the patterns that occur; other patterns take none of the marking and splitting.
+    marked = array(
+        struct(ordinal=lit(i), marked=_marked(p, unicode)) for i, p in enumerate(patterns)
+    )
+    shared = struct(
+        text=text,
+        lowered=f"lower({text})" if lowered is None else lowered,
+        odd=odd_letters(text),
+        digits=digit_run(text, unicode),
+    )
+    occurring = let("t", shared, f"filter({marked}, m -> m.marked IS NOT NULL)")
     # The sort key (start, ordinal) leads.
-    spans = F.flatten(
-        F.transform(
-            let(
-                F.struct(
-                    text.alias("text"),
-                    (F.lower(text) if lowered is None else lowered).alias("lowered"),
-                    odd_letters(text).alias("odd"),
-                    digit_run(text, unicode).alias("digits"),
-                ),
-                marked,
-            ),
-            lambda m: F.transform(
-                marked_spans(m["marked"]),
-                lambda s: F.struct(
-                    s["start"].alias("start"),
-                    m["ordinal"].alias("ordinal"),
-                    s["end"].alias("end"),
-                    s["value"].alias("value"),
-                ),
-            ),
-        )
+    spans = (
+        f"flatten(transform({occurring}, m -> transform({marked_spans('m.marked')}, "
+        "s -> struct(s.start AS start, m.ordinal AS ordinal, s.end AS end, s.value AS value))))"
     )
     if any(p.validator == "luhn" for p in patterns):
-        spans = F.filter(spans, lambda s: ~F.get(labels, s["ordinal"])["luhn"] | luhn_valid(s["value"]))
-
-    def labelled(s: Column) -> Column:
-        label = F.get(labels, s["ordinal"])
-        return F.struct(
-            label["type"].alias("type"),
-            label["name"].alias("name"),
-            s["value"].alias("value"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            label["severity"].alias("severity"),
-            F.lit(1.0).alias("confidence"),
-        )
-
-    return F.when(text.isNotNull(), F.transform(F.array_sort(spans), labelled))
+        spans = f"filter({spans}, s -> NOT get({labels}, s.ordinal).luhn OR {luhn_valid('s.value')})"
+    label = f"get({labels}, s.ordinal)"
+    match = struct(
+        type=f"{label}.type",
+        name=f"{label}.name",
+        value="s.value",
+        start="s.start",
+        end="s.end",
+        severity=f"{label}.severity",
+        confidence=lit(1.0),
+    )
+    return f"if({text} IS NULL, NULL, transform(array_sort({spans}), s -> {match}))"
 
 
-def _marked(t: Column, pattern: Pattern, unicode: bool) -> Column:
-    # Null unless the pattern occurs, so that other texts take none of the marking and splitting.
+def _marked(pattern: Pattern, unicode: bool) -> str:
     regex = pattern.regex(unicode)
-    occurs = t["text"].rlike(regex)
+    tests = [f"rlike(t.text, {lit(regex)})"]
     if pattern.digits:
-        occurs = t["digits"] & occurs
-    hinted = may_match(t["lowered"], t["odd"], pattern.hints)
-    if hinted is not None:
-        occurs = hinted & occurs
-    return F.when(occurs, mark_matches(t["text"], regex, pattern.value_group))
+        tests.insert(0, "t.digits")
+    tests.insert(0, may_match("t.lowered", "t.odd", pattern.hints))
+    return f"if({' AND '.join(tests)}, {mark_matches('t.text', regex, pattern.value_group)}, NULL)"
 
 
-def redact_pii(
-    text: Column, matches: Column, style: str = STYLE_DEFAULT, overlap: str = "merge"
-) -> Column:
+def redact_pii(text: str, matches: str, style: str = STYLE_DEFAULT, overlap: str = "merge") -> str:
     """Replace the matches in ``text``.
 
     ``[REDACTED-TYPE]`` names what was found, ``[REDACTED-XXX]`` keeps the length, any other style is inserted
@@ -118,118 +84,72 @@ def redact_pii(
         redacted = _redact_spliced(text, matches, style)
     else:
         raise ValueError(f"overlap must be 'merge' or 'splice', not {overlap!r}")
-    return F.when(F.size(matches) > 0, redacted).otherwise(text)
+    return f"if(size({matches}) > 0, {redacted}, {text})"
 
 
-def _replacement(style: str, name: Column, length: Column) -> Column:
+def _replacement(style: str, name: str, length: str) -> str:
     if style == STYLE_TYPE:
-        return F.concat(F.lit("[REDACTED-"), F.upper(name), F.lit("]"))
+        return f"concat('[REDACTED-', upper({name}), ']')"
     if style == STYLE_XXX:
-        return F.concat(F.lit("["), F.repeat(F.lit("X"), F.greatest(length - 2, F.lit(0))), F.lit("]"))
-    return F.lit(style)
+        return f"concat('[', repeat('X', greatest({length} - 2, 0)), ']')"
+    return lit(style)
 
 
-def _redact_spliced(text: Column, matches: Column, style: str) -> Column:
+def _redact_spliced(text: str, matches: str, style: str) -> str:
     # From right to left with the offsets of the original text, also where spans overlap.
-    backwards = F.array_sort(
-        F.transform(
-            matches,
-            lambda m, i: F.struct(
-                (-m["start"]).alias("back"),
-                i.alias("i"),
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                m["name"].alias("name"),
-            ),
-        )
+    backwards = (
+        f"array_sort(transform({matches}, (m, i) -> "
+        "struct(-m.start AS back, i AS i, m.start AS start, m.end AS end, m.name AS name)))"
     )
-    return F.aggregate(
-        backwards,
-        text,
-        lambda acc, m: F.concat(
-            F.substr(acc, F.lit(1), m["start"]),
-            _replacement(style, m["name"], m["end"] - m["start"]),
-            F.substr(acc, m["end"] + 1),
-        ),
+    replacement = _replacement(style, "m.name", "m.end - m.start")
+    return (
+        f"aggregate({backwards}, {text}, (acc, m) -> "
+        f"concat(substr(acc, 1, m.start), {replacement}, substr(acc, m.end + 1)))"
     )
 
 
-def _redact_merged(text: Column, matches: Column, style: str) -> Column:
+def _redact_merged(text: str, matches: str, style: str) -> str:
     # Earliest first and longest first among equals, so the first span of a run of overlaps lends its name.
-    ordered = F.array_sort(
-        F.transform(
-            matches,
-            lambda m, i: F.struct(
-                m["start"].alias("start"),
-                (-m["end"]).alias("back"),
-                i.alias("i"),
-                m["end"].alias("end"),
-                m["name"].alias("name"),
-            ),
-        )
+    ordered = (
+        f"array_sort(transform({matches}, (m, i) -> "
+        "struct(m.start AS start, -m.end AS back, i AS i, m.end AS end, m.name AS name)))"
+    )
+    # A run of overlaps begins where nothing before it reaches, and ends where the text was covered when the
+    # next run began.
+    runs = (
+        f"filter(zip_with(ms, {running_max('transform(ms, m -> m.end)')}, "
+        "(m, covered) -> struct(m.start AS start, m.name AS name, covered AS covered)), r -> r.start >= r.covered)"
+    )
+    end = "coalesce(get(rs, k + 1).covered, last)"
+    piece = (
+        f"concat(substr({text}, r.covered + 1, r.start - r.covered), {_replacement(style, 'r.name', f'{end} - r.start')})"
+    )
+    rebuilt = f"concat(array_join(transform(rs, (r, k) -> {piece}), ''), substr({text}, last + 1))"
+    return let(
+        "ms", ordered, let("last", "array_max(transform(ms, m -> m.end))", let("rs", runs, rebuilt))
     )
-
-    def runs(ms: Column) -> Column:
-        covered = running_max(F.transform(ms, lambda m: m["end"]))
-        return F.filter(
-            F.zip_with(
-                ms,
-                covered,
-                lambda m, c: F.struct(
-                    m["start"].alias("start"), m["name"].alias("name"), c.alias("covered")
-                ),
-            ),
-            lambda r: r["start"] >= r["covered"],
-        )
-
-    def rebuild(ms: Column) -> Column:
-        last_end = F.array_max(F.transform(ms, lambda m: m["end"]))
-
-        def pieces(rs: Column) -> Column:
-            def one(r: Column, k: Column) -> Column:
-                # A run ends where the text was covered when the next run began.
-                end = F.coalesce(F.get(rs, k + 1)["covered"], last_end)
-                return F.concat(
-                    F.substr(text, r["covered"] + 1, r["start"] - r["covered"]),
-                    _replacement(style, r["name"], end - r["start"]),
-                )
-
-            return F.concat(F.array_join(F.transform(rs, one), ""), F.substr(text, last_end + 1))
-
-        return let(runs(ms), pieces)
-
-    return let(ordered, rebuild)
 
 
-def pii_types(matches: Column) -> Column:
+def pii_types(matches: str) -> str:
     """Distinct pattern types, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["type"])))
-
+    return f"array_sort(array_distinct(transform({matches}, m -> m.type)))"
 
-def count_field(items: Column, field: str, value: str) -> Column:
-    """How many structs of an array have ``value`` in ``field``."""
-    return F.size(F.filter(items, lambda x: x[field] == value))
 
-
-def count_map(keys: Column) -> Column:
+def count_map(keys: str) -> str:
     """``MAP<STRING, INT>`` of the occurrences of each string in an array."""
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(keys),
-            lambda k: F.struct(k.alias("key"), F.size(F.filter(keys, lambda x: x == k)).alias("value")),
-        )
-    )
+    return f"map_from_entries(transform(array_distinct({keys}), k -> struct(k, size(filter({keys}, x -> x = k)))))"
 
 
-def severity_counts(items: Column) -> Column:
-    return F.struct(*[count_field(items, "severity", s).alias(s) for s in SEVERITIES])
+def field_counts(items: str, field: str, values: Iterable[str]) -> str:
+    """Struct with the number of structs that have each of ``values`` in ``field``."""
+    return struct(**{v: f"size(filter({items}, x -> x.{field} = {lit(v)}))" for v in values})
 
 
-def pii_summary(matches: Column) -> Column:
+def pii_summary(matches: str) -> str:
     """Total, counts by type and severity, and the distinct names found in one text."""
-    return F.struct(
-        F.size(matches).alias("total_count"),
-        count_map(F.transform(matches, lambda m: m["type"])).alias("by_type"),
-        severity_counts(matches).alias("by_severity"),
-        F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["name"]))).alias("unique_types"),
+    return struct(
+        total_count=f"size({matches})",
+        by_type=count_map(f"transform({matches}, m -> m.type)"),
+        by_severity=field_counts(matches, "severity", SEVERITIES),
+        unique_types=f"array_sort(array_distinct(transform({matches}, m -> m.name)))",
     )

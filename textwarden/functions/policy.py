@@ -1,4 +1,4 @@
-"""Policy checks as Column expressions."""
+"""Policy checks as SQL expressions."""
 
 from __future__ import annotations
 
@@ -6,130 +6,107 @@ import re
 from collections.abc import Iterable
 from itertools import zip_longest
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from textwarden.functions.arrays import let
 from textwarden.functions.hints import may_match, odd_letters
-from textwarden.functions.pii import count_field, count_map, severity_counts
-from textwarden.sources.catalogs import ACTIONS, Policy, java_regex
+from textwarden.functions.pii import count_map, field_counts
+from textwarden.functions.sql import array, let, lit, struct
+from textwarden.sources.catalogs import ACTIONS, SEVERITIES, Policy, java_regex
 
-VIOLATIONS_TYPE = (
-    "array<struct<policy_name:string,category:string,matched_keyword:string,action:string,"
-    "message:string,severity:string,confidence:double>>"
+VIOLATION_TYPE = (
+    "struct<policy_name:string,category:string,matched_keyword:string,action:string,"
+    "message:string,severity:string,confidence:double>"
 )
 POLICY_MARK = "[POLICY-REDACTED]"
 
 
-def matched_rule(
-    text: Column, policy: Policy, lowered: Column, odd: Column, unicode: bool = True, whole_word: bool = False
-) -> Column:
-    """The first keyword found in the text, else the first regex (as ``pattern: ...``), else null."""
-    tests = []
-    for keyword in policy.keywords:
-        hit = F.contains(lowered, F.lit(keyword.lower()))
-        if whole_word:
-            hit = hit & text.rlike(java_regex(rf"\b{re.escape(keyword)}\b", unicode))
-        tests.append(F.when(hit, F.lit(keyword)))
-    for regex, hints in zip_longest(policy.regex_patterns, policy.regex_hints, fillvalue=()):
-        hit = text.rlike(java_regex(regex, unicode))
-        hinted = may_match(lowered, odd, hints)
-        if hinted is not None:
-            hit = hinted & hit
-        tests.append(F.when(hit, F.lit(f"pattern: {regex}")))
-    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
-
-
 def check_policies(
-    text: Column,
+    text: str,
     policies: Iterable[Policy],
-    lowered: Column | None = None,
+    lowered: str | None = None,
     unicode: bool = True,
     whole_word: bool = False,
-) -> Column:
-    """At most one violation per policy, in catalog order, as ``VIOLATIONS_TYPE``.
+) -> str:
+    """At most one violation per policy, in catalog order, as ``ARRAY<VIOLATION_TYPE>``.
 
     ``lowered`` is the lower-cased text, if the caller already has it as a column.
     """
     policies = tuple(policies)
     if not policies:
-        return F.when(text.isNotNull(), F.array().cast(VIOLATIONS_TYPE))
-
-    def check(t: Column) -> Column:
-        checked = [
-            F.struct(
-                F.lit(p.name).alias("policy_name"),
-                F.lit(p.category).alias("category"),
-                matched_rule(t["text"], p, t["lowered"], t["odd"], unicode, whole_word).alias("matched_keyword"),
-                F.lit(p.action).alias("action"),
-                F.lit(p.message).alias("message"),
-                F.lit(p.severity).alias("severity"),
-                F.lit(1.0).alias("confidence"),
-            )
-            for p in policies
-        ]
-        return F.filter(F.array(*checked), lambda v: v["matched_keyword"].isNotNull())
-
-    shared = F.struct(
-        text.alias("text"),
-        (F.lower(text) if lowered is None else lowered).alias("lowered"),
-        odd_letters(text).alias("odd"),
+        return f"if({text} IS NULL, NULL, {array([], VIOLATION_TYPE)})"
+    checked = array(
+        struct(
+            policy_name=lit(p.name),
+            category=lit(p.category),
+            matched_keyword=_matched_rule(p, unicode, whole_word),
+            action=lit(p.action),
+            message=lit(p.message),
+            severity=lit(p.severity),
+            confidence=lit(1.0),
+        )
+        for p in policies
+    )
+    shared = struct(
+        text=text, lowered=f"lower({text})" if lowered is None else lowered, odd=odd_letters(text)
     )
-    return F.when(text.isNotNull(), let(shared, check))
+    found = let("t", shared, f"filter({checked}, v -> v.matched_keyword IS NOT NULL)")
+    return f"if({text} IS NULL, NULL, {found})"
 
 
-def should_block(violations: Column) -> Column:
-    return F.exists(violations, lambda v: v["action"] == "block")
+def _matched_rule(policy: Policy, unicode: bool, whole_word: bool) -> str:
+    """The first keyword found in the text, else the first regex (as ``pattern: ...``), else null."""
+    cases = []
+    for keyword in policy.keywords:
+        hit = f"contains(t.lowered, {lit(keyword.lower())})"
+        if whole_word:
+            hit += f" AND rlike(t.text, {lit(java_regex(rf'\b{re.escape(keyword)}\b', unicode))})"
+        cases.append(f"WHEN {hit} THEN {lit(keyword)}")
+    for regex, hints in zip_longest(policy.regex_patterns, policy.regex_hints, fillvalue=()):
+        hit = f"{may_match('t.lowered', 't.odd', hints)} AND rlike(t.text, {lit(java_regex(regex, unicode))})"
+        cases.append(f"WHEN {hit} THEN {lit(f'pattern: {regex}')}")
+    return f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS string)"
 
 
-def policy_summary(violations: Column) -> Column:
+def should_block(violations: str) -> str:
+    return f"exists({violations}, v -> v.action = 'block')"
+
+
+def policy_summary(violations: str) -> str:
     """Total, blocking or not, counts by category, severity and action, and the distinct messages in order."""
-    return F.struct(
-        F.size(violations).alias("total_violations"),
-        should_block(violations).alias("should_block"),
-        count_map(F.transform(violations, lambda v: v["category"])).alias("by_category"),
-        severity_counts(violations).alias("by_severity"),
-        F.struct(*[count_field(violations, "action", a).alias(a) for a in ACTIONS]).alias("by_action"),
-        F.array_distinct(F.transform(violations, lambda v: v["message"])).alias("messages"),
+    return struct(
+        total_violations=f"size({violations})",
+        should_block=should_block(violations),
+        by_category=count_map(f"transform({violations}, v -> v.category)"),
+        by_severity=field_counts(violations, "severity", SEVERITIES),
+        by_action=field_counts(violations, "action", ACTIONS),
+        messages=f"array_distinct(transform({violations}, v -> v.message))",
     )
 
 
-def apply_policy_actions(text: Column, violations: Column, unicode: bool = True) -> Column:
+def apply_policy_actions(text: str, violations: str, unicode: bool = True) -> str:
     """Carry out what the violations ask for: withhold the text, warn, or replace what was matched.
 
     A regex is replaced in any case of letters, a keyword only as it is written in the catalog.
     """
-    flags = java_regex("", unicode)
-
-    def redact(current: Column, v: Column) -> Column:
-        regex = F.replace(F.replace(v["matched_keyword"], F.lit("pattern: "), F.lit("")), F.lit("(?P<"), F.lit("(?<"))
-        return F.when(
-            F.startswith(v["matched_keyword"], F.lit("pattern:")),
-            F.regexp_replace(current, F.concat(F.lit(flags), regex), F.lit(POLICY_MARK)),
-        ).otherwise(F.replace(current, v["matched_keyword"], F.lit(POLICY_MARK)))
-
-    redacted = F.aggregate(F.filter(violations, lambda v: v["action"] == "redact"), text, redact)
-    done = F.transform(
-        F.filter(violations, lambda v: v["action"] != "allow"),
-        lambda v: F.when(v["action"] == "block", F.concat(F.lit("BLOCKED: "), v["message"]))
-        .when(v["action"] == "warn", F.concat(F.lit("WARNING: "), v["message"]))
-        .otherwise(F.concat(F.lit("REDACTED: "), v["matched_keyword"])),
+    regex = "replace(replace(v.matched_keyword, 'pattern: ', ''), '(?P<', '(?<')"
+    redacted = (
+        f"aggregate(filter({violations}, v -> v.action = 'redact'), {text}, (acc, v) -> "
+        f"if(startswith(v.matched_keyword, 'pattern:'), "
+        f"regexp_replace(acc, concat({lit(java_regex('', unicode))}, {regex}), {lit(POLICY_MARK)}), "
+        f"replace(acc, v.matched_keyword, {lit(POLICY_MARK)})))"
     )
-    return F.struct(
-        text.alias("original_text"),
-        F.when(~should_block(violations), redacted).alias("processed_text"),
-        should_block(violations).alias("blocked"),
-        F.transform(
-            F.filter(violations, lambda v: v["action"] == "warn"), lambda v: v["message"]
-        ).alias("warnings"),
-        done.alias("applied_actions"),
+    done = (
+        f"transform(filter({violations}, v -> v.action != 'allow'), v -> CASE v.action "
+        "WHEN 'block' THEN concat('BLOCKED: ', v.message) WHEN 'warn' THEN concat('WARNING: ', v.message) "
+        "ELSE concat('REDACTED: ', v.matched_keyword) END)"
+    )
+    return struct(
+        original_text=text,
+        processed_text=f"if({should_block(violations)}, NULL, {redacted})",
+        blocked=should_block(violations),
+        warnings=f"transform(filter({violations}, v -> v.action = 'warn'), v -> v.message)",
+        applied_actions=done,
     )
 
 
-def decide_action(violations: Column) -> Column:
+def decide_action(violations: str) -> str:
     """``blocked`` if any violation blocks, ``warned`` if there is any, else ``allowed``."""
-    return (
-        F.when(should_block(violations), F.lit("blocked"))
-        .when(F.size(violations) > 0, F.lit("warned"))
-        .otherwise(F.lit("allowed"))
-    )
+    return f"CASE WHEN {should_block(violations)} THEN 'blocked' WHEN size({violations}) > 0 THEN 'warned' ELSE 'allowed' END"

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from textwarden.functions.sql import let, lookup, struct
 
 # Points, thresholds and texts.
 PII_POINTS = {"critical": 10, "high": 7, "medium": 4, "low": 2}
@@ -11,7 +10,8 @@ PII_POINTS_OTHER = 4
 POLICY_POINTS = {"block": 10, "warn": 5, "allow": 0}
 POLICY_POINTS_OTHER = 5
 MAX_SCORE = 100
-LEVELS = (("critical", 70), ("high", 40), ("medium", 20), ("low", 0))
+LEVELS = {"critical": 70, "high": 40, "medium": 20}
+LOWEST_LEVEL = "low"
 RECOMMENDATIONS = {
     "critical": "Do not send. Multiple critical issues detected.",
     "high": "Review and remediate before sending.",
@@ -21,45 +21,40 @@ RECOMMENDATIONS = {
 RECOMMENDATION_OTHER = "Review before sending."
 
 
-def _lookup(key: Column, table: dict, other) -> Column:
-    cases = None
-    for k, v in table.items():
-        cases = F.when(key == k, F.lit(v)) if cases is None else cases.when(key == k, F.lit(v))
-    return cases.otherwise(F.lit(other))
+def _points(items: str, field: str, table: dict, other: int) -> str:
+    return f"aggregate({items}, 0, (acc, x) -> acc + {lookup(f'x.{field}', table, other)})"
 
 
-def _points(items: Column, field: str, table: dict, other: int) -> Column:
-    return F.aggregate(items, F.lit(0), lambda acc, x: acc + _lookup(x[field], table, other))
-
-
-def pii_score(matches: Column) -> Column:
+def pii_score(matches: str) -> str:
     return _points(matches, "severity", PII_POINTS, PII_POINTS_OTHER)
 
 
-def policy_score(violations: Column) -> Column:
+def policy_score(violations: str) -> str:
     return _points(violations, "action", POLICY_POINTS, POLICY_POINTS_OTHER)
 
 
-def risk_level(score: Column) -> Column:
-    cases = F.when(score >= LEVELS[0][1], F.lit(LEVELS[0][0]))
-    for level, least in LEVELS[1:-1]:
-        cases = cases.when(score >= least, F.lit(level))
-    return cases.otherwise(F.lit(LEVELS[-1][0]))
+def risk_level(score: str) -> str:
+    cases = " ".join(f"WHEN {score} >= {least} THEN '{level}'" for level, least in LEVELS.items())
+    return f"CASE {cases} ELSE '{LOWEST_LEVEL}' END"
 
 
-def risk_recommendation(level: Column) -> Column:
-    return _lookup(level, RECOMMENDATIONS, RECOMMENDATION_OTHER)
+def risk_recommendation(level: str) -> str:
+    return lookup(level, RECOMMENDATIONS, RECOMMENDATION_OTHER)
 
 
-def risk_score(matches: Column, violations: Column) -> Column:
+def risk_score(matches: str, violations: str) -> str:
     """``STRUCT<score, level, pii_score, policy_score, recommendation>``."""
-    pii, policy = pii_score(matches), policy_score(violations)
-    score = F.least(pii + policy, F.lit(MAX_SCORE))
+    points = struct(pii=pii_score(matches), policy=policy_score(violations))
+    score = f"least(p.pii + p.policy, {MAX_SCORE})"
     level = risk_level(score)
-    return F.struct(
-        score.alias("score"),
-        level.alias("level"),
-        pii.alias("pii_score"),
-        policy.alias("policy_score"),
-        risk_recommendation(level).alias("recommendation"),
+    return let(
+        "p",
+        points,
+        struct(
+            score=score,
+            level=level,
+            pii_score="p.pii",
+            policy_score="p.policy",
+            recommendation=risk_recommendation(level),
+        ),
     )

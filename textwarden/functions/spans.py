@@ -7,51 +7,39 @@ up to the start offsets. All of it runs in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from textwarden.functions.arrays import let, running_sum
+from textwarden.functions.arrays import running_sum
+from textwarden.functions.sql import let, lit
 
 # Noncharacters: never valid in interchanged text. Texts that hold them all the same see U+FFFD in values.
-OPEN, GROUP, CLOSE = "﷐", "﷒", "﷑"
+OPEN, GROUP, CLOSE = "\ufdd0", "\ufdd2", "\ufdd1"
 
 
-def mark_matches(text: Column, regex: str, group: int = 0) -> Column:
+def mark_matches(text: str, regex: str, group: int = 0) -> str:
     """``text`` with every match of a Java regex wrapped as OPEN match GROUP value CLOSE."""
-    clean = F.translate(text, OPEN + GROUP + CLOSE, "�" * 3)
-    return F.regexp_replace(clean, regex, f"{OPEN}$0{GROUP}${group}{CLOSE}")
+    clean = f"translate({text}, {lit(OPEN + GROUP + CLOSE)}, {lit(chr(0xFFFD) * 3)})"
+    return f"regexp_replace({clean}, {lit(regex)}, {lit(f'{OPEN}$0{GROUP}${group}{CLOSE}')})"
 
 
-def marked_spans(marked: Column) -> Column:
+def marked_spans(marked: str) -> str:
     """``ARRAY<STRUCT<start, end, value>>`` of the matches in a marked text, leftmost first.
 
     Offsets count code points of the unmarked text from 0, ``end`` is exclusive and covers the whole match.
     """
-
-    def piece(p: Column, i: Column) -> Column:
-        # Piece 0 is the text before the first match; the others are: match, value, rest up to the next match.
-        head = F.substring_index(p, CLOSE, 1)
-        match = F.length(F.substring_index(head, GROUP, 1))
-        first = i == 0
-        return F.struct(
-            F.when(first, F.length(p)).otherwise(F.length(p) - F.length(head) - 1 + match).alias("width"),
-            F.when(first, 0).otherwise(match).alias("matched"),
-            F.substr(head, match + 2).alias("value"),
-        )
-
-    def locate(ps: Column) -> Column:
-        spans = F.zip_with(
-            ps,
-            running_sum(F.transform(ps, lambda p: p["width"])),
-            lambda p, s: F.struct(
-                s.alias("start"), (s + p["matched"]).alias("end"), p["value"].alias("value")
-            ),
-        )
-        return F.slice(spans, F.lit(2), F.size(ps))
-
-    return let(F.transform(F.split(marked, OPEN, -1), piece), locate)
-
-
-def find_spans(text: Column, regex: str, group: int = 0) -> Column:
+    # Piece 0 is the text before the first match; the others are: match, value, rest up to the next match.
+    head = f"substring_index(p, {lit(CLOSE)}, 1)"
+    match = f"length(substring_index({head}, {lit(GROUP)}, 1))"
+    piece = (
+        f"struct(if(i = 0, length(p), length(p) - length({head}) - 1 + {match}) AS width, "
+        f"if(i = 0, 0, {match}) AS matched, substr({head}, {match} + 2) AS value)"
+    )
+    spans = (
+        f"zip_with(ps, {running_sum('transform(ps, p -> p.width)')}, "
+        "(p, s) -> struct(s AS start, s + p.matched AS end, p.value AS value))"
+    )
+    pieces = f"transform(split({marked}, {lit(OPEN)}, -1), (p, i) -> {piece})"
+    return let("ps", pieces, f"slice({spans}, 2, size(ps))")
+
+
+def find_spans(text: str, regex: str, group: int = 0) -> str:
     """Spans of all non-overlapping matches of a Java regex; ``value`` is capture group ``group`` (0: all)."""
     return marked_spans(mark_matches(text, regex, group))

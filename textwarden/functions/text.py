@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from textwarden.functions.sql import lit
 
 
-def luhn_valid(number: Column) -> Column:
+def luhn_valid(number: str) -> str:
     """Luhn check of a number written with optional dashes and blanks; anything else is false."""
-    digits = F.regexp_replace(number, r"(?U)[-\s]", "")
-    return F.when(digits == "", F.lit(False)).otherwise(F.call_function("luhn_check", digits))
+    digits = f"regexp_replace({number}, {lit(r'(?U)[-\s]')}, '')"
+    return f"if({digits} = '', false, luhn_check({digits}))"
 
 
-def truncate_text(text: Column, max_length: int = 100) -> Column:
+def truncate_text(text: str, max_length: int = 100) -> str:
     """Cut texts longer than ``max_length`` code points and end them with ``...``."""
-    return F.when(
-        F.length(text) > max_length,
-        F.concat(_head(text, max_length - 3), F.lit("...")),
-    ).otherwise(text)
+    return f"if(length({text}) > {max_length}, concat({_head(text, max_length - 3)}, '...'), {text})"
 
 
-def sanitize_for_logging(text: Column, max_length: int = 500) -> Column:
+def sanitize_for_logging(text: str, max_length: int = 500) -> str:
     """Drop control characters below blank except newline, return and tab, then cut."""
-    clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.when(
-        F.length(clean) > max_length,
-        F.concat(_head(clean, max_length), F.lit("... [truncated]")),
-    ).otherwise(clean)
+    clean = f"regexp_replace({text}, {lit(r'[\x00-\x08\x0B\x0C\x0E-\x1F]')}, '')"
+    return f"if(length({clean}) > {max_length}, concat({_head(clean, max_length)}, '... [truncated]'), {clean})"
 
 
-def _head(text: Column, n: int) -> Column:
+def _head(text: str, n: int) -> str:
     # A negative count leaves off that many code points at the end, as a slice does.
-    if n >= 0:
-        return F.substring(text, 1, n)
-    return F.substr(text, F.lit(1), F.greatest(F.length(text) + n, F.lit(0)))
+    return f"substring({text}, 1, {n})" if n >= 0 else f"substring({text}, 1, greatest(length({text}) - {-n}, 0))"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.canonical import iso_timestamp
+from textwarden.functions.sql import ident, lit
 from textwarden.operators.chain import MAIN_CHAIN
 
 DEFAULT_LIMIT = 100
@@ -18,37 +19,36 @@ EXPORT_FORMATS = ("json", "csv")
 
 def audit_entries(
     scanned: DataFrame,
-    ts: Column,
-    user_id: Column | None = None,
-    session_id: Column | None = None,
-    metadata: Column | None = None,
-    chain_id: Column | None = None,
-    event_type: Column | None = None,
+    ts: str,
+    user_id: str = "NULL",
+    session_id: str = "NULL",
+    metadata: str = "map()",
+    chain_id: str = lit(MAIN_CHAIN),
+    event_type: str = "NULL",
     store_original: bool = True,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Entries for the rows of a scan; over-long texts were not scanned and are not logged.
 
-    ``store_original=False`` stores, and hashes, only the SHA-256 of the original text. Columns named in
-    ``keep`` are carried along, for instance to order the entries.
+    The arguments are SQL expressions over the columns of the scan. ``store_original=False`` stores, and
+    hashes, only the SHA-256 of the original text. Columns named in ``keep`` are carried along, for instance
+    to order the entries.
     """
-    none = F.lit(None).cast("string")
-    original = F.col("original_prompt")
-    return scanned.filter(F.col("error").isNull()).select(
-        *keep,
-        (F.lit(MAIN_CHAIN) if chain_id is None else chain_id.cast("string")).alias("chain_id"),
-        iso_timestamp(ts).alias("timestamp"),
-        ts.cast("timestamp_ntz").alias("ts"),
-        F.to_date(ts).alias("dt"),
-        (F.lit("scan") if event_type is None else F.coalesce(event_type, F.lit("scan"))).alias("event_type"),
-        (original if store_original else F.sha2(original, 256)).alias("original_text"),
-        F.col("redacted_text"),
-        F.col("pii_detected"),
-        F.col("policy_violations"),
-        F.coalesce(F.col("action"), F.lit("allowed")).alias("action_taken"),
-        (none if user_id is None else user_id.cast("string")).alias("user_id"),
-        (none if session_id is None else session_id.cast("string")).alias("session_id"),
-        (F.create_map().cast("map<string,string>") if metadata is None else metadata).alias("metadata"),
+    return scanned.filter("error IS NULL").selectExpr(
+        *[ident(c) for c in keep],
+        f"CAST({chain_id} AS string) AS chain_id",
+        f"{iso_timestamp(ts)} AS timestamp",
+        f"CAST({ts} AS timestamp_ntz) AS ts",
+        f"to_date({ts}) AS dt",
+        f"coalesce({event_type}, 'scan') AS event_type",
+        f"{'original_prompt' if store_original else 'sha2(original_prompt, 256)'} AS original_text",
+        "redacted_text",
+        "pii_detected",
+        "policy_violations",
+        "coalesce(action, 'allowed') AS action_taken",
+        f"CAST({user_id} AS string) AS user_id",
+        f"CAST({session_id} AS string) AS session_id",
+        f"CAST({metadata} AS map<string, string>) AS metadata",
     )
 
 

@@ -27,6 +27,7 @@ BLOCK_ROWS = 100_000
 BROADCAST_ROWS = 100_000
 
 MAIN_CHAIN = "main"
+HASHED = ("action_taken", "event_type", "original_text", "timestamp")
 
 
 def segment_of(seq: Column, segment_rows: int) -> Column:
@@ -139,8 +140,8 @@ def _seeded(numbered: DataFrame, segment_rows: int) -> DataFrame:
             "_seed": F.when(first, segment_seed(F.col("chain_id"), segment_of(F.col("seq"), segment_rows))).when(
                 F.col("_n") == 1, F.col("last_hash")
             ),
-            "_head": hash_head(F.col("action_taken"), F.col("event_type"), F.col("original_text")),
-            "_tail": hash_tail(F.col("timestamp")),
+            "_head": F.expr(hash_head("action_taken", "event_type", "original_text")),
+            "_tail": F.expr(hash_tail("timestamp")),
         }
     )
 
@@ -197,14 +198,13 @@ def check_chain(
     only numbers and hashes are compared with the neighbours. Where a stored link is wrong the entry is read
     and hashed again with the right one.
     """
-    hashed_cols = [F.col(c) for c in ("action_taken", "event_type", "original_text", "timestamp")]
     narrow = audit.select(
         "chain_id",
         "seq",
         "prev_hash",
         "hash",
         segment_of(F.col("seq"), block_rows).alias("_block"),
-        entry_hash(*hashed_cols, F.col("prev_hash")).alias("_own"),
+        F.expr(entry_hash(*HASHED, "prev_hash")).alias("_own"),
     )
     if limit and not newest:
         narrow = narrow.orderBy("seq", "chain_id").limit(limit)
@@ -255,9 +255,9 @@ def check_chain(
         again = audit.join(listed, ["chain_id", "seq"]).select(
             "chain_id",
             "seq",
-            entry_hash(*hashed_cols, F.col("prev_hash")).alias("_own"),
+            F.expr(entry_hash(*HASHED, "prev_hash")).alias("_own"),
             "_before",
-            entry_hash(*hashed_cols, F.col("_before")).alias("_again"),
+            F.expr(entry_hash(*HASHED, "_before")).alias("_again"),
         )
         links = links.join(again.dropDuplicates(key), key, "left")
         expected = F.when(F.col("link_ok"), expected).otherwise(F.col("_again"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from textwarden.config import ScanConfig
 from textwarden.functions import pii
+from textwarden.functions.sql import ident, lit
 from textwarden.sources.catalogs import Pattern, active_patterns
 
+SEPARATOR = "\x1f"
+
 
 def with_matches(
     df: DataFrame,
@@ -21,7 +24,7 @@ def with_matches(
 ) -> DataFrame:
     """Add the array of matches found in ``text_col``."""
     patterns = active_patterns(config.extended_patterns, custom)
-    return df.withColumn(out, pii.detect_pii(F.col(text_col), patterns, unicode=config.unicode_regex))
+    return df.withColumn(out, F.expr(pii.detect_pii(ident(text_col), patterns, unicode=config.unicode_regex)))
 
 
 def match_rows(df: DataFrame, keys: Sequence[str], matches_col: str = "matches") -> DataFrame:
@@ -42,9 +45,9 @@ def redact_table(
     style = config.redaction_style if style is None else style
     return found.withColumns(
         {
-            "redacted": pii.redact_pii(F.col(text_col), F.col("_matches"), style, config.overlap),
+            "redacted": F.expr(pii.redact_pii(ident(text_col), "_matches", style, config.overlap)),
             "pii_found": F.size("_matches"),
-            "pii_types": pii.pii_types(F.col("_matches")),
+            "pii_types": F.expr(pii.pii_types("_matches")),
         }
     ).drop("_matches")
 
@@ -54,18 +57,14 @@ def pii_totals(df: DataFrame, matches_col: str = "matches", by: Sequence[str] =
 
     Each text is counted down to one row per type before the shuffle, so texts need no distinct count.
     """
-    per_text = F.transform(
-        F.map_entries(
-            pii.count_map(F.transform(F.col(matches_col), lambda m: F.concat_ws("\t", m["type"], m["severity"])))
-        ),
-        lambda e: F.struct(
-            F.substring_index(e["key"], "\t", 1).alias("type"),
-            F.substring_index(e["key"], "\t", -1).alias("severity"),
-            e["value"].alias("n"),
-        ),
+    labels = f"transform({ident(matches_col)}, m -> concat_ws({lit(SEPARATOR)}, m.type, m.severity))"
+    per_text = (
+        f"transform(map_entries({pii.count_map(labels)}), e -> "
+        f"struct(substring_index(e.key, {lit(SEPARATOR)}, 1) AS type, "
+        f"substring_index(e.key, {lit(SEPARATOR)}, -1) AS severity, e.value AS n))"
     )
     return (
-        df.select(*by, F.inline_outer(per_text))
+        df.select(*by, F.inline_outer(F.expr(per_text)))
         .filter(F.col("type").isNotNull())
         .groupBy(*by, "type", "severity")
         .agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("texts"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textwarden.config import ScanConfig
 from textwarden.functions import policy
+from textwarden.functions.sql import ident
 from textwarden.sources.catalogs import Policy, active_policies
 
 
@@ -22,9 +23,9 @@ def with_violations(
     """Add the array of policy violations of ``text_col``."""
     policies = active_policies(config.extended_policies, custom)
     checked = policy.check_policies(
-        F.col(text_col), policies, unicode=config.unicode_regex, whole_word=config.whole_word
+        ident(text_col), policies, unicode=config.unicode_regex, whole_word=config.whole_word
     )
-    return df.withColumn(out, checked)
+    return df.withColumn(out, F.expr(checked))
 
 
 def violation_rows(df: DataFrame, keys: Sequence[str], violations_col: str = "violations") -> DataFrame:
@@ -58,4 +59,5 @@ def with_policy_actions(
     out: str = "applied",
 ) -> DataFrame:
     """Add the outcome of carrying out the violations' actions."""
-    return df.withColumn(out, policy.apply_policy_actions(F.col(text_col), F.col(violations_col), unicode))
+    applied = policy.apply_policy_actions(ident(text_col), ident(violations_col), unicode)
+    return df.withColumn(out, F.expr(applied))

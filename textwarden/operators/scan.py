@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textwarden.config import ScanConfig
 from textwarden.functions import pii, policy, risk
+from textwarden.functions.sql import ident, lit, struct
 from textwarden.sources.catalogs import Pattern, Policy, active_patterns, active_policies
 
 # Texts of the results.
@@ -34,67 +35,54 @@ def scan_table(
     Results that depend on the detections should be written before they are filtered: a filter on them is
     pushed below this projection and evaluates them again.
     """
-    kept = [c for c in df.columns if c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    fits = F.length(text) <= config.max_prompt_length
-    staged = df.select(*kept, F.when(fits, text).alias("_text")).select(
-        "*", F.lower("_text").alias("_lowered")
-    )
-    text, lowered = F.col("_text"), F.col("_lowered")
+    kept = [ident(c) for c in df.columns if c != text_col]
     patterns = active_patterns(config.extended_patterns, custom_patterns) if config.pii_detection_enabled else ()
     policies = (
         active_policies(config.extended_policies, custom_policies) if config.policy_enforcement_enabled else ()
     )
-    staged = staged.select(
-        *kept,
-        "_text",
-        pii.detect_pii(text, patterns, lowered, config.unicode_regex).alias("_matches"),
-        policy.check_policies(text, policies, lowered, config.unicode_regex, config.whole_word).alias(
-            "_violations"
-        ),
-    )
-    matches, violations = F.col("_matches"), F.col("_violations")
-    redacted = text
+    given = f"coalesce({ident(text_col)}, '')"
+    redacted = "_text"
     if config.auto_redact:
-        redacted = pii.redact_pii(text, matches, config.redaction_style, config.overlap)
-    staged = staged.select(
-        *kept,
-        "_text",
-        "_matches",
-        "_violations",
-        redacted.alias("_redacted"),
-        F.when(text.isNotNull(), policy.decide_action(violations)).alias("_action"),
-    )
-    action = F.col("_action")
-    return staged.select(
-        *kept,
-        text.alias("original_prompt"),
-        F.when(action != "blocked", F.col("_redacted")).alias("redacted_prompt"),
-        F.transform(
-            matches,
-            lambda m: F.struct(m["type"].alias("type"), m["name"].alias("name"), m["severity"].alias("severity")),
-        ).alias("pii_detected"),
-        F.transform(
-            violations,
-            lambda v: F.struct(
-                v["policy_name"].alias("policy"),
-                v["category"].alias("category"),
-                v["action"].alias("action"),
-                v["message"].alias("message"),
-            ),
-        ).alias("policy_violations"),
-        action.alias("action"),
-        (action != "blocked").alias("safe_to_send"),
-        F.when(
-            text.isNotNull(),
-            F.struct(pii.pii_summary(matches).alias("pii"), policy.policy_summary(violations).alias("policy")),
-        ).alias("summaries"),
-        F.col("_redacted").alias("redacted_text"),
-        F.when(text.isNull(), F.lit(TOO_LONG)).alias("error"),
-        F.when(text.isNull(), F.lit(config.max_prompt_length)).alias("max_length"),
+        redacted = pii.redact_pii("_text", "_matches", config.redaction_style, config.overlap)
+    return (
+        df.selectExpr(*kept, f"if(length({given}) <= {config.max_prompt_length}, {given}, NULL) AS _text")
+        .selectExpr("*", "lower(_text) AS _lowered")
+        .selectExpr(
+            *kept,
+            "_text",
+            f"{pii.detect_pii('_text', patterns, '_lowered', config.unicode_regex)} AS _matches",
+            f"{_checked('_text', policies, config)} AS _violations",
+        )
+        .selectExpr(
+            "*",
+            f"{redacted} AS _redacted",
+            f"if(_text IS NULL, NULL, {policy.decide_action('_violations')}) AS _action",
+        )
+        .selectExpr(
+            *kept,
+            "_text AS original_prompt",
+            "if(_action != 'blocked', _redacted, NULL) AS redacted_prompt",
+            "transform(_matches, m -> struct(m.type AS type, m.name AS name, m.severity AS severity)) AS pii_detected",
+            "transform(_violations, v -> struct(v.policy_name AS policy, v.category AS category, "
+            "v.action AS action, v.message AS message)) AS policy_violations",
+            "_action AS action",
+            "_action != 'blocked' AS safe_to_send",
+            f"if(_text IS NULL, NULL, {_summaries('_matches', '_violations')}) AS summaries",
+            "_redacted AS redacted_text",
+            f"if(_text IS NULL, {lit(TOO_LONG)}, NULL) AS error",
+            f"if(_text IS NULL, {config.max_prompt_length}, NULL) AS max_length",
+        )
     )
 
 
+def _checked(text: str, policies: Iterable[Policy], config: ScanConfig) -> str:
+    return policy.check_policies(text, policies, "_lowered", config.unicode_regex, config.whole_word)
+
+
+def _summaries(matches: str, violations: str) -> str:
+    return struct(pii=pii.pii_summary(matches), policy=policy.policy_summary(violations))
+
+
 def with_findings(
     df: DataFrame,
     text_col: str = "text",
@@ -105,14 +93,11 @@ def with_findings(
     """Add ``matches`` and ``violations``, whatever the enabling switches and the length of the text."""
     patterns = active_patterns(config.extended_patterns, custom_patterns)
     policies = active_policies(config.extended_policies, custom_policies)
-    staged = df.withColumn("_lowered", F.lower(text_col))
-    text, lowered = F.col(text_col), F.col("_lowered")
-    return staged.select(
-        *df.columns,
-        pii.detect_pii(text, patterns, lowered, config.unicode_regex).alias("matches"),
-        policy.check_policies(text, policies, lowered, config.unicode_regex, config.whole_word).alias(
-            "violations"
-        ),
+    text = ident(text_col)
+    return df.selectExpr("*", f"lower({text}) AS _lowered").selectExpr(
+        *[ident(c) for c in df.columns],
+        f"{pii.detect_pii(text, patterns, '_lowered', config.unicode_regex)} AS matches",
+        f"{_checked(text, policies, config)} AS violations",
     )
 
 
@@ -125,21 +110,18 @@ def check_compliance(
 ) -> DataFrame:
     """Whether each text is free of personal data and violations, with both summaries; nothing is logged."""
     found = with_findings(df, text_col, config, custom_patterns, custom_policies)
-    compliant = (F.size("matches") == 0) & (F.size("violations") == 0)
-    return found.select(
-        *df.columns,
-        compliant.alias("compliant"),
-        F.struct(
-            pii.pii_summary(F.col("matches")).alias("pii"),
-            policy.policy_summary(F.col("violations")).alias("policy"),
-        ).alias("issues"),
-        F.when(compliant, F.lit(SAFE)).otherwise(F.lit(REVIEW)).alias("recommendation"),
+    compliant = "size(matches) = 0 AND size(violations) = 0"
+    return found.selectExpr(
+        *[ident(c) for c in df.columns],
+        f"{compliant} AS compliant",
+        f"{_summaries('matches', 'violations')} AS issues",
+        f"if({compliant}, {lit(SAFE)}, {lit(REVIEW)}) AS recommendation",
     )
 
 
 def with_risk(df: DataFrame, matches_col: str = "matches", violations_col: str = "violations") -> DataFrame:
     """Add the ``risk`` struct."""
-    return df.withColumn("risk", risk.risk_score(F.col(matches_col), F.col(violations_col)))
+    return df.withColumn("risk", F.expr(risk.risk_score(ident(matches_col), ident(violations_col))))
 
 
 def risk_levels(df: DataFrame) -> DataFrame:

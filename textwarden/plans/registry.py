@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from textwarden.config import ScanConfig
 from textwarden.functions import pii as pii_fn
+from textwarden.functions import policy as policy_fn
 from textwarden.functions import text as text_fn
 from textwarden.functions.canonical import GENESIS, entry_hash, iso_timestamp
+from textwarden.functions.sql import lit
 from textwarden.operators import audit as audit_op
 from textwarden.operators import chain as chain_op
 from textwarden.operators import pii as pii_op
@@ -112,8 +114,8 @@ def pii_matches_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches in the turns of conversations, unplanted."""
-    found = pii_op.with_matches(views.table(spark, sf_dir, "conversations"), config=EXTENDED)
+    """Matches in the turns of conversations."""
+    found = pii_op.with_matches(views.turns(views.table(spark, sf_dir, "conversations")), config=EXTENDED)
     return pii_op.match_rows(found, ["conv_id", "turn", "role"]).select(
         "conv_id", "turn", "role", "type", "value", _long("start").alias("match_start"), _long("end").alias("match_end")
     )
@@ -127,7 +129,7 @@ def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.table(spark, sf_dir, "documents")
         .select("doc_id", F.explode_outer(shaped).alias("card"))
         .filter(F.col("card").isNotNull())
-        .select("doc_id", "card", text_fn.luhn_valid(F.col("card")).alias("valid"))
+        .select("doc_id", "card", F.expr(text_fn.luhn_valid("card")).alias("valid"))
     )
 
 
@@ -149,7 +151,7 @@ def redact_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_op.with_matches(views.prompts(spark, sf_dir), config=EXTENDED)
-    summed = found.select("doc_id", pii_fn.pii_summary(F.col("matches")).alias("s"))
+    summed = found.select("doc_id", F.expr(pii_fn.pii_summary("matches")).alias("s"))
     return summed.select(
         "doc_id",
         _long("s.total_count").alias("total_count"),
@@ -204,9 +206,7 @@ def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = policy_op.with_violations(views.prompts(spark, sf_dir), config=EXTENDED)
-    from textwarden.functions.policy import policy_summary
-
-    summed = found.select("doc_id", policy_summary(F.col("violations")).alias("s"))
+    summed = found.select("doc_id", F.expr(policy_fn.policy_summary("violations")).alias("s"))
     return summed.select(
         "doc_id",
         _long("s.total_violations").alias("total_violations"),
@@ -265,7 +265,7 @@ def _scan_columns(scanned: DataFrame, *keys: str) -> DataFrame:
 
 def scan_actions_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: what happens to the turns of conversations, by who speaks."""
-    scanned = scan_op.scan_table(views.table(spark, sf_dir, "conversations"), "text", EXTENDED)
+    scanned = scan_op.scan_table(views.turns(views.table(spark, sf_dir, "conversations")), "text", EXTENDED)
     return scanned.groupBy("role", "action").agg(
         F.count(F.lit(1)).alias("turns"),
         F.sum(F.size("pii_detected")).alias("pii_found"),
@@ -331,11 +331,11 @@ def risk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text_fn.truncate_text(F.col("text")).alias("short"))
+    return docs.select("doc_id", F.expr(text_fn.truncate_text("text")).alias("short"))
 
 
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.prompts(spark, sf_dir).select("doc_id", text_fn.sanitize_for_logging(F.col("text")).alias("logged"))
+    return views.prompts(spark, sf_dir).select("doc_id", F.expr(text_fn.sanitize_for_logging("text")).alias("logged"))
 
 
 # --- audit log ------------------------------------------------------------------------------------------
@@ -344,10 +344,8 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of every document as the first entry of a log: all characters, escaped as the hash covers them."""
     docs = views.prompts(spark, sf_dir)
-    hashed = entry_hash(
-        F.lit("allowed"), F.lit("scan"), F.col("text"), F.lit("2024-01-01T12:00:00"), F.lit(GENESIS)
-    )
-    return docs.select("doc_id", hashed.alias("hash"))
+    hashed = entry_hash("'allowed'", "'scan'", "text", "'2024-01-01T12:00:00'", lit(GENESIS))
+    return docs.select("doc_id", F.expr(hashed).alias("hash"))
 
 
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,14 +522,14 @@ def unique_users_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with more than one event in an hour."""
     found = audit_op.rate_breaches(views.table(spark, sf_dir, "events"), 1, "1 hour")
-    return found.withColumn("window_start", iso_timestamp(F.col("window_start")))
+    return found.withColumn("window_start", F.expr(iso_timestamp("window_start")))
 
 
 # --- streams --------------------------------------------------------------------------------------------
 
 
 def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = jobs.read_table_stream(spark, f"{sf_dir}/conversations.parquet")
+    stream = views.turns(jobs.read_table_stream(spark, f"{sf_dir}/conversations.parquet"))
     scanned = jobs.run_to_table(jobs.scan_stream(stream, "text", EXTENDED), "scan-stream")
     return _scan_columns(scanned, "conv_id", "turn", "role")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textwarden.operators.chain import SEGMENT_ROWS, append_chain, chain_heads, check_chain, cut_tails
 from textwarden.operators.retention import kept_entries, purge_anchors
 from textwarden.operators.stats import daily_statistics, merge_statistics
+from textwarden.sources.files import delete, exists
 from textwarden.sources.scratch import materialise
 
 ENTRIES_SCHEMA = (
@@ -43,19 +44,9 @@ class AuditTable:
         folder = f"{self.path}/{name}"
         return folder if batch is None else f"{folder}/batch={batch}"
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
     def _read(self, name: str, schema: str) -> DataFrame:
         folder = self._folder(name)
-        if not self._exists(folder):
+        if not exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(folder)
 
@@ -82,7 +73,7 @@ class AuditTable:
 
     def append(self, entries: DataFrame, batch: int, order_by: tuple[str, ...] = ("timestamp",)) -> bool:
         """Append a batch of entries; False if it was there already."""
-        if self._exists(f"{self._folder('heads', batch)}/_SUCCESS"):
+        if exists(self.spark, f"{self._folder('heads', batch)}/_SUCCESS"):
             return False
         columns = [f.name for f in self.spark.createDataFrame([], ENTRIES_SCHEMA).schema if f.name != "batch"]
         hashed = append_chain(entries, self.heads(before_batch=batch), order_by, self.segment_rows)
@@ -123,7 +114,7 @@ class AuditTable:
         affected = self._days(entries, F.col("dt") <= F.lit(day))
         for batch, when in affected:
             if when < day:
-                self._delete(f"{self._folder('entries', batch)}/dt={when}")
+                delete(self.spark, f"{self._folder('entries', batch)}/dt={when}")
         for batch, when in affected:
             if when == day:
                 rest = kept.filter(F.col("batch") == batch).drop("batch", "dt")

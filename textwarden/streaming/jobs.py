@@ -12,6 +12,7 @@ from textwarden.config import ScanConfig
 from textwarden.operators.audit import rate_breaches
 from textwarden.operators.scan import scan_table
 from textwarden.sources.audit_table import AuditTable
+from textwarden.sources.files import is_file
 from textwarden.sources.scratch import new_path
 
 
@@ -65,7 +66,12 @@ def rate_breach_stream(entries: DataFrame, max_per_minute: int = 60, ts_col: str
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file or folder as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    schema = spark.read.parquet(path).schema
+    if is_file(spark, path):
+        # The source lists folders; a single file is picked by name.
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def run_to_table(result: DataFrame, label: str) -> DataFrame:
