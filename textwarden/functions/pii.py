@@ -20,10 +20,17 @@ MATCH_TYPE = (
 )
 
 
-def detect_pii(text: str, patterns: Iterable[Pattern], lowered: str | None = None, unicode: bool = True) -> str:
+def detect_pii(
+    text: str,
+    patterns: Iterable[Pattern],
+    lowered: str | None = None,
+    odd: str | None = None,
+    unicode: bool = True,
+) -> str:
     """All matches of all patterns as ``ARRAY<MATCH_TYPE>``, ordered by start, ties in catalog order.
 
-    ``lowered`` is the lower-cased text, if the caller already has it as a column.
+    ``lowered`` is the lower-cased text and ``odd`` the result of ``odd_letters``, if the caller has them as
+    columns already.
     """
     patterns = tuple(patterns)
     if not patterns:
@@ -39,7 +46,7 @@ def detect_pii(text: str, patterns: Iterable[Pattern], lowered: str | None = Non
     shared = struct(
         text=text,
         lowered=f"lower({text})" if lowered is None else lowered,
-        odd=odd_letters(text),
+        odd=odd_letters(text) if odd is None else odd,
         digits=digit_run(text, unicode),
     )
     occurring = let("t", shared, f"filter({marked}, m -> m.marked IS NOT NULL)")

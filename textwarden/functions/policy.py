@@ -22,12 +22,14 @@ def check_policies(
     text: str,
     policies: Iterable[Policy],
     lowered: str | None = None,
+    odd: str | None = None,
     unicode: bool = True,
     whole_word: bool = False,
 ) -> str:
     """At most one violation per policy, in catalog order, as ``ARRAY<VIOLATION_TYPE>``.
 
-    ``lowered`` is the lower-cased text, if the caller already has it as a column.
+    ``lowered`` is the lower-cased text and ``odd`` the result of ``odd_letters``, if the caller has them as
+    columns already.
     """
     policies = tuple(policies)
     if not policies:
@@ -45,7 +47,9 @@ def check_policies(
         for p in policies
     )
     shared = struct(
-        text=text, lowered=f"lower({text})" if lowered is None else lowered, odd=odd_letters(text)
+        text=text,
+        lowered=f"lower({text})" if lowered is None else lowered,
+        odd=odd_letters(text) if odd is None else odd,
     )
     found = let("t", shared, f"filter({checked}, v -> v.matched_keyword IS NOT NULL)")
     return f"if({text} IS NULL, NULL, {found})"

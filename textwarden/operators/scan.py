@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textwarden.config import ScanConfig
 from textwarden.functions import pii, policy, risk
+from textwarden.functions.hints import odd_letters
 from textwarden.functions.sql import ident, lit, struct
 from textwarden.sources.catalogs import Pattern, Policy, active_patterns, active_policies
 
@@ -46,11 +47,11 @@ def scan_table(
         redacted = pii.redact_pii("_text", "_matches", config.redaction_style, config.overlap)
     return (
         df.selectExpr(*kept, f"if(length({given}) <= {config.max_prompt_length}, {given}, NULL) AS _text")
-        .selectExpr("*", "lower(_text) AS _lowered")
+        .selectExpr("*", "lower(_text) AS _lowered", f"{odd_letters('_text')} AS _odd")
         .selectExpr(
             *kept,
             "_text",
-            f"{pii.detect_pii('_text', patterns, '_lowered', config.unicode_regex)} AS _matches",
+            f"{pii.detect_pii('_text', patterns, '_lowered', '_odd', config.unicode_regex)} AS _matches",
             f"{_checked('_text', policies, config)} AS _violations",
         )
         .selectExpr(
@@ -76,7 +77,7 @@ def scan_table(
 
 
 def _checked(text: str, policies: Iterable[Policy], config: ScanConfig) -> str:
-    return policy.check_policies(text, policies, "_lowered", config.unicode_regex, config.whole_word)
+    return policy.check_policies(text, policies, "_lowered", "_odd", config.unicode_regex, config.whole_word)
 
 
 def _summaries(matches: str, violations: str) -> str:
@@ -94,9 +95,9 @@ def with_findings(
     patterns = active_patterns(config.extended_patterns, custom_patterns)
     policies = active_policies(config.extended_policies, custom_policies)
     text = ident(text_col)
-    return df.selectExpr("*", f"lower({text}) AS _lowered").selectExpr(
+    return df.selectExpr("*", f"lower({text}) AS _lowered", f"{odd_letters(text)} AS _odd").selectExpr(
         *[ident(c) for c in df.columns],
-        f"{pii.detect_pii(text, patterns, '_lowered', config.unicode_regex)} AS matches",
+        f"{pii.detect_pii(text, patterns, '_lowered', '_odd', config.unicode_regex)} AS matches",
         f"{_checked(text, policies, config)} AS violations",
     )
 
