@@ -15,6 +15,8 @@ DEFAULT_LIMIT = 100
 RECENT_LIMIT = 50
 EXPORT_LIMIT = 10_000
 EXPORT_FORMATS = ("json", "csv")
+PII_JSON = "array<struct<type:string,name:string,severity:string>>"
+VIOLATIONS_JSON = "array<struct<policy:string,category:string,action:string,message:string>>"
 
 
 def audit_entries(
@@ -52,6 +54,33 @@ def audit_entries(
     )
 
 
+def import_log(rows: DataFrame) -> DataFrame:
+    """A log kept elsewhere as plain columns, in one chain: ``id`` for the number, and JSON texts in
+    ``pii_detected``, ``policy_violations`` and ``metadata``.
+
+    Check it with ``segment_rows=ONE_SEGMENT``.
+    """
+    ts = "CAST(timestamp AS timestamp_ntz)"
+    return rows.selectExpr(
+        f"{lit(MAIN_CHAIN)} AS chain_id",
+        "CAST(id AS long) AS seq",
+        "timestamp",
+        f"{ts} AS ts",
+        f"to_date({ts}) AS dt",
+        "event_type",
+        "original_text",
+        "redacted_text",
+        f"from_json(pii_detected, {lit(PII_JSON)}) AS pii_detected",
+        f"from_json(policy_violations, {lit(VIOLATIONS_JSON)}) AS policy_violations",
+        "action_taken",
+        "user_id",
+        "session_id",
+        "from_json(metadata, 'map<string,string>') AS metadata",
+        "hash",
+        "prev_hash",
+    )
+
+
 def query_audit(
     audit: DataFrame,
     limit: int = DEFAULT_LIMIT,

@@ -22,9 +22,12 @@ from textwarden.sources.scratch import materialise
 SEGMENT_ROWS = 250_000
 # Neighbours are found inside blocks of this many entries; only the last entry of each block crosses over.
 BLOCK_ROWS = 100_000
-# Lists of chains or entries are broadcast up to this many rows (of at most some 200 bytes), else joined by a
+# For logs that were written as one unbroken chain.
+ONE_SEGMENT = 2**62
+# Lists of chains or entries are broadcast if their rows and texts together stay below this, else joined by a
 # shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 * 1024 * 1024
+ROW_BYTES = 64
 
 MAIN_CHAIN = "main"
 HASHED = ("action_taken", "event_type", "original_text", "timestamp")
@@ -68,39 +71,48 @@ def append_chain(
         ),
         "entries",
     )
-    spark = entries.sparkSession
-    if heads is None:
-        heads = spark.createDataFrame([], "chain_id string, last_seq long, last_hash string")
-    heads = heads.select("chain_id", "last_seq", "last_hash")
+    if heads is not None:
+        heads = heads.select("chain_id", "last_seq", "last_hash")
 
     large = materialise(
         entries.groupBy("chain_id").count().filter(F.col("count") > segment_rows).select("chain_id"), "large"
     )
-    n_large = large.count()
-    if n_large == 0:
+    if large.isEmpty():
         return _hash_small(entries, heads, order_by, segment_rows)
-    listed = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    listed = _broadcast_if_small(large)
     small = _hash_small(entries.join(listed, "chain_id", "left_anti"), heads, order_by, segment_rows)
-    large_heads = materialise(large.join(heads, "chain_id", "left"), "large-heads")
-    hashed = _hash_large(
-        entries.join(listed, "chain_id", "left_semi"),
-        F.broadcast(large_heads) if n_large <= BROADCAST_ROWS else large_heads,
-        order_by,
-        segment_rows,
-    )
+    if heads is not None:
+        # Heads of large chains only; as few as those.
+        heads = _broadcast_if_small(materialise(large.join(heads, "chain_id"), "large-heads"))
+    hashed = _hash_large(entries.join(listed, "chain_id", "left_semi"), heads, order_by, segment_rows)
     return small.unionByName(hashed)
 
 
-def _hash_small(entries: DataFrame, heads: DataFrame, order_by: Sequence[str], segment_rows: int) -> DataFrame:
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    texts = [F.sum(F.octet_length(c)) for c, t in df.dtypes if t == "string"]
+    rows, *sizes = df.agg(F.count(F.lit(1)), *texts).first()
+    size = rows * ROW_BYTES + sum(s or 0 for s in sizes)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _with_heads(entries: DataFrame, heads: DataFrame | None) -> DataFrame:
+    if heads is None:
+        return entries.withColumns(
+            {"last_seq": F.lit(None).cast("long"), "last_hash": F.lit(None).cast("string")}
+        )
+    return entries.join(heads, "chain_id", "left")
+
+
+def _hash_small(entries: DataFrame, heads: DataFrame | None, order_by: Sequence[str], segment_rows: int) -> DataFrame:
     # One shuffle by chain serves the join with the heads, the numbering and the hashing.
     w = Window.partitionBy("chain_id").orderBy(*order_by, "_entry")
-    numbered = entries.join(heads, "chain_id", "left").withColumn("_n", F.row_number().over(w).cast("long"))
+    numbered = _with_heads(entries, heads).withColumn("_n", F.row_number().over(w).cast("long"))
     return _fold(_seeded(numbered, segment_rows).sortWithinPartitions("chain_id", *order_by, "_entry"))
 
 
-def _hash_large(entries: DataFrame, heads: DataFrame, order_by: Sequence[str], segment_rows: int) -> DataFrame:
+def _hash_large(entries: DataFrame, heads: DataFrame | None, order_by: Sequence[str], segment_rows: int) -> DataFrame:
     ranks = _rank(entries.select("chain_id", *order_by, "_entry"), order_by)
-    numbered = entries.join(ranks, "_entry").join(heads, "chain_id")
+    numbered = _with_heads(entries.join(ranks, "_entry"), heads)
     return _fold(
         _seeded(numbered, segment_rows)
         .repartition("chain_id", segment_of(F.col("seq"), segment_rows))
@@ -248,11 +260,9 @@ def check_chain(
     # Numbers should be unique; the own hash and the right link keep duplicates apart where they are not.
     key = ["chain_id", "seq", "_own", "_before"]
     broken = links.filter(~F.col("link_ok")).select("chain_id", "seq", "_before")
-    n_broken = broken.count()
     expected = F.col("_own")
-    if n_broken:
-        listed = F.broadcast(broken) if n_broken <= BROADCAST_ROWS else broken
-        again = audit.join(listed, ["chain_id", "seq"]).select(
+    if not broken.isEmpty():
+        again = audit.join(_broadcast_if_small(broken), ["chain_id", "seq"]).select(
             "chain_id",
             "seq",
             F.expr(entry_hash(*HASHED, "prev_hash")).alias("_own"),

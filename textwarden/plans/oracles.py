@@ -512,6 +512,9 @@ def oracle_queries() -> dict[str, str]:
         )
         + "SELECT chain_id, seq, sha256(head || before || tail) AS expected_hash, stored AS actual_hash, before = prev_hash AS link_ok "
         "FROM seen WHERE sha256(head || before || tail) <> stored",
+        "audit_import": event_scan
+        + "SELECT row_number() OVER (ORDER BY ts, key) AS seq, pii_detected, policy_violations, 'events' AS origin, "
+        "true AS hash_ok, true AS link_ok FROM scanned",
         "audit_heads": _log() + HEADS + " FROM log GROUP BY chain_id",
         "audit_cut_tails": _log(
             "ends AS (SELECT chain_id, max(seq) AS last_seq, max(seq) FILTER (CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events)) "

@@ -393,6 +393,25 @@ def audit_verify_rehashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def audit_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of one chain with JSON texts, imported: what was detected in each entry, and whether its hash holds."""
+    log = _log(spark, sf_dir, "main").selectExpr(
+        "seq AS id", "timestamp", "event_type", "original_text", "redacted_text",
+        "to_json(pii_detected) AS pii_detected", "to_json(policy_violations) AS policy_violations",
+        "action_taken", "user_id", "session_id", "to_json(metadata) AS metadata", "hash", "prev_hash",
+    )
+    imported = audit_op.import_log(log)
+    checked = chain_op.check_chain(imported, segment_rows=chain_op.ONE_SEGMENT)
+    return imported.join(checked.select("chain_id", "seq", "hash_ok", "link_ok"), ["chain_id", "seq"]).select(
+        "seq",
+        _joined(F.col("pii_detected"), "type", "name", "severity").alias("pii_detected"),
+        _joined(F.col("policy_violations"), "policy", "category", "action", "message").alias("policy_violations"),
+        F.element_at("metadata", "source").alias("origin"),
+        "hash_ok",
+        "link_ok",
+    )
+
+
 def audit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_op.chain_heads(views.event_audit(spark, sf_dir))
 
@@ -599,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "audit_verify": audit_verify,
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_rehashed": audit_verify_rehashed,
+    "audit_import": audit_import,
     "audit_heads": audit_heads,
     "audit_cut_tails": audit_cut_tails,
     "audit_query": audit_query,

@@ -78,8 +78,8 @@ class AuditTable:
         columns = [f.name for f in self.spark.createDataFrame([], ENTRIES_SCHEMA).schema if f.name != "batch"]
         hashed = append_chain(entries, self.heads(before_batch=batch), order_by, self.segment_rows)
         stamped = hashed.withColumn("created_at", F.current_timestamp()).select(*columns)
-        # A day's entries of one batch go to as few files as their partitions allow; a hot day is not gathered
-        # into one task.
+        # Gathers each day into files of a good size; adaptive execution splits a day too large for one task.
+        stamped = stamped.hint("rebalance", "dt")
         stamped.write.mode("overwrite").partitionBy("dt").parquet(self._folder("entries", batch))
         written = self.spark.read.schema(ENTRIES_SCHEMA).parquet(self._folder("entries", batch))
         daily_statistics(written).write.mode("overwrite").parquet(self._folder("statistics", batch))

@@ -72,6 +72,8 @@ def java_regex(pattern: str, unicode: bool = True) -> str:
     """A case-insensitive Python regex in Java syntax, with ``.`` stopping at newlines only."""
     translated = pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
     translated = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", translated)
+    # Java does not take letters like the Kelvin sign for members of A-Z, but for members of a-z.
+    translated = re.sub(r"\[(?:\\.|[^\]\\])*\]", lambda c: c.group().replace("A-Z", "A-Za-z"), translated)
     return _FLAGS[unicode] + translated
 
 
