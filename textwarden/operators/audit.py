@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textwarden.functions.canonical import iso_timestamp
 from textwarden.functions.sql import ident, lit
 from textwarden.operators.chain import MAIN_CHAIN
+from textwarden.sources.scratch import materialise
 
 DEFAULT_LIMIT = 100
 RECENT_LIMIT = 50
@@ -137,12 +138,13 @@ def export_rows(audit: DataFrame, format: str = "json", **filters) -> DataFrame:
 
 
 def export_logs(audit: DataFrame, path: str, format: str = "json", **filters) -> None:
-    """Write an export as a JSON-lines or CSV folder (CSV with a header)."""
+    """Write an export as a JSON-lines or CSV folder; a CSV with rows has a header."""
     rows = export_rows(audit, format, **filters)
     if format == "json":
         rows.write.json(path)
     else:
-        rows.write.option("header", True).csv(path)
+        rows = materialise(rows, "export")
+        rows.write.option("header", not rows.isEmpty()).csv(path)
 
 
 def rate_breaches(

@@ -420,9 +420,8 @@ def audit_cut_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of a log whose last day is missing, found by their recorded heads."""
     log = _log(spark, sf_dir)
     heads = chain_op.chain_heads(log)
-    newest = log.agg(F.max("dt").alias("last_day"))
-    cut = log.join(F.broadcast(newest), F.col("dt") < F.col("last_day")).drop("last_day")
-    return chain_op.cut_tails(cut, heads)
+    last_day = log.agg(F.max("dt")).first()[0]
+    return chain_op.cut_tails(log.filter(F.col("dt") < F.lit(last_day)), heads)
 
 
 def _log_columns(log: DataFrame) -> DataFrame:

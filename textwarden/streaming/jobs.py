@@ -69,8 +69,9 @@ def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
     folder, _, name = path.rstrip("/").rpartition("/")
     schema = spark.read.parquet(path).schema
     if is_file(spark, path):
-        # The source lists folders; a single file is picked by name.
-        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+        # The source lists folders; a single file is picked by name, and may be one task unless dealt out.
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+        return stream.repartition(2 * spark.sparkContext.defaultParallelism)
     return spark.readStream.schema(schema).parquet(path)
 
 
