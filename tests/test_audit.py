@@ -55,6 +55,20 @@ def test_batch_that_failed_before_its_heads_is_written_over(spark, table, tmp_pa
     assert {tuple(r) for r in table.entries().select("chain_id", "seq", "hash").collect()} == before
 
 
+def test_folded_heads(spark, table):
+    def heads(**options):
+        return sorted(map(tuple, table.heads(**options).collect()))
+
+    first, second = heads(before_batch=1), heads()
+    table.compact_heads(0)
+    assert (heads(before_batch=1), heads()) == (first, second)
+    table.compact_heads(1)
+    assert (heads(before_batch=1), heads()) == (first, second)
+    assert table.append(entries(spark, 150, 8), 2, ("n",))
+    report = chain_report(table.check()).first()
+    assert (report.valid, report.entries_checked, report.broken_links) == (True, 158, 0)
+
+
 def test_purge_keeps_the_rest_checkable(table):
     cutoff = START + dt.timedelta(days=2, hours=5, minutes=30)
     assert table.purge(cutoff) == 54

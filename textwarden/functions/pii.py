@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from textwarden.functions.arrays import running_max
-from textwarden.functions.hints import digit_run, may_match, odd_letters
+from textwarden.functions.hints import LiteralTests, digit_run, odd_letters
 from textwarden.functions.spans import mark_matches, marked_spans
 from textwarden.functions.sql import array, let, lit, struct
 from textwarden.functions.text import luhn_valid
@@ -39,15 +39,18 @@ def detect_pii(
         struct(type=lit(p.type), name=lit(p.name), severity=lit(p.severity), luhn=lit(p.validator == "luhn"))
         for p in patterns
     )
+    lowered = f"lower({text})" if lowered is None else lowered
+    tests = LiteralTests((h for p in patterns for h in p.hints), lowered, "t")
     # Marked texts of the patterns that occur; other patterns take none of the marking and splitting.
     marked = array(
-        struct(ordinal=lit(i), marked=_marked(p, unicode)) for i, p in enumerate(patterns)
+        struct(ordinal=lit(i), marked=_marked(p, tests, unicode)) for i, p in enumerate(patterns)
     )
     shared = struct(
         text=text,
-        lowered=f"lower({text})" if lowered is None else lowered,
+        lowered=lowered,
         odd=odd_letters(text) if odd is None else odd,
         digits=digit_run(text, unicode),
+        **tests.fields,
     )
     occurring = let("t", shared, f"filter({marked}, m -> m.marked IS NOT NULL)")
     # The sort key (start, ordinal) leads.
@@ -70,12 +73,12 @@ def detect_pii(
     return f"if({text} IS NULL, NULL, transform(array_sort({spans}), s -> {match}))"
 
 
-def _marked(pattern: Pattern, unicode: bool) -> str:
+def _marked(pattern: Pattern, literals: LiteralTests, unicode: bool) -> str:
     regex = pattern.regex(unicode)
     tests = [f"rlike(t.text, {lit(regex)})"]
     if pattern.digits:
         tests.insert(0, "t.digits")
-    tests.insert(0, may_match("t.lowered", "t.odd", pattern.hints))
+    tests.insert(0, literals.may_match(pattern.hints))
     return f"if({' AND '.join(tests)}, {mark_matches('t.text', regex, pattern.value_group)}, NULL)"
 
 

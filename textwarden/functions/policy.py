@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 from itertools import zip_longest
 
-from textwarden.functions.hints import may_match, odd_letters
+from textwarden.functions.hints import LiteralTests, odd_letters
 from textwarden.functions.pii import count_map, field_counts
 from textwarden.functions.sql import array, let, lit, struct
 from textwarden.sources.catalogs import ACTIONS, SEVERITIES, Policy, java_regex
@@ -34,11 +34,15 @@ def check_policies(
     policies = tuple(policies)
     if not policies:
         return f"if({text} IS NULL, NULL, {array([], VIOLATION_TYPE)})"
+    lowered = f"lower({text})" if lowered is None else lowered
+    literals = [k.lower() for p in policies for k in p.keywords]
+    literals += [h for p in policies for hints in p.regex_hints for h in hints]
+    tests = LiteralTests(literals, lowered, "t")
     checked = array(
         struct(
             policy_name=lit(p.name),
             category=lit(p.category),
-            matched_keyword=_matched_rule(p, unicode, whole_word),
+            matched_keyword=_matched_rule(p, tests, unicode, whole_word),
             action=lit(p.action),
             message=lit(p.message),
             severity=lit(p.severity),
@@ -48,23 +52,24 @@ def check_policies(
     )
     shared = struct(
         text=text,
-        lowered=f"lower({text})" if lowered is None else lowered,
+        lowered=lowered,
         odd=odd_letters(text) if odd is None else odd,
+        **tests.fields,
     )
     found = let("t", shared, f"filter({checked}, v -> v.matched_keyword IS NOT NULL)")
     return f"if({text} IS NULL, NULL, {found})"
 
 
-def _matched_rule(policy: Policy, unicode: bool, whole_word: bool) -> str:
+def _matched_rule(policy: Policy, literals: LiteralTests, unicode: bool, whole_word: bool) -> str:
     """The first keyword found in the text, else the first regex (as ``pattern: ...``), else null."""
     cases = []
     for keyword in policy.keywords:
-        hit = f"contains(t.lowered, {lit(keyword.lower())})"
+        hit = literals.contains(keyword.lower())
         if whole_word:
             hit += f" AND rlike(t.text, {lit(java_regex(rf'\b{re.escape(keyword)}\b', unicode))})"
         cases.append(f"WHEN {hit} THEN {lit(keyword)}")
     for regex, hints in zip_longest(policy.regex_patterns, policy.regex_hints, fillvalue=()):
-        hit = f"{may_match('t.lowered', 't.odd', hints)} AND rlike(t.text, {lit(java_regex(regex, unicode))})"
+        hit = f"{literals.may_match(hints)} AND rlike(t.text, {lit(java_regex(regex, unicode))})"
         cases.append(f"WHEN {hit} THEN {lit(f'pattern: {regex}')}")
     return f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS string)"
 

@@ -56,12 +56,21 @@ class AuditTable:
     def heads(self, before_batch: int | None = None) -> DataFrame:
         """The head of every chain, optionally as it was before a batch."""
         heads = self._read("heads", HEADS_SCHEMA)
+        folded = self._read("folded_heads", HEADS_SCHEMA)
         if before_batch is not None:
             heads = heads.filter(F.col("batch") < before_batch)
+            folded = folded.filter(F.col("batch") < before_batch)
+        base = folded.agg(F.max("batch")).first()[0]
+        if base is not None:
+            heads = heads.filter(F.col("batch") > base).unionByName(folded.filter(F.col("batch") == base))
         return heads.groupBy("chain_id").agg(
             F.max("last_seq").alias("last_seq"), F.max_by("last_hash", "last_seq").alias("last_hash")
         )
 
+    def compact_heads(self, batch: int) -> None:
+        """Fold the heads up to and including a committed batch, so that later reads start from there."""
+        self.heads(before_batch=batch + 1).write.mode("overwrite").parquet(self._folder("folded_heads", batch))
+
     def statistics(self) -> DataFrame:
         return merge_statistics(self._read("statistics", STATISTICS_SCHEMA))
 
