@@ -74,6 +74,8 @@ def append_chain(
     if heads is not None:
         heads = heads.select("chain_id", "last_seq", "last_hash")
 
+    if entries.count() <= segment_rows:
+        return _hash_small(entries, heads, order_by, segment_rows)
     large = materialise(
         entries.groupBy("chain_id").count().filter(F.col("count") > segment_rows).select("chain_id"), "large"
     )
