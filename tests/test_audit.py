@@ -1,12 +1,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from textwarden.config import ScanConfig
 from textwarden.operators import stats as S
-from textwarden.operators.audit import audit_entries, export_logs, query_audit, rate_breaches
+from textwarden.operators.audit import (
+    audit_entries,
+    export_logs,
+    query_audit,
+    rate_breaches,
+    rate_limit_report,
+    scan_and_log,
+)
 from textwarden.operators.chain import chain_report, invalid_entries
 from textwarden.operators.scan import scan_table
 from textwarden.sources.audit_table import AuditTable
@@ -22,13 +31,20 @@ def entries(spark, first, count, minutes=60, **options):
     return audit_entries(scan_table(df), ts="ts", user_id="user", metadata="map('n', CAST(n AS string))", keep=("n",), **options)
 
 
-@pytest.fixture()
-def table(spark, tmp_path):
-    log = AuditTable(spark, str(tmp_path / "log"), segment_rows=20)
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("audit") / "log"
+    log = AuditTable(spark, str(path), segment_rows=20)
     assert log.entries().isEmpty() and log.heads().isEmpty()
     assert log.append(entries(spark, 0, 100), 0, ("n",))
     assert log.append(entries(spark, 100, 50), 1, ("n",))
-    return log
+    return path
+
+
+@pytest.fixture()
+def table(spark, written, tmp_path):
+    shutil.copytree(written, tmp_path / "log")
+    return AuditTable(spark, str(tmp_path / "log"), segment_rows=20)
 
 
 def test_append_is_checked_and_counted(table):
@@ -136,6 +152,15 @@ def test_stored_hash_instead_of_text(spark):
     assert len(row.original_text) == 64 and row.redacted_text == "Clean prompt"
 
 
+def test_scan_and_log(spark):
+    df = spark.createDataFrame([(1, START, "a@b.cc"), (2, START, "legal advice")], "n int, ts timestamp_ntz, text string")
+    rows = {r.n: r for r in scan_and_log(df, "ts", order_by=("n",), keep=("n",)).collect()}
+    assert (rows[1].redacted_prompt, rows[1].prev_hash, rows[1].seq) == ("[REDACTED]", "genesis", 1)
+    assert (rows[2].safe_to_send, rows[2].prev_hash) == (False, rows[1].audit_hash)
+    off = scan_and_log(df, "ts", config=ScanConfig(audit_logging_enabled=False))
+    assert "hash" not in off.columns and off.count() == 2
+
+
 def test_overlong_texts_are_not_logged(spark):
     df = spark.createDataFrame([(1, START, "x" * 10001), (2, START, "ok")], "n int, ts timestamp_ntz, text string")
     assert [r.original_text for r in audit_entries(scan_table(df), ts="ts").collect()] == ["ok"]
@@ -144,5 +169,8 @@ def test_overlong_texts_are_not_logged(spark):
 def test_rate_breaches(spark):
     rows = [("a", START + dt.timedelta(seconds=s)) for s in (1, 2, 3, 61)] + [("b", START)]
     df = spark.createDataFrame(rows, "user_id string, ts timestamp")
+    on = ScanConfig(rate_limit_enabled=True, max_per_minute=2)
+    assert rate_limit_report(df, on).count() == 1
+    assert rate_limit_report(df, ScanConfig(max_per_minute=2)).count() == 0
     got = rate_breaches(df, 2).collect()
     assert [(r.user_id, r.window_start, r.requests) for r in got] == [("a", START, 3)]

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from textwarden.functions.hints import DIGIT_RUN, FOLDING_LETTERS
 from textwarden.sources.catalogs import BUILTIN_PATTERNS, BUILTIN_POLICIES
 
-quick = settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+quick = settings(max_examples=100, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def holds(text, hints):

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.config import ScanConfig
 from textwarden.functions.canonical import iso_timestamp
 from textwarden.functions.sql import ident, lit
-from textwarden.operators.chain import MAIN_CHAIN
+from textwarden.operators.chain import MAIN_CHAIN, SEGMENT_ROWS, append_chain
+from textwarden.operators.scan import scan_table
 from textwarden.sources.scratch import materialise
 
 DEFAULT_LIMIT = 100
@@ -29,7 +32,7 @@ def audit_entries(
     chain_id: str = lit(MAIN_CHAIN),
     event_type: str = "NULL",
     store_original: bool = True,
-    keep: tuple[str, ...] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Entries for the rows of a scan; over-long texts were not scanned and are not logged.
 
@@ -55,6 +58,29 @@ def audit_entries(
     )
 
 
+def scan_and_log(
+    df: DataFrame,
+    ts: str,
+    text_col: str = "text",
+    config: ScanConfig = ScanConfig(),
+    heads: DataFrame | None = None,
+    order_by: Sequence[str] = ("ts",),
+    keep: Sequence[str] = (),
+    segment_rows: int = SEGMENT_ROWS,
+    **entry,
+) -> DataFrame:
+    """Scan a table and log it: the audit entries with ``seq`` and links, the columns named in ``keep``, and the
+    outcome for the caller (``redacted_prompt``, ``safe_to_send``, ``summaries``, ``audit_hash``).
+
+    ``entry`` takes the further arguments of ``audit_entries``. With logging switched off it is the plain scan.
+    """
+    scanned = scan_table(df, text_col, config)
+    if not config.audit_logging_enabled:
+        return scanned
+    entries = audit_entries(scanned, ts, keep=(*keep, "redacted_prompt", "safe_to_send", "summaries"), **entry)
+    return append_chain(entries, heads, order_by, segment_rows).withColumn("audit_hash", F.col("hash"))
+
+
 def import_log(rows: DataFrame) -> DataFrame:
     """A log kept elsewhere as plain columns, in one chain: ``id`` for the number, and JSON texts in
     ``pii_detected``, ``policy_violations`` and ``metadata``.
@@ -147,6 +173,12 @@ def export_logs(audit: DataFrame, path: str, format: str = "json", **filters) ->
         rows.write.option("header", not rows.isEmpty()).csv(path)
 
 
+def rate_limit_report(audit: DataFrame, config: ScanConfig) -> DataFrame:
+    """Breaches of the configured rate limit; none if it is switched off."""
+    breaches = rate_breaches(audit, config.max_per_minute)
+    return breaches if config.rate_limit_enabled else breaches.filter("false")
+
+
 def rate_breaches(
     audit: DataFrame, max_per_window: int = 60, window: str = "1 minute", ts_col: str = "ts", user_col: str = "user_id"
 ) -> DataFrame:

@@ -504,6 +504,9 @@ def oracle_queries() -> dict[str, str]:
         + "SELECT event_id, chain_id, seq, timestamp, event_type, text AS original_text, action AS action_taken, prev_hash, hash FROM log",
         "audit_chain_segments": _log(chain="main", segment_rows=registry.SEGMENT_ROWS)
         + "SELECT event_id, chain_id, seq, prev_hash, hash FROM log",
+        "scan_logged": _log()
+        + "SELECT event_id, CASE WHEN action <> 'blocked' THEN redacted_text END AS redacted_prompt, action <> 'blocked' AS safe_to_send, "
+        "action, n_pii, hash AS audit_hash FROM log",
         "audit_verify": REPORT + "events",
         "audit_verify_tampered": _log() + f"SELECT chain_id, seq, hash AS actual_hash FROM log WHERE {HIT}",
         "audit_verify_rehashed": _log(

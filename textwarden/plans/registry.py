@@ -355,6 +355,22 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scanned and logged: what the caller gets back, with the hash of the log entry."""
+    logged = audit_op.scan_and_log(
+        views.event_prompts(views.table(spark, sf_dir, "events")),
+        "ts",
+        order_by=("ts", "event_id"),
+        keep=("event_id",),
+        chain_id="concat('user-', user_id)",
+        event_type="event_type",
+    )
+    return logged.select(
+        "event_id", "redacted_prompt", "safe_to_send", F.col("action_taken").alias("action"),
+        _long("summaries.pii.total_count").alias("n_pii"), "audit_hash",
+    )
+
+
 def audit_chain_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in one chain, cut into short segments."""
     audit = views.event_audit(spark, sf_dir, "main", SEGMENT_ROWS)
@@ -614,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "entry_hashes": entry_hashes,
     "audit_chain": audit_chain,
     "audit_chain_segments": audit_chain_segments,
+    "scan_logged": scan_logged,
     "audit_verify": audit_verify,
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_rehashed": audit_verify_rehashed,
