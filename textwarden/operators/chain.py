@@ -33,8 +33,9 @@ MAIN_CHAIN = "main"
 HASHED = ("action_taken", "event_type", "original_text", "timestamp")
 
 
-def segment_of(seq: Column, segment_rows: int) -> Column:
-    return F.floor((seq - 1) / F.lit(segment_rows)).cast("long")
+def segment_of(segment_rows: int) -> Column:
+    """Number, from 0, of the run of ``segment_rows`` entries that ``seq`` falls in."""
+    return F.expr(f"(seq - 1) div {segment_rows}L")
 
 
 def segment_seed(chain_id: Column, segment: Column) -> Column:
@@ -117,7 +118,7 @@ def _hash_large(entries: DataFrame, heads: DataFrame | None, order_by: Sequence[
     numbered = _with_heads(entries.join(ranks, "_entry"), heads)
     return _fold(
         _seeded(numbered, segment_rows)
-        .repartition("chain_id", segment_of(F.col("seq"), segment_rows))
+        .repartition("chain_id", segment_of(segment_rows))
         .sortWithinPartitions("chain_id", "seq")
     )
 
@@ -151,7 +152,7 @@ def _seeded(numbered: DataFrame, segment_rows: int) -> DataFrame:
     return numbered.withColumn("seq", seq).withColumns(
         {
             # The link of an entry that does not follow another one of this batch and segment.
-            "_seed": F.when(first, segment_seed(F.col("chain_id"), segment_of(F.col("seq"), segment_rows))).when(
+            "_seed": F.when(first, segment_seed(F.col("chain_id"), segment_of(segment_rows))).when(
                 F.col("_n") == 1, F.col("last_hash")
             ),
             "_head": F.expr(hash_head("action_taken", "event_type", "original_text")),
@@ -217,35 +218,45 @@ def check_chain(
         "seq",
         "prev_hash",
         "hash",
-        segment_of(F.col("seq"), block_rows).alias("_block"),
+        segment_of(block_rows).alias("_block"),
         F.expr(entry_hash(*HASHED, "prev_hash")).alias("_own"),
     )
     if limit and not newest:
         narrow = narrow.orderBy("seq", "chain_id").limit(limit)
-
-    tails = audit.select("chain_id", "seq", "hash", segment_of(F.col("seq"), block_rows).alias("_block"))
-    tails = tails.groupBy("chain_id", "_block").agg(
-        F.max("seq").alias("_tail_seq"), F.max_by("hash", "seq").alias("_tail_hash")
+    in_block = Window.partitionBy("chain_id", "_block").orderBy("seq")
+    narrow = materialise(
+        narrow.withColumns(
+            {
+                "_before_seq": F.lag("seq").over(in_block),
+                "_before_hash": F.lag("hash").over(in_block),
+                "_last": F.lead("seq").over(in_block).isNull(),
+            }
+        ),
+        "links",
     )
+    # The first entry of a block follows the last one of the block before it; one row per block each.
     by_block = Window.partitionBy("chain_id").orderBy("_block")
-    carried = tails.select(
+    carried = narrow.filter("_last").select(
         "chain_id",
         "_block",
-        F.lag("_tail_seq").over(by_block).alias("_carried_seq"),
-        F.lag("_tail_hash").over(by_block).alias("_carried_hash"),
+        F.lag("seq").over(by_block).alias("_before_seq"),
+        F.lag("hash").over(by_block).alias("_before_hash"),
     )
-    in_block = Window.partitionBy("chain_id", "_block").orderBy("seq")
-    linked = narrow.withColumns(
-        {"_lag_seq": F.lag("seq").over(in_block), "_lag_hash": F.lag("hash").over(in_block)}
-    ).join(carried, ["chain_id", "_block"], "left")
-    before_seq, before_hash = F.coalesce("_lag_seq", "_carried_seq"), F.coalesce("_lag_hash", "_carried_hash")
+    firsts = narrow.filter("_before_seq IS NULL").drop("_before_seq", "_before_hash")
+    firsts = firsts.join(carried, ["chain_id", "_block"], "left")
     if anchors is not None:
-        linked = linked.join(anchors.select("chain_id", "anchor_seq", "anchor_hash"), "chain_id", "left")
-        before_seq = F.coalesce(before_seq, F.col("anchor_seq"))
-        before_hash = F.coalesce(before_hash, F.col("anchor_hash"))
+        firsts = firsts.join(anchors.select("chain_id", "anchor_seq", "anchor_hash"), "chain_id", "left")
+        firsts = firsts.withColumns(
+            {
+                "_before_seq": F.coalesce("_before_seq", "anchor_seq"),
+                "_before_hash": F.coalesce("_before_hash", "anchor_hash"),
+            }
+        ).drop("anchor_seq", "anchor_hash")
+    linked = narrow.filter("_before_seq IS NOT NULL").unionByName(firsts)
+
+    seed = segment_seed(F.col("chain_id"), segment_of(segment_rows))
     seeded = (F.col("seq") - 1) % segment_rows == 0
-    seed = segment_seed(F.col("chain_id"), segment_of(F.col("seq"), segment_rows))
-    before = F.when(seeded, seed).otherwise(F.coalesce(before_hash, F.lit(GENESIS)))
+    before = F.when(seeded, seed).otherwise(F.coalesce(F.col("_before_hash"), F.lit(GENESIS)))
     links = linked.select(
         "chain_id",
         "seq",
@@ -253,11 +264,10 @@ def check_chain(
         "_own",
         before.alias("_before"),
         F.col("prev_hash").eqNullSafe(before).alias("link_ok"),
-        (F.coalesce(before_seq, F.lit(0)) != F.col("seq") - 1).alias("gap"),
+        (F.coalesce(F.col("_before_seq"), F.lit(0)) != F.col("seq") - 1).alias("gap"),
     )
     if limit and newest:
-        links = links.orderBy(F.desc("seq"), "chain_id").limit(limit)
-    links = materialise(links, "links")
+        links = materialise(links.orderBy(F.desc("seq"), "chain_id").limit(limit), "newest")
 
     # Numbers should be unique; the own hash and the right link keep duplicates apart where they are not.
     key = ["chain_id", "seq", "_own", "_before"]
