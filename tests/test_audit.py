@@ -97,6 +97,17 @@ def test_purge_keeps_the_rest_checkable(table):
     assert table.cut_tails().isEmpty()
 
 
+def test_purge_cut_off_before_its_last_step(table, tmp_path):
+    cutoff = START + dt.timedelta(days=2, hours=5, minutes=30)
+    assert table.purge(cutoff) == 54
+    batch = tmp_path / "log/entries/batch=0"
+    (batch / "dt=2024-01-03").rename(batch / "_purge-2024-01-03")
+    assert table.entries().count() == 78
+    assert table.purge(cutoff) == 0
+    assert table.entries().count() == 96
+    assert chain_report(table.check()).first().valid
+
+
 def test_tampered_files_are_found(spark, table, tmp_path):
     bad = table.entries().withColumn("original_text", F.when(F.col("seq") == 7, "x").otherwise(F.col("original_text")))
     from textwarden.operators.chain import check_chain

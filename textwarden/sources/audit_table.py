@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textwarden.operators.chain import SEGMENT_ROWS, append_chain, chain_heads, check_chain, cut_tails
 from textwarden.operators.retention import kept_entries, purge_anchors
 from textwarden.operators.stats import daily_statistics, merge_statistics
-from textwarden.sources.files import delete, exists
+from textwarden.sources.files import delete, exists, glob, rename
 from textwarden.sources.scratch import materialise
 
 ENTRIES_SCHEMA = (
@@ -24,6 +24,8 @@ HEADS_SCHEMA = "chain_id string, last_seq long, last_hash string, batch long"
 STATISTICS_SCHEMA = (
     "date date, total_scans long, pii_detections long, policy_violations long, blocked_prompts long, batch long"
 )
+# Readers of Parquet folders leave out names that begin with an underscore.
+STAGED = "_purge-"
 ANCHORS_SCHEMA = "chain_id string, anchor_seq long, anchor_hash string, purged long"
 
 
@@ -109,9 +111,10 @@ class AuditTable:
     def purge(self, before: dt.datetime) -> int:
         """Remove entries older than ``before`` and return how many; statistics stay.
 
-        The anchors are written first. Whole days are removed as folders; only the day of ``before`` is
-        rewritten.
+        The anchors are written first. Whole days are removed as folders; what stays of the day of ``before`` is
+        written beside it, out of sight of readers, and then takes its place.
         """
+        self._finish_purge()
         entries = self.entries()
         anchors = materialise(purge_anchors(entries, before), "anchors")
         purged = anchors.agg(F.coalesce(F.sum("purged"), F.lit(0)).alias("n")).first()["n"]
@@ -119,7 +122,7 @@ class AuditTable:
             return 0
         anchors.write.mode("append").parquet(self._folder("anchors"))
         day = before.date()
-        kept = materialise(kept_entries(entries, before).filter(F.col("dt") == F.lit(day)), "kept")
+        kept = kept_entries(entries, before).filter(F.col("dt") == F.lit(day))
         affected = self._days(entries, F.col("dt") <= F.lit(day))
         for batch, when in affected:
             if when < day:
@@ -127,9 +130,23 @@ class AuditTable:
         for batch, when in affected:
             if when == day:
                 rest = kept.filter(F.col("batch") == batch).drop("batch", "dt")
-                rest.write.mode("overwrite").parquet(f"{self._folder('entries', batch)}/dt={when}")
+                rest.write.mode("overwrite").parquet(f"{self._folder('entries', batch)}/{STAGED}{when}")
+        for batch, when in affected:
+            if when == day:
+                delete(self.spark, f"{self._folder('entries', batch)}/dt={when}")
+        self._finish_purge()
         return purged
 
+    def _finish_purge(self) -> None:
+        # Also after a purge that was cut off: what it had written counts once the day itself was removed.
+        for staged in glob(self.spark, f"{self._folder('entries')}/batch=*/{STAGED}*"):
+            folder, _, name = staged.rpartition("/")
+            day = f"{folder}/dt={name.removeprefix(STAGED)}"
+            if exists(self.spark, day):
+                delete(self.spark, staged)
+            else:
+                rename(self.spark, staged, day)
+
     def _days(self, entries: DataFrame, condition: Column) -> list[tuple[int, dt.date]]:
         # Folder names, not rows.
         return [(r["batch"], r["dt"]) for r in entries.filter(condition).select("batch", "dt").distinct().collect()]

@@ -23,3 +23,14 @@ def is_file(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _resolve(spark, path)
     fs.delete(target, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, source = _resolve(spark, path)
+    if not fs.rename(source, _resolve(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def glob(spark: SparkSession, pattern: str) -> list[str]:
+    fs, target = _resolve(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(target) or []]
