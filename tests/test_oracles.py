@@ -8,7 +8,10 @@ import __spark_entry__ as contract
 from compare import difference, duck
 from conftest import SF_DIR
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from textwarden.plans.oracles import oracle_queries
+from textwarden.plans.registry import QUERIES
+
+SQL = oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +23,11 @@ def test_all_queries_have_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_contract():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
