@@ -3,18 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
+from textwarden.llm.packing import pack_documents
+from textwarden.llm.sentencepiece import encode_documents
+from textwarden.llm.sharding import shard_rows
 from textwarden.llm.ship import ship
 
 
+def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capacities dealt out evenly, so the law of row counts holds."""
+    return shard_rows(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_classes(documents(spark, sf_dir))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    content = Path(public_tokenizers.path(model)).read_bytes()
+    return encode_documents(documents(spark, sf_dir), content).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    content = Path(public_tokenizers.path(tokenizer)).read_text(encoding="utf-8")
+    return pack_documents(documents(spark, sf_dir), content).drop("ids")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,7 +57,10 @@ def _on_workers(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: _on_workers(f)
     for f in (
+        op2_bounded_ring,
         op4_exact_dedup,
+        op6_sentencepiece,
+        op9_packing,
     )
 }
 
