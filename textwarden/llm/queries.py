@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
 from textwarden.llm.packing import pack_documents
+from textwarden.llm.secrets import BASE_RULES, RULES, scan_secrets
 from textwarden.llm.sentencepiece import encode_documents
 from textwarden.llm.sharding import shard_rows
 from textwarden.llm.ship import ship
+from textwarden.llm.simhash import near_duplicates
+from textwarden.llm.spans import how_many, written
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +35,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_classes(documents(spark, sf_dir))
 
 
+def _span_digest(found: DataFrame, kinds: list[str], base: int) -> DataFrame:
+    """Counts and digest of the spans of the first ``base`` kinds, and all spans written out."""
+    own = f"filter(spans, s -> s.kind < {base})" if base < len(kinds) else "base_spans"
+    return found.selectExpr(
+        "doc_id",
+        *[f"{how_many(own, i)} AS n_{kind}" for i, kind in enumerate(kinds[:base])],
+        f"sha2({written(own, kinds)}, 256) AS base_sha256",
+        f"{written('spans', kinds)} AS spans",
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(scan_secrets(documents(spark, sf_dir)), [r.kind for r in RULES], len(BASE_RULES))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     content = Path(public_tokenizers.path(model)).read_bytes()
     return encode_documents(documents(spark, sf_dir), content).select(
@@ -57,8 +79,10 @@ def _on_workers(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: _on_workers(f)
     for f in (
+        op1_simhash,
         op2_bounded_ring,
         op4_exact_dedup,
+        op5_secrets,
         op6_sentencepiece,
         op9_packing,
     )
