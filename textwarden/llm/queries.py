@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.llm.bootstrap_pii import KINDS, find_pii
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
 from textwarden.llm.packing import pack_documents
@@ -31,13 +32,17 @@ def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_pii(documents(spark, sf_dir)), list(KINDS), len(KINDS))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_classes(documents(spark, sf_dir))
 
 
 def _span_digest(found: DataFrame, kinds: list[str], base: int) -> DataFrame:
     """Counts and digest of the spans of the first ``base`` kinds, and all spans written out."""
-    own = f"filter(spans, s -> s.kind < {base})" if base < len(kinds) else "base_spans"
+    own = "base_spans" if "base_spans" in found.columns else f"filter(spans, s -> s.kind < {base})"
     return found.selectExpr(
         "doc_id",
         *[f"{how_many(own, i)} AS n_{kind}" for i, kind in enumerate(kinds[:base])],
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_simhash,
         op2_bounded_ring,
+        op3_pii,
         op4_exact_dedup,
         op5_secrets,
         op6_sentencepiece,
