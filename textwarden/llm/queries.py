@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textwarden.llm.bootstrap_pii import KINDS, find_pii
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
+from textwarden.llm.langid import fit, held_out, identify
 from textwarden.llm.packing import pack_documents
 from textwarden.llm.secrets import BASE_RULES, RULES, scan_secrets
 from textwarden.llm.sentencepiece import encode_documents
@@ -65,6 +66,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_
     )
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = fit(docs.where(~out))
+    found = identify(docs.select("doc_id", "text", out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     content = Path(public_tokenizers.path(tokenizer)).read_text(encoding="utf-8")
     return pack_documents(documents(spark, sf_dir), content).drop("ids")
@@ -90,6 +99,7 @@ QUERIES: dict[str, Query] = {
         op4_exact_dedup,
         op5_secrets,
         op6_sentencepiece,
+        op8_langid,
         op9_packing,
     )
 }
