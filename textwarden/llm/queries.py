@@ -14,6 +14,7 @@ from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
 from textwarden.llm.langid import fit, held_out, identify
 from textwarden.llm.packing import pack_documents
+from textwarden.llm.rp_forest import nearest
 from textwarden.llm.secrets import BASE_RULES, RULES, scan_secrets
 from textwarden.llm.sentencepiece import encode_documents
 from textwarden.llm.sharding import shard_rows
@@ -66,6 +67,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_
     )
 
 
+def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(table, F.col("vec_id") % 20 == 0)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
         op4_exact_dedup,
         op5_secrets,
         op6_sentencepiece,
+        op7_rp_forest,
         op8_langid,
         op9_packing,
     )
