@@ -13,6 +13,7 @@ from textwarden.llm.bootstrap_pii import KINDS, find_pii
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
 from textwarden.llm.langid import fit, held_out, identify
+from textwarden.llm.lm_scoring import score_documents
 from textwarden.llm.packing import pack_documents
 from textwarden.llm.rp_forest import nearest
 from textwarden.llm.secrets import BASE_RULES, RULES, scan_secrets
@@ -54,7 +55,7 @@ def _span_digest(found: DataFrame, kinds: list[str], base: int) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _span_digest(scan_secrets(documents(spark, sf_dir)), [r.kind for r in RULES], len(BASE_RULES))
+    return _span_digest(scan_secrets(documents(spark, sf_dir).select("doc_id", "text")), [r.kind for r in RULES], len(BASE_RULES))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -85,6 +86,13 @@ def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k
     return pack_documents(documents(spark, sf_dir), content).drop("ids")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 10, 0)
+    found = score_documents(docs, ~out)
+    return found.withColumn("held_out", out)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -108,6 +116,7 @@ QUERIES: dict[str, Query] = {
         op7_rp_forest,
         op8_langid,
         op9_packing,
+        op10_lm_scoring,
     )
 }
 
