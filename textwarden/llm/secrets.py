@@ -23,8 +23,8 @@ from re import _parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.sql import lit
-from textwarden.llm.columns import narrowed
+from textwarden.functions.sql import ident, lit
+from textwarden.llm.columns import narrowed, whole_text
 from textwarden.llm.spans import in_order, spans_of
 from textwarden.sources.scratch import materialise
 
@@ -146,13 +146,9 @@ def trigram_query(regex: str) -> Query:
     return _of_strings(strings) if strings is not None else query
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
-
-
 def trigram_index(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     """``gram, key``: for each of the trigrams the documents ``doc_id, text`` that hold it; a table."""
-    lowered = _keyed(docs).select("key", F.lower("text").alias("lowered"))
+    lowered = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.lower("text").alias("lowered"))
     held = F.array_compact(
         F.array(*[F.when(F.contains("lowered", F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)])
     )
@@ -181,29 +177,34 @@ def candidates(index: DataFrame, trigrams: Sequence[str], queries: Sequence[Quer
 
 
 def scan_secrets(
-    docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans"
 ) -> DataFrame:
-    """``doc_id, text, spans``: spans as ``SPAN_TYPE``, by start, then in the order of the rules, whose places in
+    """The columns of ``docs`` and the spans as ``SPAN_TYPE``, by start, then in the order of the rules, whose places in
     ``rules`` are the kinds."""
-    texts = narrowed(docs, id_col, text_col)
+    text = f"coalesce({ident(text_col)}, '')"
+    kept = [docs[c] for c in docs.columns if c != spans_col]
     queries = [trigram_query(r.regex) for r in rules]
     trigrams = sorted({g for q in queries if q is not None for conjunction in q for g in conjunction})
     if not trigrams:
-        return texts.select("doc_id", "text", F.expr(_spans(rules, [None] * len(rules))).alias("spans"))
-    found = materialise(candidates(trigram_index(texts, trigrams), trigrams, queries), "trigram-candidates")
+        return docs.select(*kept, F.expr(_spans(text, rules, queries)).alias(spans_col))
+    index = trigram_index(narrowed(docs, id_col, text_col), trigrams)
+    found = materialise(candidates(index, trigrams, queries), "trigram-candidates").withColumnRenamed("key", "__key")
     if found.count() * CANDIDATE_BYTES <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    joined = _keyed(texts).join(found, "key", "left")
-    return joined.select("doc_id", "text", F.expr(_spans(rules, queries)).alias("spans"))
+    key = F.xxhash64(docs[id_col].cast("long"), whole_text(docs, text_col))
+    joined = docs.select(*kept, key.alias("__key")).join(found.withColumnRenamed("rules", "__rules"), "__key", "left")
+    return joined.select(
+        *[joined[c] for c in docs.columns if c != spans_col], F.expr(_spans(text, rules, queries)).alias(spans_col)
+    )
 
 
-def _spans(rules: Sequence[Rule], queries: Sequence[Query]) -> str:
+def _spans(text: str, rules: Sequence[Rule], queries: Sequence[Query]) -> str:
     each = [
         spans_of(
-            "text",
+            text,
             r.regex,
             i,
-            "true" if q is None else f"coalesce(rules & {1 << i}L, 0) <> 0",
+            "true" if q is None else f"coalesce(__rules & {1 << i}L, 0) <> 0",
             r.value,
             f"length(s.value) >= {r.at_least}" if r.at_least else "true",
         )
@@ -219,6 +220,6 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> str:
         f"(acc, s) -> if(s.end <= acc.reached, acc, struct(concat(acc.out, if(s.start >= acc.reached, "
         f"concat(substr({text}, acc.reached + 1, s.start - acc.reached), {lit(mark)}), '')) AS out, s.end AS reached))"
     )
-    whole = f"(acc) -> concat(acc.out, substr({text}, acc.reached + 1))"
+    whole = f"acc -> concat(acc.out, substr({text}, acc.reached + 1))"
     made = f"aggregate({spans}, struct('' AS out, 0 AS reached), {step}, {whole})"
     return f"if(size({spans}) = 0, {text}, {made})"
