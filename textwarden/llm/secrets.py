@@ -45,7 +45,8 @@ class Rule:
     at_least: int = 0
 
 
-# The kinds and patterns asked for.
+# The kinds and patterns asked for. For access keys and hex runs the least length stands in the pattern:
+# a run that is too short has no longer one inside, so the same spans match, and short runs are never marked.
 BASE_RULES = (
     Rule(
         "assign",
@@ -53,8 +54,8 @@ BASE_RULES = (
         2,
         6,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}"),
 )
 
 # Formats that issuers of keys document.
