@@ -10,13 +10,19 @@ import numpy as np
 
 # A worker forgets its words when it holds so many.
 WORDS = 800_000
+BAR = b"|"
+
+
+def _words(raw: bytes) -> list[bytes]:
+    """What stands between ASCII blanks; in lower case, but where special tokens may be spelled out."""
+    return (raw if b"<|" in raw else raw.lower()).split()
 
 
 class WordTokenizer:
     """Encodes what stands between ASCII blanks on its own.
 
-    Right for tokenizers that split at white space and drop it before they merge, as ``word_bpe_49k`` does: nothing in
-    them reaches over a blank, so the ids of a text are those of its words in a row.
+    Right for tokenizers that put texts into lower case, split at white space and drop it before they merge, as
+    ``word_bpe_49k`` does: nothing in them reaches over a blank, so the ids of a text are those of its words in a row.
     """
 
     def __init__(self, definition: str) -> None:
@@ -24,6 +30,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        (self.bar,) = self._encoded([BAR.decode()])[0].ids
         self._forget()
 
     def _forget(self) -> None:
@@ -31,22 +38,44 @@ class WordTokenizer:
         # Buffers are never empty: one unused place.
         self.ids, self.starts = array("I", [0]), array("q", [1])
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of words not met before. They are encoded as one text, with a bar between each two; a bar's id comes
+        from nothing else, as words that hold one are encoded on their own."""
+        plain, odd = [w for w in new if BAR not in w], [w for w in new if BAR in w]
+        found = [e.ids for e in self._encoded([w.decode() for w in odd])]
+        lengths = [len(x) for x in found]
+        flat = [np.array(x, np.uint32) for x in found]
+        if plain:
+            joined = f" {BAR.decode()} ".join([w.decode() for w in plain])
+            ids = np.array(self._encoded([joined])[0].ids, np.uint32)
+            bars = np.flatnonzero(ids == self.bar)
+            lengths = np.concatenate([lengths, np.diff(bars, prepend=-1, append=len(ids)) - 1]).astype(np.int64)
+            flat.append(np.delete(ids, bars))
+        first = len(self.words)
+        self.words.update(zip([*odd, *plain], range(first, first + len(new)), strict=True))
+        self.ids.frombytes(np.concatenate(flat).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(lengths, dtype=np.int64)).tobytes())
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text as unsigned 32-bit numbers."""
-        if len(self.starts) > WORDS:
+        if len(self.words) > WORDS:
             self._forget()
-        known, split = self.words, [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            known[word] = len(self.starts) - 1
-            self.ids.extend(encoding.ids)
-            self.starts.append(len(self.ids))
+        split = [_words(t.encode()) for t in texts]
+        places = [list(map(self.words.get, words)) for words in split]
+        missing = {w for words, at in zip(split, places, strict=True) if None in at for w, i in zip(words, at, strict=True) if i is None}
+        if missing:
+            self._learn(list(missing))
+            places = [
+                list(map(self.words.get, words)) if None in at else at for words, at in zip(split, places, strict=True)
+            ]
         starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
         out = []
-        for words in split:
-            places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            first, count = starts[places], starts[places + 1] - starts[places]
+        for found in places:
+            at = np.array(found, np.int64)
+            first, count = starts[at], starts[at + 1] - starts[at]
             out.append(ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())])
         del starts, ids
         return out
