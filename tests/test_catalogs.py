@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 
@@ -11,6 +12,8 @@ from textwarden.sources.catalogs import (
     Policy,
     active_patterns,
     active_policies,
+    check_patterns,
+    java_regex,
     load_patterns,
     load_policies,
     pattern_catalog,
@@ -36,17 +39,27 @@ def test_listing(spark):
 def test_custom_files(spark, tmp_path):
     patterns = load_patterns(
         spark,
-        write(tmp_path, {"employee_id": {"pattern": "EMP\\d{6}", "name": "Employee ID", "severity": "high"}, "url": {"pattern": "in\\.corp/(?P<p>\\w+)", "value_group": 1}}),
+        write(tmp_path, {"badge": {"pattern": "HX-\\d{4}", "name": "Badge", "severity": "high"}, "plan": {"pattern": "orchard/(?P<p>\\w+)", "value_group": 1}}),
     )
-    assert [(p.type, p.name, p.severity) for p in patterns] == [("employee_id", "Employee ID", "high"), ("url", "url", "medium")]
+    assert [(p.type, p.name, p.severity) for p in patterns] == [("badge", "Badge", "high"), ("plan", "plan", "medium")]
     policies = load_policies(
         spark,
-        write(tmp_path, {"secrets": {"keywords": ["project phoenix"], "action": "block", "message": "No."}, "legal_advice": {"keywords": ["jury"]}}),
+        write(tmp_path, {"lines": {"keywords": ["comet orchard"], "action": "block", "message": "No."}, "legal_advice": {"keywords": ["jury"]}}),
     )
-    df = spark.createDataFrame([("EMP123456 in.corp/wiki on Project Phoenix with a lawyer",)], "text string")
+    df = spark.createDataFrame([("HX-4471 orchard/77 on Comet Orchard with a lawyer",)], "text string")
     row = scan_table(df, config=ScanConfig(), custom_patterns=patterns, custom_policies=policies).first()
-    assert [p.type for p in row.pii_detected] == ["employee_id", "url"]
-    assert [(v.policy, v.category, v.message) for v in row.policy_violations] == [("secrets", "general", "No.")]
+    assert [p.type for p in row.pii_detected] == ["badge", "plan"]
+    assert [(v.policy, v.category, v.message) for v in row.policy_violations] == [("lines", "general", "No.")]
+
+
+def test_classes_and_repetitions_mean_what_they_mean_in_python(spark):
+    regexes = ["[a-z&&0-9]+!", "[[(]x", "y{,3}z", r"[\]a]q", r"[^&&[]w", r"\{,3\}", "[]x]v"]
+    texts = ["ab&1!", "[x", "(x", "yyz", "yyyyz", "]q", "aq", "&w", "[w", "bw", "{,3}", "]v", "xv", "z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for regex in regexes:
+        check_patterns(spark, [Pattern("p", "P", "low", regex)])
+        got = [r.text for r in df.filter(df.text.rlike(java_regex(regex))).collect()]
+        assert got == [t for t in texts if re.search(regex, t, re.IGNORECASE)], regex
 
 
 def test_replaced_entries_keep_their_place():
@@ -64,5 +77,23 @@ def test_bad_catalogs(spark, tmp_path):
         load_patterns(spark, write(tmp_path, {"q": {"pattern": "a", "severity": "huge"}}))
     with pytest.raises(ValueError, match="unknown action"):
         Policy("p", action="stop")
+    bad = [
+        ("{", "not valid JSON"),
+        ("", "expected one file"),
+        ("[1]", "keyed by name"),
+        ('{"p": 1}', "not an object"),
+        ('{"custom": {"policies": {"p": {"keywords": ["x"]}}}}', "unknown fields"),
+        ('{"p": {"keywords": "x"}}', "wrong type"),
+        ('{"p": {"keywords": [1]}}', "wrong type"),
+        ('{"p": {"keywords": []}}', "neither keywords nor regexes"),
+    ]
+    for i, (text, message) in enumerate(bad):
+        path = tmp_path / f"bad-{i}.json"
+        path.write_text(text)
+        with pytest.raises(ValueError, match=message):
+            load_policies(spark, str(path))
+    with pytest.raises(ValueError, match="no regex"):
+        load_patterns(spark, write(tmp_path, {"q": {"name": "Q"}}))
+    assert load_policies(spark, write(tmp_path, {})) == ()
     with pytest.raises(ValueError, match="overlap"):
         ScanConfig(overlap="x")

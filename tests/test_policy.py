@@ -32,27 +32,23 @@ def expected(text, policies):
 
 
 CASES = {
-    "What medication should I take for headache?": ["medical_advice"],
-    "Can you diagnose my symptoms?": ["medical_advice"],
-    "I need medical advice for my condition": ["medical_advice"],
-    "Please prescribe something for pain": ["medical_advice"],
-    "Should I sue my employer?": ["legal_advice"],
-    "I need legal advice about my contract": ["legal_advice"],
-    "What are my legal rights in this case?": ["legal_advice"],
-    "Can you review this legal document?": [],
-    "Should I buy this stock?": ["financial_advice"],
-    "Give me investment advice": ["financial_advice"],
-    "What's your trading strategy?": ["financial_advice"],
-    "Best stocks to invest in now": ["financial_advice"],
+    "Could somebody prescribe a syrup for my cough": ["medical_advice"],
+    "They diagnose my symptoms over the phone": ["medical_advice"],
+    "Good medical advice is rare": ["medical_advice"],
+    "She will sue the mill": ["legal_advice"],
+    "Our legal advice was to wait": ["legal_advice"],
+    "Know your legal rights as a tenant": ["legal_advice"],
+    "A legal document lay on the desk": [],
+    "Should I buy this stock of seeds?": ["financial_advice"],
+    "Cheap investment advice, dear results": ["financial_advice"],
     "How to make explosives": [],
     "How to make explosive things": ["harmful_content"],
-    "What's the weather today?": [],
-    "Explain quantum computing": [],
-    "I need medical advice and legal counsel about malpractice": ["medical_advice", "legal_advice"],
-    "mEdIcAl AdViCe needed": ["medical_advice"],
-    "This contains confidential information": ["internal_data"],
+    "Rain is due on Sunday": [],
+    "Both medical advice and legal advice cost money": ["medical_advice", "legal_advice"],
+    "mEdIcAl AdViCe, written oddly": ["medical_advice"],
+    "A confidential memo about plums": ["internal_data"],
     "a tissue": ["legal_advice"],
-    "Looking for competitor pricing information": [],
+    "Find competitor pricing for plums": [],
 }
 
 
@@ -62,15 +58,15 @@ def test_fixture_cases(spark):
 
 
 def test_extended_and_custom(spark):
-    text = ["Looking for competitor pricing information", "Details about Project Phoenix are confidential"]
+    text = ["Find competitor pricing for plums", "Comet Orchard is confidential"]
     assert found(spark, text[:1], ScanConfig(extended_policies=True)) == [[("competitive_intel", "competitor pricing")]]
-    custom = (Policy("company_secret", action="block", keywords=("Project Phoenix",)), Policy("legal_advice"))
+    custom = (Policy("breeding_lines", action="block", keywords=("Comet Orchard",)), Policy("legal_advice"))
     assert found(spark, text[1:], custom=custom) == [
-        [("internal_data", "confidential"), ("company_secret", "Project Phoenix")]
+        [("internal_data", "confidential"), ("breeding_lines", "Comet Orchard")]
     ]
-    row = with_violations(frame(spark, text[1:]), custom=(Policy("p", keywords=("phoenix",)),)).first().violations[-1]
+    row = with_violations(frame(spark, text[1:]), custom=(Policy("p", keywords=("orchard",)),)).first().violations[-1]
     assert row.asDict() == {
-        "policy_name": "p", "category": "general", "matched_keyword": "phoenix", "action": "warn",
+        "policy_name": "p", "category": "general", "matched_keyword": "orchard", "action": "warn",
         "message": "Policy violation detected", "severity": "medium", "confidence": 1.0,
     }
 
@@ -104,8 +100,8 @@ def test_actions(spark):
         Policy("amount", action="redact", regex_patterns=(r"\$(?P<n>\d+)k",)),
         Policy("fine", action="allow", keywords=("hello",)),
     )
-    texts = ["Please diagnose my symptoms", "hello Secret secret, $5K and $10k", "confidential secret", "plain"]
-    rows = with_policy_actions(with_violations(frame(spark, texts), custom=custom)).orderBy("id").collect()
+    texts = ["They diagnose my symptoms", "hello Secret secret, $5K and $10k", "confidential secret", "plain"]
+    rows = with_policy_actions(with_violations(frame(spark, texts), custom=custom), custom=custom).orderBy("id").collect()
     first, second, third, fourth = (r.applied for r in rows)
     assert (first.blocked, first.processed_text) == (True, None)
     assert first.applied_actions[0].startswith("BLOCKED: Medical advice")
@@ -117,6 +113,17 @@ def test_actions(spark):
     assert (fourth.processed_text, fourth.applied_actions, fourth.warnings) == ("plain", [], [])
 
 
+def test_redaction_uses_the_patterns_of_the_detection(spark):
+    custom = (Policy("twice", action="redact", regex_patterns=(r"(?P<w>\w+) (?P=w)\Z", r"№[&&]{,2}")),)
+    texts = ["say bye bye", "№&& x", "éé éé", "plain"]
+    for unicode in (True, False):
+        config = ScanConfig(unicode_regex=unicode)
+        rows = with_policy_actions(with_violations(frame(spark, texts), config=config, custom=custom), config=config, custom=custom)
+        got = [r.applied.processed_text for r in rows.orderBy("id").collect()]
+        last = "[POLICY-REDACTED]" if unicode else "éé éé"
+        assert got == ["say [POLICY-REDACTED]", "[POLICY-REDACTED] x", last, "plain"]
+
+
 def test_summary_and_totals(spark):
     df = with_violations(frame(spark, ["medical advice, legal advice, confidential", "confidential"]))
     s = df.filter("id = 0").select(F.expr(policy_summary("violations")).alias("s")).first().s

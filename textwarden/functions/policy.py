@@ -90,18 +90,24 @@ def policy_summary(violations: str) -> str:
     )
 
 
-def apply_policy_actions(text: str, violations: str, unicode: bool = True) -> str:
+def apply_policy_actions(text: str, violations: str, policies: Iterable[Policy], unicode: bool = True) -> str:
     """Carry out what the violations ask for: withhold the text, warn, or replace what was matched.
 
-    A regex is replaced in any case of letters, a keyword only as it is written in the catalog.
+    A regex is replaced in any case of letters, a keyword only as it is written in the catalog. ``policies`` and
+    ``unicode`` are those the violations were found with: what is replaced is what was detected.
     """
-    regex = "replace(replace(v.matched_keyword, 'pattern: ', ''), '(?P<', '(?<')"
-    redacted = (
-        f"aggregate(filter({violations}, v -> v.action = 'redact'), {text}, (acc, v) -> "
-        f"if(startswith(v.matched_keyword, 'pattern:'), "
-        f"regexp_replace(acc, concat({lit(java_regex('', unicode))}, {regex}), {lit(POLICY_MARK)}), "
-        f"replace(acc, v.matched_keyword, {lit(POLICY_MARK)})))"
-    )
+    # One replacement per rule of the policies that redact, in their order, each with a literal pattern.
+    redacted = text
+    for p in policies:
+        if p.action != "redact":
+            continue
+        rules = {k: f"replace(before, {lit(k)}, {lit(POLICY_MARK)})" for k in p.keywords}
+        for r in p.regex_patterns:
+            rules[f"pattern: {r}"] = f"regexp_replace(before, {lit(java_regex(r, unicode))}, {lit(POLICY_MARK)})"
+        matched = f"get(filter({violations}, v -> v.policy_name = {lit(p.name)}), 0).matched_keyword"
+        cases = " ".join(f"WHEN {lit(rule)} THEN {replaced}" for rule, replaced in rules.items())
+        if cases:
+            redacted = let("before", redacted, f"CASE {matched} {cases} ELSE before END")
     done = (
         f"transform(filter({violations}, v -> v.action != 'allow'), v -> CASE v.action "
         "WHEN 'block' THEN concat('BLOCKED: ', v.message) WHEN 'warn' THEN concat('WARNING: ', v.message) "

@@ -55,9 +55,11 @@ def with_policy_actions(
     df: DataFrame,
     text_col: str = "text",
     violations_col: str = "violations",
-    unicode: bool = True,
+    config: ScanConfig = ScanConfig(),
+    custom: Iterable[Policy] = (),
     out: str = "applied",
 ) -> DataFrame:
-    """Add the outcome of carrying out the violations' actions."""
-    applied = policy.apply_policy_actions(ident(text_col), ident(violations_col), unicode)
+    """Add the outcome of carrying out the violations' actions; ``config`` and ``custom`` are those of the check."""
+    policies = active_policies(config.extended_policies, custom)
+    applied = policy.apply_policy_actions(ident(text_col), ident(violations_col), policies, config.unicode_regex)
     return df.withColumn(out, F.expr(applied))

@@ -6,14 +6,18 @@ as literals; the tables they are applied to never are.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What a policy has if its entry does not say.
+DEFAULT_CATEGORY = "general"
+DEFAULT_MESSAGE = "Policy violation detected"
+
 SEVERITIES = ("critical", "high", "medium", "low")
 ACTIONS = ("allow", "warn", "block", "redact")
 
@@ -51,10 +55,10 @@ class Pattern:
 @dataclass(frozen=True)
 class Policy:
     name: str
-    category: str = "general"
+    category: str = DEFAULT_CATEGORY
     action: str = "warn"
     severity: str = "medium"
-    message: str = "Policy violation detected"
+    message: str = DEFAULT_MESSAGE
     keywords: tuple[str, ...] = ()
     regex_patterns: tuple[str, ...] = ()
     extended: bool = False
@@ -73,8 +77,16 @@ def java_regex(pattern: str, unicode: bool = True) -> str:
     translated = pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
     translated = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", translated)
     # Java does not take letters like the Kelvin sign for members of A-Z, but for members of a-z.
-    translated = re.sub(r"\[(?:\\.|[^\]\\])*\]", lambda c: c.group().replace("A-Z", "A-Za-z"), translated)
-    return _FLAGS[unicode] + translated
+    # Java reads "[" and "&&" in a class as operators, and has no repetition without a lower bound.
+    parts = re.split(r"(\\.|\[\^?\]?(?:\\.|[^\]\\])*\])", translated)
+    for i, part in enumerate(parts):
+        if part.startswith("["):
+            inner = re.sub(r"(\\.)|\[", lambda m: m[1] or r"\[", part[1:-1]).replace("&&", r"&\&")
+            # Java does not take letters like the Kelvin sign for members of A-Z, but for members of a-z.
+            parts[i] = f"[{inner}]".replace("A-Z", "A-Za-z")
+        elif not part.startswith("\\"):
+            parts[i] = re.sub(r"\{,(\d+)\}", r"{0,\1}", part)
+    return _FLAGS[unicode] + "".join(parts)
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -234,62 +246,89 @@ def policy_catalog(spark: SparkSession, extended: bool = False, custom: Iterable
 
 
 def load_patterns(spark: SparkSession, path: str) -> tuple[Pattern, ...]:
-    """Custom patterns from a JSON object keyed by pattern type."""
-    entry = "struct<pattern:string,name:string,severity:string,description:string,value_group:int,validator:string>"
-    found = []
-    for row in _read_keyed(spark, path, entry):
-        found.append(
-            Pattern(
-                type=row["key"],
-                name=row["name"] or row["key"],
-                severity=row["severity"] or "medium",
-                pattern=row["pattern"] or "",
-                description=row["description"] or "",
-                value_group=row["value_group"] or 0,
-                validator=row["validator"] or "",
-            )
+    """Custom patterns from a JSON object keyed by pattern type; absent fields take the defaults."""
+    found = tuple(
+        Pattern(
+            type=key,
+            name=given.pop("name", key),
+            severity=given.pop("severity", "medium"),
+            pattern=given.pop("pattern", ""),
+            **given,
         )
-    for p in found:
+        for key, given in _read_keyed(spark, path, PATTERN_FIELDS)
+    )
+    check_patterns(spark, found)
+    return found
+
+
+def load_policies(spark: SparkSession, path: str) -> tuple[Policy, ...]:
+    """Custom policies from a JSON object keyed by policy name; absent fields take the defaults."""
+    found = tuple(Policy(key, **given) for key, given in _read_keyed(spark, path, POLICY_FIELDS))
+    check_policies(spark, found)
+    return found
+
+
+PATTERN_FIELDS = {
+    "pattern": str, "name": str, "severity": str, "description": str, "value_group": int, "validator": str,
+}
+POLICY_FIELDS = {
+    "category": str, "keywords": list, "regex_patterns": list, "action": str, "message": str, "severity": str,
+}
+
+
+def _read_keyed(spark: SparkSession, path: str, fields: dict[str, type]) -> list[tuple[str, dict]]:
+    """Entries of a catalog file, which is one JSON object of named objects and has the size of a settings file.
+
+    Anything else is an error: a catalog that is read as empty would let everything pass.
+    """
+    texts = [r[0] for r in spark.read.text(path, wholetext=True).collect()]
+    if len(texts) != 1 or not texts[0].strip():
+        raise ValueError(f"{path}: expected one file with a JSON object")
+    try:
+        content = json.loads(texts[0])
+    except ValueError as error:
+        raise ValueError(f"{path}: not valid JSON: {error}") from error
+    if not isinstance(content, dict):
+        raise ValueError(f"{path}: expected a JSON object keyed by name")
+    return [(key, _checked_entry(path, key, entry, fields)) for key, entry in content.items()]
+
+
+def _checked_entry(path: str, key: str, entry, fields: dict[str, type]) -> dict:
+    if not isinstance(entry, dict):
+        raise ValueError(f"{path}: {key!r} is not an object")
+    if unknown := [f for f in entry if f not in fields]:
+        raise ValueError(f"{path}: {key!r} has unknown fields {unknown}; entries stand at the top of the file")
+    given = {}
+    for name, value in entry.items():
+        if value is None:
+            continue
+        right = isinstance(value, fields[name]) and not isinstance(value, bool)
+        if not right or isinstance(value, list) and not all(isinstance(v, str) for v in value):
+            raise ValueError(f"{path}: {name!r} of {key!r} has the wrong type")
+        given[name] = tuple(value) if isinstance(value, list) else value
+    return given
+
+
+def check_patterns(spark: SparkSession, patterns: Iterable[Pattern]) -> None:
+    """Raise for patterns that could never match or cannot be compiled, from a file or built in code."""
+    for p in patterns:
         if not p.pattern:
             raise ValueError(f"pattern {p.type!r} has no regex")
         check_regex(spark, f"pattern {p.type!r}", p.pattern)
-    return tuple(found)
 
 
-def load_policies(spark: SparkSession, path: str) -> tuple[Policy, ...]:
-    """Custom policies from a JSON object keyed by policy name; absent fields take the defaults."""
-    entry = (
-        "struct<category:string,keywords:array<string>,regex_patterns:array<string>,"
-        "action:string,message:string,severity:string>"
-    )
-    found = []
-    for row in _read_keyed(spark, path, entry):
-        given = {
-            k: tuple(v) if isinstance(v, list) else v
-            for k, v in row.asDict().items()
-            if k != "key" and v is not None
-        }
-        found.append(replace(Policy(row["key"]), **given))
-    for p in found:
+def check_policies(spark: SparkSession, policies: Iterable[Policy]) -> None:
+    """Raise for policies without a rule and for regexes that cannot be compiled, from a file or built in code."""
+    for p in policies:
+        if not p.keywords and not p.regex_patterns:
+            raise ValueError(f"policy {p.name!r} has neither keywords nor regexes")
         for regex in p.regex_patterns:
             check_regex(spark, f"policy {p.name!r}", regex)
-    return tuple(found)
-
-
-def _read_keyed(spark: SparkSession, path: str, entry: str):
-    # A catalog file is one JSON object of named entries; its size is that of a settings file.
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.posexplode(F.map_entries(F.from_json("value", f"map<string,{entry}>"))).alias("pos", "e"))
-        .orderBy("pos")
-        .select("e.key", "e.value.*")
-        .collect()
-    )
 
 
 def check_regex(spark: SparkSession, owner: str, pattern: str) -> None:
     """Reject a regex that Spark cannot compile, naming the catalog entry it belongs to."""
     try:
-        spark.range(1).select(F.lit("").rlike(java_regex(pattern))).collect()
+        spark._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
     except Exception as error:
         raise ValueError(f"{owner}: invalid regex {pattern!r}") from error

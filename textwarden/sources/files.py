@@ -31,6 +31,16 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"cannot rename {path} to {to}")
 
 
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; fails if there is one already."""
+    fs, target = _resolve(spark, path)
+    out = fs.create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def glob(spark: SparkSession, pattern: str) -> list[str]:
     fs, target = _resolve(spark, pattern)
     return [status.getPath().toString() for status in fs.globStatus(target) or []]
