@@ -16,7 +16,7 @@ from textwarden.operators.audit import (
     rate_limit_report,
     scan_and_log,
 )
-from textwarden.operators.chain import chain_report, invalid_entries
+from textwarden.operators.chain import chain_report, invalid_entries, seals
 from textwarden.operators.scan import scan_table
 from textwarden.sources.audit_table import AuditTable
 
@@ -24,7 +24,7 @@ START = dt.datetime(2024, 1, 1)
 
 
 def entries(spark, first, count, minutes=60, **options):
-    texts = ["Clean prompt", "Email: test@example.com", "I need medical advice"]
+    texts = ["Plums are ripe", "Mail ada@orchard.example", "Good medical advice"]
     rows = [(first + i, START + dt.timedelta(minutes=minutes * (first + i)), f"u{(first + i) % 4}", texts[(first + i) % 3]) for i in range(count)]
     df = spark.createDataFrame(rows, "n int, ts timestamp_ntz, user string, text string")
     options = {"chain_id": "user", **options}
@@ -64,25 +64,63 @@ def test_replayed_batch_changes_nothing(spark, table):
     assert {tuple(r) for r in table.entries().select("chain_id", "seq", "hash").collect()} == before
 
 
-def test_batch_that_failed_before_its_heads_is_written_over(spark, table, tmp_path):
-    before = {tuple(r) for r in table.entries().select("chain_id", "seq", "hash").collect()}
-    (tmp_path / "log/heads/batch=1/_SUCCESS").rename(tmp_path / "log/heads/batch=1/_lost")
-    assert table.append(entries(spark, 100, 50), 1, ("n",))
-    assert {tuple(r) for r in table.entries().select("chain_id", "seq", "hash").collect()} == before
+def hashes(table):
+    return {tuple(r) for r in table.entries().select("chain_id", "seq", "hash").collect()}
 
 
-def test_folded_heads(spark, table):
-    def heads(**options):
-        return sorted(map(tuple, table.heads(**options).collect()))
+def test_uncommitted_version_is_not_seen_and_written_over(spark, table, monkeypatch):
+    from textwarden.sources import audit_table
 
-    first, second = heads(before_batch=1), heads()
-    table.compact_heads(0)
-    assert (heads(before_batch=1), heads()) == (first, second)
-    table.compact_heads(1)
-    assert (heads(before_batch=1), heads()) == (first, second)
+    before = hashes(table)
+    monkeypatch.setattr(audit_table, "_digest", lambda entries: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.append(entries(spark, 150, 8), 2, ("n",))
+    assert hashes(table) == before and table.statistics().agg(F.sum("total_scans")).first()[0] == 150
+    monkeypatch.undo()
     assert table.append(entries(spark, 150, 8), 2, ("n",))
     report = chain_report(table.check()).first()
-    assert (report.valid, report.entries_checked, report.broken_links) == (True, 158, 0)
+    assert (report.valid, report.entries_checked, report.broken_links, report.gaps) == (True, 158, 0, 0)
+
+
+def test_only_one_appender_commits_a_version(spark, table, monkeypatch):
+    last = table._committed()
+    assert table.append(entries(spark, 150, 8), 2, ("n",))
+    monkeypatch.setattr(table, "_committed", lambda: last)
+    with pytest.raises(Exception, match="(?i)exist"):
+        table.append(entries(spark, 158, 8), 3, ("n",))
+
+
+def test_writers_count_their_own_batches(spark, table):
+    assert table.append(entries(spark, 150, 8), 0, ("n",), writer="other")
+    assert not table.append(entries(spark, 150, 8), 0, ("n",), writer="other")
+    with pytest.raises(ValueError, match="another batch"):
+        table.append(entries(spark, 158, 8), 0, ("n",), writer="other")
+    assert table.append(entries(spark, 158, 8), 7, ("n",))
+    with pytest.raises(ValueError, match="after 5 already"):
+        table.append(entries(spark, 166, 8), 5, ("n",))
+    report = chain_report(table.check()).first()
+    assert (report.valid, report.entries_checked, report.gaps) == (True, 166, 0)
+
+
+def test_append_reads_and_rewrites_the_touched_heads_only(spark, table, tmp_path):
+    def folders():
+        return {p.name: {q.name for q in p.glob("version=*")} for p in (tmp_path / "log/heads").glob("bucket=*")}
+
+    before = folders()
+    assert table.append(entries(spark, 152, 1, chain_id="'u0'"), 2, ("n",))
+    after = folders()
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert len(changed) == 1 and after[changed.pop()] == {"version=2"}
+    plan = table.heads([3])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_segment_size_is_kept_with_the_log(spark, table):
+    assert AuditTable(spark, table.path).segment_rows == 20
+    with pytest.raises(ValueError, match="segment_rows=20"):
+        AuditTable(spark, table.path, segment_rows=30)
+    assert table.check_segments().isEmpty()
+    assert seals(table.recorded_segments()).count() == 4
 
 
 def test_purge_keeps_the_rest_checkable(table):
@@ -100,14 +138,30 @@ def test_purge_keeps_the_rest_checkable(table):
 def test_purge_cut_off_before_its_last_step(table, tmp_path):
     cutoff = START + dt.timedelta(days=2, hours=5, minutes=30)
     assert table.purge(cutoff) == 54
-    batch = tmp_path / "log/entries/batch=0"
-    (batch / "dt=2024-01-03").rename(batch / "_purge-2024-01-03")
+    log = tmp_path / "log"
+    (log / "entries/dt=2024-01-03").rename(log / "purge/2024-01-03")
+    (log / "purge/2024-01-03/_SUCCESS").touch()
     assert table.entries().count() == 78
     assert table.purge(cutoff) == 0
     assert table.entries().count() == 96
     assert chain_report(table.check()).first().valid
 
 
+def test_purge_with_late_entries(spark, tmp_path):
+    log = AuditTable(spark, str(tmp_path / "log"))
+    log.append(entries(spark, 0, 40), 0, ("n",))
+    log.append(entries(spark, 4, 12), 1, ("n",))
+    log.append(entries(spark, 40, 20), 2, ("n",))
+    assert log.purge(START + dt.timedelta(hours=20)) == 32
+    report = chain_report(log.check()).first()
+    assert (report.valid, report.entries_checked, report.broken_links, report.gaps) == (True, 40, 0, 0)
+    assert log.cut_tails().isEmpty()
+    assert log.purge(START + dt.timedelta(days=30)) == 40
+    assert log.cut_tails().isEmpty() and log.entries().isEmpty()
+    assert log.append(entries(spark, 60, 8), 3, ("n",))
+    assert chain_report(log.check()).first().valid
+
+
 def test_tampered_files_are_found(spark, table, tmp_path):
     bad = table.entries().withColumn("original_text", F.when(F.col("seq") == 7, "x").otherwise(F.col("original_text")))
     from textwarden.operators.chain import check_chain
@@ -126,8 +180,10 @@ def test_query(table):
     assert query_audit(log, 100, end_date="2024-01-02").count() == 24
     assert query_audit(log, 100, action_taken="blocked").count() == 50
     assert query_audit(log, 100, event_type="other").count() == 0
+    assert [r.seq for r in query_audit(log, 3, chain_id="u1").collect()] == [38, 37, 36]
+    assert query_audit(log, None).count() == 150
     plan = query_audit(log, 5, start_date="2024-01-02")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dt" in plan and "TakeOrderedAndProject" in plan
+    assert "(dt#" in plan.split("PartitionFilters")[1].split("]")[0] and "TakeOrderedAndProject" in plan
 
 
 def test_export(spark, table, tmp_path):
@@ -160,7 +216,7 @@ def test_statistics(table):
 
 def test_stored_hash_instead_of_text(spark):
     row = entries(spark, 0, 1, store_original=False).first()
-    assert len(row.original_text) == 64 and row.redacted_text == "Clean prompt"
+    assert len(row.original_text) == 64 and row.redacted_text == "Plums are ripe"
 
 
 def test_scan_and_log(spark):
@@ -172,9 +228,34 @@ def test_scan_and_log(spark):
     assert "hash" not in off.columns and off.count() == 2
 
 
-def test_overlong_texts_are_not_logged(spark):
-    df = spark.createDataFrame([(1, START, "x" * 10001), (2, START, "ok")], "n int, ts timestamp_ntz, text string")
-    assert [r.original_text for r in audit_entries(scan_table(df), ts="ts").collect()] == ["ok"]
+def test_rejected_texts_are_logged_and_come_back(spark):
+    df = spark.createDataFrame([(1, START, "x" * 11), (2, START, "ok")], "n int, ts timestamp_ntz, text string")
+    logged = scan_and_log(df, "ts", config=ScanConfig(max_prompt_length=10), order_by=("n",), keep=("n",))
+    first, second = sorted(logged.collect(), key=lambda r: r.n)
+    assert (first.original_text, first.action_taken, first.error, first.max_length) == (
+        "x" * 11, "rejected", "Prompt exceeds maximum length", 10,
+    )
+    assert (second.action_taken, second.error, second.prev_hash) == ("allowed", None, first.audit_hash)
+    counts = S.daily_statistics(logged).first()
+    assert (counts.total_scans, counts.pii_detections) == (2, 0)
+
+
+def test_missing_timestamp_is_filled_in(spark):
+    df = spark.createDataFrame([(1, None, "ok")], "n int, ts timestamp_ntz, text string")
+    row = scan_and_log(df, "ts", order_by=("n",), keep=("n",)).first()
+    assert None not in (row.timestamp, row.ts, row.dt) and row.ts.date() == row.dt
+
+
+def test_export_has_no_cap(spark, tmp_path):
+    many = spark.range(10_500).selectExpr(
+        "id AS seq", "'t' AS timestamp", "localtimestamp() AS ts", "'m' AS chain_id", "'scan' AS event_type",
+        "'allowed' AS action_taken", "CAST(NULL AS array<string>) AS pii_detected", "array('x') AS policy_violations", "'h' AS hash",
+    )
+    export_logs(many, str(tmp_path / "csv"), "csv")
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert (rows.count(), rows.first().pii_count, rows.first().violation_count) == (10_500, "0", "1")
+    export_logs(many, str(tmp_path / "some"), "json", limit=7)
+    assert spark.read.json(str(tmp_path / "some")).count() == 7
 
 
 def test_rate_breaches(spark):

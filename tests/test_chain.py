@@ -42,7 +42,8 @@ def seed(chain, segment):
     return "genesis" if segment == 0 else hashlib.sha256(f"genesis:{chain}:{segment}".encode()).hexdigest()
 
 
-def chained(rows, segment_rows=10**9):
+def chained(rows, segment_rows=None):
+    segment_rows = segment_rows or 10**9
     out = {}
     for chain in {r["chain_id"] for r in rows}:
         previous = None
@@ -80,7 +81,7 @@ def test_iso_timestamp(spark):
     assert tuple(row) == ("2024-01-02T03:04:05.120000", "2024-01-02T03:04:05")
 
 
-@pytest.mark.parametrize("segment_rows", [10**9, 100, 7])
+@pytest.mark.parametrize("segment_rows", [None, 10**9, 100, 7])
 def test_append_against_brute_force(spark, segment_rows):
     rows = entries(SIZES)
     got = C.append_chain(frame(spark, rows), None, ("n",), segment_rows)
@@ -93,7 +94,7 @@ def test_result_does_not_depend_on_partitioning(spark):
     assert results[0] == results[1] == results[2]
 
 
-@pytest.mark.parametrize("segment_rows", [10**9, 64])
+@pytest.mark.parametrize("segment_rows", [None, 64])
 def test_batches_continue_chains(spark, segment_rows):
     rows = entries(SIZES)
     parts = [[r for r in rows if r["n"] < 30], [r for r in rows if 30 <= r["n"] < 95], [r for r in rows if r["n"] >= 95]]
@@ -114,7 +115,7 @@ def test_missing_chain_and_wrong_segment(spark):
         C.append_chain(frame(spark, rows), segment_rows=0)
 
 
-def log(spark, segment_rows=10**9, sizes=SIZES):
+def log(spark, segment_rows=None, sizes=SIZES):
     rows = entries(sizes)
     data = C.append_chain(frame(spark, rows), None, ("n",), segment_rows)
     return spark.createDataFrame(data.collect(), data.schema)
@@ -126,7 +127,7 @@ def flagged(df, **options):
 
 @pytest.mark.parametrize("block_rows", [3, 50, 10**6])
 def test_valid_chain(spark, block_rows):
-    for segment_rows in (10**9, 33):
+    for segment_rows in (None, 33):
         checked = C.check_chain(log(spark, segment_rows), segment_rows, block_rows=block_rows)
         report = C.chain_report(checked).first()
         assert report.valid and report.entries_checked == sum(SIZES.values())
@@ -163,6 +164,19 @@ def test_segment_removed_whole_is_found(spark):
     assert flagged(bad, segment_rows=50) == {("a", 101)}
 
 
+def test_forged_segment_is_found_by_its_recorded_end(spark):
+    good = log(spark, 50, {"a": 120})
+    names = [c for c in good.columns if c not in ("seq", "prev_hash", "hash")]
+    fresh = C.append_chain(good.filter("seq <= 50").withColumn("original_text", F.lit("x")).select(*names), None, ("n",), 50)
+    forged = fresh.unionByName(good.filter("seq > 50"))
+    recorded = C.segment_ends(good, 50)
+    assert flagged(forged, segment_rows=50) == set()
+    assert [(r.chain_id, r.segment) for r in C.check_segments(forged, recorded, 50).collect()] == [("a", 0)]
+    assert C.check_segments(good, recorded, 50).isEmpty()
+    before, after = (C.seals(C.segment_ends(x, 50)).first() for x in (good, forged))
+    assert (before.segments, before.seal != after.seal) == (3, True)
+
+
 def test_limit_checks_oldest_or_newest(spark):
     bad = log(spark, sizes={"main": 60})
     bad = bad.withColumn("original_text", F.when(F.col("seq").isin(5, 58), "x").otherwise(F.col("original_text")))

@@ -18,16 +18,16 @@ def scanned(spark, text, config=ScanConfig(), **more):
 
 
 def test_clean(spark):
-    row = scanned(spark, "What is the weather today?")
+    row = scanned(spark, "Rain is due on Sunday.")
     assert (row.action, row.safe_to_send, row.pii_detected, row.policy_violations) == ("allowed", True, [], [])
-    assert row.redacted_prompt == row.original_prompt == "What is the weather today?"
+    assert row.redacted_prompt == row.original_prompt == "Rain is due on Sunday."
     assert row.error is None
 
 
 def test_personal_data_alone_is_allowed(spark):
-    row = scanned(spark, "My email is john@example.com and SSN is 123-45-6789")
+    row = scanned(spark, "Mail ada@orchard.example, badge 219-09-9999")
     assert (row.action, row.safe_to_send) == ("allowed", True)
-    assert row.redacted_prompt == "My email is [REDACTED] and SSN is [REDACTED]"
+    assert row.redacted_prompt == "Mail [REDACTED], badge [REDACTED]"
     assert [p.asDict() for p in row.pii_detected] == [
         {"type": "email", "name": "Email Address", "severity": "medium"},
         {"type": "ssn", "name": "Social Security Number", "severity": "high"},
@@ -36,9 +36,9 @@ def test_personal_data_alone_is_allowed(spark):
 
 
 def test_blocked_prompt_is_withheld_but_kept_for_the_log(spark):
-    row = scanned(spark, "I need medical advice, mail a@b.cc")
+    row = scanned(spark, "Good medical advice, mail a@b.cc")
     assert (row.action, row.safe_to_send, row.redacted_prompt) == ("blocked", False, None)
-    assert row.redacted_text == "I need medical advice, mail [REDACTED]"
+    assert row.redacted_text == "Good medical advice, mail [REDACTED]"
     assert row.policy_violations[0].policy == "medical_advice"
     assert row.summaries.policy.should_block
 
@@ -55,8 +55,13 @@ def test_length_guard_counts_code_points(spark):
     config = ScanConfig(max_prompt_length=5)
     assert scanned(spark, "😀" * 5, config).error is None
     row = scanned(spark, "😀" * 6, config)
-    assert (row.error, row.max_length, row.action, row.pii_detected) == ("Prompt exceeds maximum length", 5, None, None)
-    assert row.original_prompt is None and row.summaries is None
+    assert (row.error, row.max_length, row.action, row.pii_detected) == ("Prompt exceeds maximum length", 5, "rejected", None)
+    assert (row.original_prompt, row.safe_to_send, row.summaries) == ("😀" * 6, False, None)
+
+
+def test_texts_of_any_length_are_scanned_by_default(spark):
+    row = scanned(spark, "x " * 10_000 + "a@b.cc")
+    assert (row.error, [p.type for p in row.pii_detected]) == (None, ["email"])
 
 
 def test_missing_text_is_empty(spark):
@@ -71,7 +76,7 @@ def test_other_columns_stay(spark):
 
 def test_compliance(spark):
     # Keywords match inside words: "issues" holds "sue".
-    texts = ["What is the weather today?", "This is a safe text with no issues", "a@b.cc", "confidential"]
+    texts = ["Rain is due on Sunday.", "A dry summer with no issues", "a@b.cc", "confidential"]
     rows = check_compliance(frame(spark, texts)).orderBy("id").collect()
     assert [r.compliant for r in rows] == [True, False, False, False]
     assert [r.recommendation for r in rows] == ["Safe to send"] + ["Review and remediate issues"] * 3

@@ -31,6 +31,20 @@ def test_restarted_audit_stream_appends_each_batch_once(spark, tmp_path):
     assert (report.valid, report.broken_links, report.gaps) == (True, 0, 0)
 
 
+def test_two_streams_into_one_log(spark, tmp_path):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    log = AuditTable(spark, str(tmp_path / "log"))
+    for i, writer in enumerate(("left", "right")):
+        source = str(tmp_path / f"in-{writer}")
+        events.filter(f"event_id % 2 = {i}").write.parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        job = jobs.audit_stream(stream, log, views.event_entries, ("ts", "event_id"), writer)
+        job.option("checkpointLocation", str(tmp_path / writer)).trigger(availableNow=True).start().awaitTermination()
+    assert log.entries().count() == 1000
+    report = chain_report(log.check()).first()
+    assert (report.valid, report.broken_links, report.gaps) == (True, 0, 0)
+
+
 def test_statistics_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF_DIR}/events.parquet")
     source = str(tmp_path / "in")

@@ -14,7 +14,8 @@ class ScanConfig:
     extended_patterns: bool = False
     extended_policies: bool = False
     redaction_style: str = "[REDACTED]"
-    max_prompt_length: int = 10000
+    # Longer texts are rejected: kept and logged, but not scanned. None takes texts of any length.
+    max_prompt_length: int | None = None
     rate_limit_enabled: bool = False
     max_per_minute: int = 60
     # "merge" joins overlapping spans before they are replaced; "splice" replaces every span on its own,
@@ -28,5 +29,5 @@ class ScanConfig:
     def __post_init__(self) -> None:
         if self.overlap not in ("merge", "splice"):
             raise ValueError(f"overlap must be 'merge' or 'splice', not {self.overlap!r}")
-        if self.max_prompt_length < 0:
+        if self.max_prompt_length is not None and self.max_prompt_length < 0:
             raise ValueError("max_prompt_length must not be negative")

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from textwarden.config import ScanConfig
 from textwarden.functions.canonical import iso_timestamp
 from textwarden.functions.sql import ident, lit
-from textwarden.operators.chain import MAIN_CHAIN, SEGMENT_ROWS, append_chain
+from textwarden.operators.chain import MAIN_CHAIN, append_chain
 from textwarden.operators.scan import scan_table
 from textwarden.sources.scratch import materialise
 
 DEFAULT_LIMIT = 100
 RECENT_LIMIT = 50
-EXPORT_LIMIT = 10_000
 EXPORT_FORMATS = ("json", "csv")
 PII_JSON = "array<struct<type:string,name:string,severity:string>>"
 VIOLATIONS_JSON = "array<struct<policy:string,category:string,action:string,message:string>>"
@@ -34,18 +33,19 @@ def audit_entries(
     store_original: bool = True,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Entries for the rows of a scan; over-long texts were not scanned and are not logged.
+    """Entries for all rows of a scan, rejected ones too. A missing timestamp is the time of the run.
 
     The arguments are SQL expressions over the columns of the scan. ``store_original=False`` stores, and
     hashes, only the SHA-256 of the original text. Columns named in ``keep`` are carried along, for instance
     to order the entries.
     """
-    return scanned.filter("error IS NULL").selectExpr(
+    moment = f"coalesce(CAST({ts} AS timestamp_ntz), localtimestamp())"
+    return scanned.selectExpr(
         *[ident(c) for c in keep],
         f"CAST({chain_id} AS string) AS chain_id",
-        f"{iso_timestamp(ts)} AS timestamp",
-        f"CAST({ts} AS timestamp_ntz) AS ts",
-        f"to_date({ts}) AS dt",
+        f"{iso_timestamp(moment)} AS timestamp",
+        f"{moment} AS ts",
+        f"to_date({moment}) AS dt",
         f"coalesce({event_type}, 'scan') AS event_type",
         f"{'original_prompt' if store_original else 'sha2(original_prompt, 256)'} AS original_text",
         "redacted_text",
@@ -66,26 +66,25 @@ def scan_and_log(
     heads: DataFrame | None = None,
     order_by: Sequence[str] = ("ts",),
     keep: Sequence[str] = (),
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int | None = None,
     **entry,
 ) -> DataFrame:
     """Scan a table and log it: the audit entries with ``seq`` and links, the columns named in ``keep``, and the
-    outcome for the caller (``redacted_prompt``, ``safe_to_send``, ``summaries``, ``audit_hash``).
+    outcome for the caller (``redacted_prompt``, ``safe_to_send``, ``summaries``, ``error``, ``max_length``,
+    ``audit_hash``), one row for every text given.
 
     ``entry`` takes the further arguments of ``audit_entries``. With logging switched off it is the plain scan.
     """
     scanned = scan_table(df, text_col, config)
     if not config.audit_logging_enabled:
         return scanned
-    entries = audit_entries(scanned, ts, keep=(*keep, "redacted_prompt", "safe_to_send", "summaries"), **entry)
+    entries = audit_entries(scanned, ts, keep=(*keep, "redacted_prompt", "safe_to_send", "summaries", "error", "max_length"), **entry)
     return append_chain(entries, heads, order_by, segment_rows).withColumn("audit_hash", F.col("hash"))
 
 
 def import_log(rows: DataFrame) -> DataFrame:
     """A log kept elsewhere as plain columns, in one chain: ``id`` for the number, and JSON texts in
     ``pii_detected``, ``policy_violations`` and ``metadata``.
-
-    Check it with ``segment_rows=ONE_SEGMENT``.
     """
     ts = "CAST(timestamp AS timestamp_ntz)"
     return rows.selectExpr(
@@ -110,16 +109,19 @@ def import_log(rows: DataFrame) -> DataFrame:
 
 def query_audit(
     audit: DataFrame,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     offset: int = 0,
     start_date: str | None = None,
     end_date: str | None = None,
     event_type: str | None = None,
     action_taken: str | None = None,
+    chain_id: str | None = None,
 ) -> DataFrame:
-    """Newest entries that meet all filters.
+    """Newest entries that meet all filters; ``limit`` None gives all.
 
-    Dates are ISO texts and compare with the entry's timestamp text; they also select partitions by day.
+    Dates are ISO texts and compare with the entry's timestamp text; they also select partitions by day. The entries
+    of one chain come in the order of appending, last first. Chains have no common order of appending, so entries of
+    several come by their time.
     """
     found = audit
     if start_date is not None:
@@ -134,7 +136,12 @@ def query_audit(
         found = found.filter(F.col("event_type") == event_type)
     if action_taken is not None:
         found = found.filter(F.col("action_taken") == action_taken)
-    return found.orderBy(F.desc("ts"), F.desc("seq"), "chain_id").offset(offset).limit(limit)
+    if chain_id is not None:
+        found = found.filter(F.col("chain_id") == chain_id).orderBy(F.desc("seq"))
+    else:
+        found = found.orderBy(F.desc("ts"), F.desc("seq"), "chain_id")
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)
 
 
 def _day(iso: str) -> str | None:
@@ -145,11 +152,12 @@ def recent_audit(audit: DataFrame) -> DataFrame:
     return query_audit(audit, limit=RECENT_LIMIT)
 
 
-def export_rows(audit: DataFrame, format: str = "json", **filters) -> DataFrame:
-    """The newest entries in the shape of an export: whole entries for json, seven columns for csv."""
+def export_rows(audit: DataFrame, format: str = "json", limit: int | None = None, **filters) -> DataFrame:
+    """Entries in the shape of an export, newest first: whole entries for json, seven columns for csv. ``limit`` keeps
+    the newest; None exports all."""
     if format not in EXPORT_FORMATS:
         raise ValueError(f"Unsupported format: {format}")
-    rows = query_audit(audit, limit=EXPORT_LIMIT, **filters)
+    rows = query_audit(audit, limit=limit, **filters)
     if format == "json":
         return rows
     return rows.select(
@@ -157,15 +165,17 @@ def export_rows(audit: DataFrame, format: str = "json", **filters) -> DataFrame:
         "timestamp",
         "event_type",
         "action_taken",
-        F.size("pii_detected").alias("pii_count"),
-        F.size("policy_violations").alias("violation_count"),
+        F.coalesce(F.array_size("pii_detected"), F.lit(0)).alias("pii_count"),
+        F.coalesce(F.array_size("policy_violations"), F.lit(0)).alias("violation_count"),
         "hash",
     )
 
 
-def export_logs(audit: DataFrame, path: str, format: str = "json", **filters) -> None:
+def export_logs(
+    audit: DataFrame, path: str, format: str = "json", limit: int | None = None, **filters
+) -> None:
     """Write an export as a JSON-lines or CSV folder; a CSV with rows has a header."""
-    rows = export_rows(audit, format, **filters)
+    rows = export_rows(audit, format, limit, **filters)
     if format == "json":
         rows.write.json(path)
     else:

@@ -1,16 +1,19 @@
 """The hash chain of the audit log: appending and checking.
 
-Every entry's hash covers the hash of the entry before it, so a chain is computed in order. A chain is cut into
-segments of a fixed number of entries: the first segment starts from ``genesis``, each later one from a seed
-that depends only on the chain and the segment's number. Segments are hashed independently of each other, so
-one chain that holds most of the log spreads over the cluster, and up to ``segment_rows`` entries the result is
-one plain chain. Checking needs no order at all: it compares neighbours.
+Every entry's hash covers the hash of the entry before it, so a chain is computed in order, whatever its length; a
+log spreads over the cluster by having many chains. The one task of a chain streams through it and does nothing
+but hash: texts are escaped before they get there. Checking needs no order at all: it compares neighbours.
+
+A chain that must be hashed by several tasks can be cut into segments of ``segment_rows`` entries, if the caller asks
+for it: each segment then starts from a seed that depends on the chain and the segment's number. As anybody can
+compute such a seed, neighbours do not tell whether a whole segment was replaced. The ends of all segments are
+therefore recorded (``segment_ends``), sealed by a chain of their own (``seals``), and compared (``check_segments``).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,11 +22,8 @@ from pyspark.sql import functions as F
 from textwarden.functions.canonical import GENESIS, entry_hash, hash_head, hash_tail
 from textwarden.sources.scratch import materialise
 
-SEGMENT_ROWS = 250_000
 # Neighbours are found inside blocks of this many entries; only the last entry of each block crosses over.
 BLOCK_ROWS = 100_000
-# For logs that were written as one unbroken chain.
-ONE_SEGMENT = 2**62
 # Lists of chains or entries are broadcast if their rows and texts together stay below this, else joined by a
 # shuffle.
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -33,11 +33,18 @@ MAIN_CHAIN = "main"
 HASHED = ("action_taken", "event_type", "original_text", "timestamp")
 
 
-def segment_of(segment_rows: int) -> Column:
-    """Number, from 0, of the run of ``segment_rows`` entries that ``seq`` falls in."""
+def segment_of(segment_rows: int | None) -> Column:
+    """Number, from 0, of the run of ``segment_rows`` entries that ``seq`` falls in; 0 for an unbroken chain."""
+    if segment_rows is None:
+        return F.lit(0).cast("long")
     return F.expr(f"(seq - 1) div {segment_rows}L")
 
 
+def begins_segment(segment_rows: int | None) -> Column:
+    seq = F.col("seq")
+    return seq == 1 if segment_rows is None else (seq - 1) % segment_rows == 0
+
+
 def segment_seed(chain_id: Column, segment: Column) -> Column:
     """What the first entry of a segment links to."""
     return F.when(segment == 0, F.lit(GENESIS)).otherwise(
@@ -47,21 +54,21 @@ def segment_seed(chain_id: Column, segment: Column) -> Column:
 
 def append_chain(
     entries: DataFrame,
-    heads: DataFrame | None = None,
+    heads: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     order_by: Sequence[str] = ("timestamp",),
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int | None = None,
 ) -> DataFrame:
     """Number and hash new entries, continuing each chain from its head.
 
     ``entries`` needs ``chain_id``, ``timestamp``, ``event_type``, ``original_text`` and ``action_taken``;
     ``order_by`` must order the new entries of a chain totally. ``heads`` holds ``chain_id, last_seq,
-    last_hash``. Adds ``seq``, ``prev_hash`` and ``hash``.
+    last_hash``, or gives them for the written entries. Adds ``seq``, ``prev_hash`` and ``hash``.
 
-    The entries are written once before they are counted and hashed, so that what produced them runs once.
-    Chains with at most ``segment_rows`` new entries are numbered by a window, others by a distributed rank;
-    no task holds more than a segment of one chain, and it streams through that.
+    The entries are written once before they are counted and hashed, so that what produced them runs once. Every
+    chain is unbroken unless ``segment_rows`` is given: then chains with more new entries than that are numbered by a
+    distributed rank, and no task hashes more than a segment.
     """
-    if segment_rows < 1:
+    if segment_rows is not None and segment_rows < 1:
         raise ValueError("segment_rows must be positive")
     entries = materialise(
         entries.withColumns(
@@ -72,10 +79,18 @@ def append_chain(
         ),
         "entries",
     )
+    heads = heads(entries) if callable(heads) else heads
     if heads is not None:
         heads = heads.select("chain_id", "last_seq", "last_hash")
+    # Escaped where the entries are read, by all cores, and not in the task of a chain.
+    entries = entries.withColumns(
+        {
+            "_head": F.expr(hash_head("action_taken", "event_type", "original_text")),
+            "_tail": F.expr(hash_tail("timestamp")),
+        }
+    )
 
-    if entries.count() <= segment_rows:
+    if segment_rows is None or entries.count() <= segment_rows:
         return _hash_small(entries, heads, order_by, segment_rows)
     large = materialise(
         entries.groupBy("chain_id").count().filter(F.col("count") > segment_rows).select("chain_id"), "large"
@@ -106,7 +121,7 @@ def _with_heads(entries: DataFrame, heads: DataFrame | None) -> DataFrame:
     return entries.join(heads, "chain_id", "left")
 
 
-def _hash_small(entries: DataFrame, heads: DataFrame | None, order_by: Sequence[str], segment_rows: int) -> DataFrame:
+def _hash_small(entries: DataFrame, heads: DataFrame | None, order_by: Sequence[str], segment_rows: int | None) -> DataFrame:
     # One shuffle by chain serves the join with the heads, the numbering and the hashing.
     w = Window.partitionBy("chain_id").orderBy(*order_by, "_entry")
     numbered = _with_heads(entries, heads).withColumn("_n", F.row_number().over(w).cast("long"))
@@ -146,19 +161,11 @@ def _rank(keys: DataFrame, order_by: Sequence[str]) -> DataFrame:
     )
 
 
-def _seeded(numbered: DataFrame, segment_rows: int) -> DataFrame:
+def _seeded(numbered: DataFrame, segment_rows: int | None) -> DataFrame:
     seq = F.coalesce(F.col("last_seq"), F.lit(0)) + F.col("_n")
-    first = (F.col("seq") - 1) % segment_rows == 0
-    return numbered.withColumn("seq", seq).withColumns(
-        {
-            # The link of an entry that does not follow another one of this batch and segment.
-            "_seed": F.when(first, segment_seed(F.col("chain_id"), segment_of(segment_rows))).when(
-                F.col("_n") == 1, F.col("last_hash")
-            ),
-            "_head": F.expr(hash_head("action_taken", "event_type", "original_text")),
-            "_tail": F.expr(hash_tail("timestamp")),
-        }
-    )
+    # The link of an entry that does not follow another one of this batch and segment.
+    seed = F.when(begins_segment(segment_rows), segment_seed(F.col("chain_id"), segment_of(segment_rows)))
+    return numbered.withColumn("seq", seq).withColumn("_seed", seed.when(F.col("_n") == 1, F.col("last_hash")))
 
 
 def _fold(ordered: DataFrame) -> DataFrame:
@@ -195,7 +202,7 @@ def chain_heads(audit: DataFrame) -> DataFrame:
 
 def check_chain(
     audit: DataFrame,
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int | None = None,
     anchors: DataFrame | None = None,
     limit: int | None = None,
     newest: bool = False,
@@ -206,7 +213,7 @@ def check_chain(
 
     ``expected_hash`` links the entry to the *stored* hash of its predecessor, so a changed hash flags its
     entry and the next. ``link_ok`` compares the stored link, ``gap`` tells that the numbers jump. ``anchors``
-    (``chain_id, anchor_seq, anchor_hash``) stand in for purged predecessors. ``limit`` keeps the first
+    (``chain_id, anchor_seq, anchor_hash``) stand in for purged predecessors, wherever they were. ``limit`` keeps the first
     entries by number, or the last ones if ``newest``; None or 0 keeps all.
 
     Texts are read once and not shuffled: each entry is hashed with its own stored link where it is read, and
@@ -244,19 +251,24 @@ def check_chain(
     )
     firsts = narrow.filter("_before_seq IS NULL").drop("_before_seq", "_before_hash")
     firsts = firsts.join(carried, ["chain_id", "_block"], "left")
+    linked = narrow.filter("_before_seq IS NOT NULL").unionByName(firsts)
     if anchors is not None:
-        firsts = firsts.join(anchors.select("chain_id", "anchor_seq", "anchor_hash"), "chain_id", "left")
-        firsts = firsts.withColumns(
+        follows = F.col("_before_seq").eqNullSafe(F.col("seq") - 1)
+        stand_ins = anchors.select("chain_id", (F.col("anchor_seq") + 1).alias("seq"), "anchor_hash").dropDuplicates(
+            ["chain_id", "seq"]
+        )
+        jumps = linked.filter(~follows).join(stand_ins, ["chain_id", "seq"], "left")
+        found = F.col("anchor_hash").isNotNull()
+        jumps = jumps.withColumns(
             {
-                "_before_seq": F.coalesce("_before_seq", "anchor_seq"),
-                "_before_hash": F.coalesce("_before_hash", "anchor_hash"),
+                "_before_seq": F.when(found, F.col("seq") - 1).otherwise(F.col("_before_seq")),
+                "_before_hash": F.coalesce("anchor_hash", "_before_hash"),
             }
-        ).drop("anchor_seq", "anchor_hash")
-    linked = narrow.filter("_before_seq IS NOT NULL").unionByName(firsts)
+        ).drop("anchor_hash")
+        linked = linked.filter(follows).unionByName(jumps)
 
     seed = segment_seed(F.col("chain_id"), segment_of(segment_rows))
-    seeded = (F.col("seq") - 1) % segment_rows == 0
-    before = F.when(seeded, seed).otherwise(F.coalesce(F.col("_before_hash"), F.lit(GENESIS)))
+    before = F.when(begins_segment(segment_rows), seed).otherwise(F.coalesce(F.col("_before_hash"), F.lit(GENESIS)))
     links = linked.select(
         "chain_id",
         "seq",
@@ -271,7 +283,7 @@ def check_chain(
 
     # Numbers should be unique; the own hash and the right link keep duplicates apart where they are not.
     key = ["chain_id", "seq", "_own", "_before"]
-    broken = links.filter(~F.col("link_ok")).select("chain_id", "seq", "_before")
+    broken = materialise(links.filter(~F.col("link_ok")).select("chain_id", "seq", "_before"), "broken")
     expected = F.col("_own")
     if not broken.isEmpty():
         again = audit.join(_broadcast_if_small(broken), ["chain_id", "seq"]).select(
@@ -323,6 +335,35 @@ def chain_report(checked: DataFrame) -> DataFrame:
     )
 
 
+def segment_ends(audit: DataFrame, segment_rows: int) -> DataFrame:
+    """``chain_id, segment, last_seq, last_hash``: where each segment of a cut chain ends."""
+    return audit.groupBy("chain_id", segment_of(segment_rows).alias("segment")).agg(
+        F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash")
+    )
+
+
+def seals(ends: DataFrame) -> DataFrame:
+    """``chain_id, segments, seal``: one hash over the ends of all segments of a chain, each linked to the one before."""
+    ordered = F.sort_array(F.collect_list(F.struct("segment", "last_hash")))
+    link = F.aggregate(
+        ordered,
+        F.lit(GENESIS),
+        lambda acc, end: F.sha2(F.concat_ws(":", acc, end["segment"].cast("string"), end["last_hash"]), 256),
+    )
+    # One row per segment, that is per ``segment_rows`` entries.
+    return ends.groupBy("chain_id").agg(F.count(F.lit(1)).alias("segments"), link.alias("seal"))
+
+
+def check_segments(audit: DataFrame, recorded: DataFrame, segment_rows: int) -> DataFrame:
+    """Segments whose end is not the recorded one: ``chain_id, segment, recorded_hash, found_hash``."""
+    found = segment_ends(audit, segment_rows).select("chain_id", "segment", F.col("last_hash").alias("found_hash"))
+    kept = recorded.select("chain_id", "segment", F.col("last_hash").alias("recorded_hash"))
+    both = kept.join(found, ["chain_id", "segment"], "full")
+    return both.filter(~F.col("recorded_hash").eqNullSafe(F.col("found_hash"))).select(
+        "chain_id", "segment", "recorded_hash", "found_hash"
+    )
+
+
 def cut_tails(audit: DataFrame, heads: DataFrame) -> DataFrame:
     """Chains whose end differs from their recorded head: what a check of neighbours cannot see."""
     ends = chain_heads(audit).select(

@@ -46,7 +46,7 @@ def redact_table(
     return found.withColumns(
         {
             "redacted": F.expr(pii.redact_pii(ident(text_col), "_matches", style, config.overlap)),
-            "pii_found": F.size("_matches"),
+            "pii_found": F.coalesce(F.array_size("_matches"), F.lit(0)),
             "pii_types": F.expr(pii.pii_types("_matches")),
         }
     ).drop("_matches")

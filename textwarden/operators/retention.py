@@ -24,18 +24,15 @@ def purged_entries(audit: DataFrame, before: dt.datetime) -> DataFrame:
 
 
 def purge_anchors(audit: DataFrame, before: dt.datetime) -> DataFrame:
-    """``chain_id, anchor_seq, anchor_hash, purged``: the last entry of each chain that a purge removes.
+    """``chain_id, anchor_seq, anchor_hash``: the entries that a purge removes without their successor.
 
-    With it the first kept entry can still be checked.
+    With them the kept entries can still be checked, also where late entries make a purge leave holes, and where
+    a chain ends can still be told. Numbers and hashes are all that is shuffled.
     """
-    return (
-        purged_entries(audit, before)
-        .groupBy("chain_id")
-        .agg(
-            F.max("seq").alias("anchor_seq"),
-            F.max_by("hash", "seq").alias("anchor_hash"),
-            F.count(F.lit(1)).alias("purged"),
-        )
+    gone = purged_entries(audit, before).select("chain_id", "seq", "hash")
+    followed = gone.select("chain_id", (F.col("seq") - 1).alias("seq"))
+    return gone.join(followed, ["chain_id", "seq"], "left_anti").select(
+        "chain_id", F.col("seq").alias("anchor_seq"), F.col("hash").alias("anchor_hash")
     )
 
 

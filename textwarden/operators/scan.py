@@ -15,6 +15,7 @@ from textwarden.sources.catalogs import Pattern, Policy, active_patterns, active
 
 # Texts of the results.
 TOO_LONG = "Prompt exceeds maximum length"
+REJECTED = "rejected"
 SAFE = "Safe to send"
 REVIEW = "Review and remediate issues"
 
@@ -30,8 +31,9 @@ def scan_table(
 
     Keeps the other columns of ``df`` and puts ``original_prompt``, ``redacted_prompt``, ``pii_detected``,
     ``policy_violations``, ``action``, ``safe_to_send`` and ``summaries`` in place of the text, and
-    ``redacted_text`` for the audit log, which keeps it for blocked prompts too. Texts over the maximum length
-    get ``error`` and ``max_length`` instead; nothing else is evaluated for them. A missing text is empty.
+    ``redacted_text`` for the audit log, which keeps it for blocked prompts too. A missing text is empty. With a
+    maximum length, longer texts keep ``original_prompt`` and get the action ``rejected``, ``error`` and
+    ``max_length``; nothing else is evaluated for them.
 
     Results that depend on the detections should be written before they are filtered: a filter on them is
     pushed below this projection and evaluates them again.
@@ -45,11 +47,14 @@ def scan_table(
     redacted = "_text"
     if config.auto_redact:
         redacted = pii.redact_pii("_text", "_matches", config.redaction_style, config.overlap)
+    limit = config.max_prompt_length
+    accepted = given if limit is None else f"if(length({given}) <= {limit}, {given}, NULL)"
     return (
-        df.selectExpr(*kept, f"if(length({given}) <= {config.max_prompt_length}, {given}, NULL) AS _text")
+        df.selectExpr(*kept, f"{given} AS _given", f"{accepted} AS _text")
         .selectExpr("*", "lower(_text) AS _lowered", f"{odd_letters('_text')} AS _odd")
         .selectExpr(
             *kept,
+            "_given",
             "_text",
             f"{pii.detect_pii('_text', patterns, '_lowered', '_odd', config.unicode_regex)} AS _matches",
             f"{_checked('_text', policies, config)} AS _violations",
@@ -57,21 +62,21 @@ def scan_table(
         .selectExpr(
             "*",
             f"{redacted} AS _redacted",
-            f"if(_text IS NULL, NULL, {policy.decide_action('_violations')}) AS _action",
+            f"if(_text IS NULL, {lit(REJECTED)}, {policy.decide_action('_violations')}) AS _action",
         )
         .selectExpr(
             *kept,
-            "_text AS original_prompt",
+            "_given AS original_prompt",
             "if(_action != 'blocked', _redacted, NULL) AS redacted_prompt",
             "transform(_matches, m -> struct(m.type AS type, m.name AS name, m.severity AS severity)) AS pii_detected",
             "transform(_violations, v -> struct(v.policy_name AS policy, v.category AS category, "
             "v.action AS action, v.message AS message)) AS policy_violations",
             "_action AS action",
-            "_action != 'blocked' AS safe_to_send",
+            f"_action NOT IN ('blocked', {lit(REJECTED)}) AS safe_to_send",
             f"if(_text IS NULL, NULL, {_summaries('_matches', '_violations')}) AS summaries",
             "_redacted AS redacted_text",
             f"if(_text IS NULL, {lit(TOO_LONG)}, NULL) AS error",
-            f"if(_text IS NULL, {config.max_prompt_length}, NULL) AS max_length",
+            f"if(_text IS NULL, {'NULL' if limit is None else limit}, NULL) AS max_length",
         )
     )
 

@@ -15,8 +15,8 @@ TOOL_DAYS = 7
 def _counts() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("total_scans"),
-        F.sum(F.size("pii_detected")).cast("long").alias("pii_detections"),
-        F.sum(F.size("policy_violations")).cast("long").alias("policy_violations"),
+        F.sum(F.coalesce(F.array_size("pii_detected"), F.lit(0))).cast("long").alias("pii_detections"),
+        F.sum(F.coalesce(F.array_size("policy_violations"), F.lit(0))).cast("long").alias("policy_violations"),
         F.count_if(F.col("action_taken") == "blocked").alias("blocked_prompts"),
     ]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from textwarden.functions import risk
-from textwarden.operators.audit import EXPORT_LIMIT, RECENT_LIMIT
+from textwarden.operators.audit import RECENT_LIMIT
 from textwarden.operators.scan import REVIEW, SAFE, TOO_LONG
 from textwarden.operators.stats import TOOL_DAYS
 from textwarden.plans import registry, views
@@ -27,7 +27,7 @@ CORE_PATTERNS = active_patterns()
 ALL_PATTERNS = active_patterns(True)
 CORE_POLICIES = active_policies()
 ALL_POLICIES = active_policies(True)
-MAX_LENGTH = 10000
+MAX_LENGTH = registry.MAX_LENGTH
 
 
 def q(text: str) -> str:
@@ -50,7 +50,6 @@ EVENTS = (
     "SELECT event_id AS key, event_id, ts, user_id, event_type, "
     f"{_planted('event_id', 'props')} AS text FROM events"
 )
-FITTING = f"SELECT * FROM ({{}}) WHERE length(text) <= {MAX_LENGTH}"
 
 
 def _with(*ctes: str, recursive: bool = False) -> str:
@@ -185,7 +184,7 @@ SCANNED = (
 
 def _scan(source: str, matches: tuple[str, ...], redaction: tuple[str, ...], violations: str) -> tuple[str, ...]:
     """CTE ``scanned``."""
-    return (_src(FITTING.format(source)), *matches, *redaction, violations, PER_TEXT_M, PER_TEXT_V, SCANNED)
+    return (_src(source), *matches, *redaction, violations, PER_TEXT_M, PER_TEXT_V, SCANNED)
 
 
 CORE_SCAN = (_matches(CORE_PATTERNS), _merged(), _violations(CORE_POLICIES))
@@ -196,9 +195,7 @@ def _scan_rows(source: str, keys: str, parts: tuple) -> str:
         _with(*_scan(source, *parts))
         + f"SELECT {keys}, CASE WHEN action <> 'blocked' THEN redacted_text END AS redacted_prompt, pii_detected, "
         "policy_violations, action, action <> 'blocked' AS safe_to_send, n_pii, n_violations, redacted_text, "
-        "CAST(NULL AS VARCHAR) AS error, CAST(NULL AS BIGINT) AS max_length FROM scanned "
-        f"UNION ALL SELECT {keys}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {q(TOO_LONG)}, {MAX_LENGTH} "
-        f"FROM ({source}) WHERE length(text) > {MAX_LENGTH}"
+        "CAST(NULL AS VARCHAR) AS error, CAST(NULL AS BIGINT) AS max_length FROM scanned"
     )
 
 
@@ -383,7 +380,11 @@ def _entry_hashes() -> str:
     )
 
 
-def _log(*more: str, chain: str = "user", segment_rows: int = 250_000) -> str:
+# Rows of a segment, for a chain that is not cut.
+UNBROKEN = 2**62
+
+
+def _log(*more: str, chain: str = "user", segment_rows: int = UNBROKEN) -> str:
     """CTE ``log``: the scanned and hashed events."""
     chain_id = "'user-' || user_id" if chain == "user" else "'main'"
     return _with(
@@ -410,9 +411,14 @@ LOG_COLUMNS = (
     "session_id, redacted_text, n_pii, n_violations, hash FROM log"
 )
 NEWEST = "ORDER BY ts DESC, seq DESC, chain_id"
+CHECKED = (
+    "checked AS (SELECT *, sha256(head || before || tail) <> hash AS wrong, before <> prev_hash AS unlinked FROM (SELECT *, "
+    "coalesce(lag(hash) OVER (PARTITION BY chain_id ORDER BY seq), 'genesis') AS before FROM log))"
+)
 REPORT = (
-    "SELECT true AS valid, count(*) AS entries_checked, CAST(0 AS BIGINT) AS invalid_count, CAST(0 AS BIGINT) AS broken_links, "
-    "CAST(0 AS BIGINT) AS gaps, 'Hash chain is intact' AS message FROM "
+    "SELECT NOT bool_or(wrong) AS valid, count(*) AS entries_checked, count(*) FILTER (wrong) AS invalid_count, "
+    "count(*) FILTER (unlinked) AS broken_links, CAST(0 AS BIGINT) AS gaps, CASE WHEN bool_or(wrong) THEN 'Found ' || "
+    "count(*) FILTER (wrong) || ' invalid entries' ELSE 'Hash chain is intact' END AS message FROM "
 )
 DAILY = (
     "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS total_scans, CAST(sum(n_pii) AS BIGINT) AS pii_detections, "
@@ -437,6 +443,7 @@ def oracle_queries() -> dict[str, str]:
         "pii_matches": _pii_rows(CORE_PATTERNS),
         "pii_matches_extended": _pii_rows(ALL_PATTERNS),
         "pii_matches_custom": _pii_rows(active_patterns(custom=views.CUSTOM_PATTERNS)),
+        "pii_matches_from_file": _pii_rows(active_patterns(custom=views.CUSTOM_PATTERNS)),
         "pii_conversations": _with(_src(TURNS), *_matches(ALL_PATTERNS))
         + f"SELECT {turns}, type, value, s AS match_start, e AS match_end FROM m JOIN src USING (key)",
         "luhn_cards": _luhn_cards(),
@@ -464,6 +471,7 @@ def oracle_queries() -> dict[str, str]:
         "policy_violations": _violation_rows(CORE_POLICIES),
         "policy_violations_extended": _violation_rows(ALL_POLICIES),
         "policy_violations_custom": _violation_rows(active_policies(custom=views.CUSTOM_POLICIES)),
+        "policy_violations_from_file": _violation_rows(active_policies(custom=views.CUSTOM_POLICIES)),
         "policy_violations_whole_word": _violation_rows(CORE_POLICIES, whole_word=True),
         "policy_pages": _with(_src(PAGES), _violations(ALL_POLICIES))
         + "SELECT policy_name, matched_keyword, count(*) AS pages FROM v GROUP BY policy_name, matched_keyword",
@@ -474,6 +482,7 @@ def oracle_queries() -> dict[str, str]:
         + "SELECT coalesce(category, '*') AS category, coalesce(policy_name, '*') AS policy_name, count(*) AS violations "
         "FROM v GROUP BY ROLLUP (category, policy_name)",
         "policy_actions": _policy_actions(),
+        "policy_actions_ascii": _policy_actions(),
         "scan_prompts": _scan_rows(PROMPTS, "key AS doc_id", CORE_SCAN),
         "scan_without_pii": _scan_rows(
             PROMPTS, "key AS doc_id", ((NO_MATCHES,), (UNREDACTED,), _violations(ALL_POLICIES))
@@ -507,7 +516,27 @@ def oracle_queries() -> dict[str, str]:
         "scan_logged": _log()
         + "SELECT event_id, CASE WHEN action <> 'blocked' THEN redacted_text END AS redacted_prompt, action <> 'blocked' AS safe_to_send, "
         "action, n_pii, hash AS audit_hash FROM log",
-        "audit_verify": REPORT + "events",
+        # The chain recomputed from the entries, then held against its neighbours.
+        "audit_verify": _log(CHECKED, chain="main") + REPORT + "checked",
+        "audit_seals": _log(
+            f"ends AS (SELECT chain_id, segment, arg_max(hash, seq) AS last_hash FROM log GROUP BY ALL)",
+            "sealed AS (SELECT chain_id, segment, sha256('genesis:' || segment || ':' || last_hash) AS seal FROM ends WHERE segment = 0 "
+            "UNION ALL SELECT e.chain_id, e.segment, sha256(s.seal || ':' || e.segment || ':' || e.last_hash) FROM sealed s JOIN ends e "
+            "ON e.chain_id = s.chain_id AND e.segment = s.segment + 1)",
+            chain="main",
+            segment_rows=registry.SEGMENT_ROWS,
+        )
+        + "SELECT chain_id, max(segment) + 1 AS segments, arg_max(seal, segment) AS seal FROM sealed GROUP BY chain_id",
+        "audit_forged_segment": _log(
+            f"fresh AS (SELECT seq, CASE WHEN seq = 7 THEN regexp_replace(head, '\"original_text\": .*$', '\"original_text\": \"changed\", \"prev_hash\": \"', 's') "
+            f"ELSE head END AS head, tail FROM hashed WHERE seq <= {registry.SEGMENT_ROWS})",
+            "again AS (SELECT seq, sha256(head || 'genesis' || tail) AS hash FROM fresh WHERE seq = 1 UNION ALL "
+            "SELECT f.seq, sha256(f.head || a.hash || f.tail) FROM again a JOIN fresh f ON f.seq = a.seq + 1)",
+            chain="main",
+            segment_rows=registry.SEGMENT_ROWS,
+        )
+        + "SELECT l.chain_id, CAST(0 AS BIGINT) AS segment, l.hash AS recorded_hash, a.hash AS found_hash, CAST(0 AS BIGINT) AS wrong_entries "
+        f"FROM log l JOIN again a USING (seq) WHERE seq = least({registry.SEGMENT_ROWS}, (SELECT max(seq) FROM log))",
         "audit_verify_tampered": _log() + f"SELECT chain_id, seq, hash AS actual_hash FROM log WHERE {HIT}",
         "audit_verify_rehashed": _log(
             f"changed AS (SELECT *, CASE WHEN {HIT} THEN sha256(hash) ELSE hash END AS stored FROM log)",
@@ -515,9 +544,8 @@ def oracle_queries() -> dict[str, str]:
         )
         + "SELECT chain_id, seq, sha256(head || before || tail) AS expected_hash, stored AS actual_hash, before = prev_hash AS link_ok "
         "FROM seen WHERE sha256(head || before || tail) <> stored",
-        "audit_import": event_scan
-        + "SELECT row_number() OVER (ORDER BY ts, key) AS seq, pii_detected, policy_violations, 'events' AS origin, "
-        "true AS hash_ok, true AS link_ok FROM scanned",
+        "audit_import": _log(CHECKED, chain="main")
+        + "SELECT seq, pii_detected, policy_violations, 'events' AS origin, NOT wrong AS hash_ok, NOT unlinked AS link_ok FROM checked",
         "audit_heads": _log() + HEADS + " FROM log GROUP BY chain_id",
         "audit_cut_tails": _log(
             "ends AS (SELECT chain_id, max(seq) AS last_seq, max(seq) FILTER (CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events)) "
@@ -530,15 +558,19 @@ def oracle_queries() -> dict[str, str]:
         "audit_recent": _log() + f"{LOG_COLUMNS} {NEWEST} LIMIT {RECENT_LIMIT}",
         "audit_export_csv": _log()
         + "SELECT seq AS id, timestamp, event_type, action AS action_taken, n_pii AS pii_count, n_violations AS violation_count, hash "
-        f"FROM log WHERE timestamp >= '2024-01-10' {NEWEST} LIMIT {EXPORT_LIMIT}",
+        f"FROM log WHERE timestamp >= '2024-01-10' {NEWEST}",
         "audit_export_json": _log()
         + "SELECT event_id, seq, text AS original_text, redacted_text, CAST(user_id AS VARCHAR) AS user_id, pii_detected, 'events' AS origin, hash "
-        f"FROM log WHERE timestamp >= '2024-01-10' {NEWEST} LIMIT {EXPORT_LIMIT}",
+        f"FROM log WHERE timestamp >= '2024-01-10' {NEWEST}",
         "audit_purge": _log()
         + f"SELECT chain_id, count(*) AS kept, min(seq) AS first_seq FROM log WHERE ts >= {before} GROUP BY chain_id",
         "audit_purge_anchors": _log()
-        + f"SELECT chain_id, max(seq) AS anchor_seq, arg_max(hash, seq) AS anchor_hash, count(*) AS purged FROM log WHERE ts < {before} GROUP BY chain_id",
-        "audit_verify_purged": REPORT + f"events WHERE ts >= {before}",
+        + f"SELECT chain_id, max(seq) AS anchor_seq, arg_max(hash, seq) AS anchor_hash FROM log WHERE ts < {before} GROUP BY chain_id",
+        "audit_verify_purged": _log(CHECKED) + REPORT + f"checked WHERE ts >= {before}",
+        "audit_two_writers": _log() + HEADS + ", count(*) AS entries FROM log GROUP BY chain_id",
+        "audit_life": f"SELECT true AS valid, count(*) FILTER (ts >= {before}) AS entries_checked, CAST(0 AS BIGINT) AS invalid_count, "
+        "CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS gaps, 'Hash chain is intact' AS message, "
+        f"count(*) FILTER (ts < {before}) AS purged, CAST(0 AS BIGINT) AS cut FROM events",
         "audit_table": _log() + HEADS + ", count(*) AS entries FROM log GROUP BY chain_id",
         "stats_daily": event_scan + DAILY,
         "stats_merged": event_scan + DAILY,

@@ -6,6 +6,7 @@ Nested results are laid out as text or single columns, so that other engines can
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,7 @@ from textwarden.operators import stats as stats_op
 from textwarden.plans import views
 from textwarden.sources import catalogs
 from textwarden.sources.audit_table import AuditTable
+from textwarden.sources.files import create
 from textwarden.sources.scratch import materialise, new_path
 from textwarden.streaming import jobs
 
@@ -41,6 +43,7 @@ PURGE_BEFORE = retention_op.cutoff(dt.datetime(2024, 1, 28, 12, 0), 15)
 SEGMENT_ROWS = 100
 TAMPERED_EVERY = 97
 TOP_K = 25
+MAX_LENGTH = 10_000
 
 
 def _joined(items: Column, *fields: str) -> Column:
@@ -183,6 +186,20 @@ def pii_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_op.pii_totals(pii_op.with_matches(pages, "html", EXTENDED))
 
 
+def _catalog_file(spark: SparkSession, label: str, entries: dict) -> str:
+    """A catalog file in the shared folder."""
+    path = f"{new_path(spark, label)}.json"
+    create(spark, path, json.dumps(entries))
+    return path
+
+
+def pii_matches_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The custom patterns, read from a file."""
+    fields = ("pattern", "name", "severity", "description", "value_group")
+    entries = {p.type: {f: getattr(p, f) for f in fields} for p in views.CUSTOM_PATTERNS}
+    return _matches(spark, sf_dir, CORE, catalogs.load_patterns(spark, _catalog_file(spark, "patterns", entries)))
+
+
 # --- policies -------------------------------------------------------------------------------------------
 
 
@@ -194,6 +211,14 @@ def _violations(config: ScanConfig, custom=()) -> Query:
     return query
 
 
+def policy_violations_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The custom policies, read from a file."""
+    fields = ("category", "action", "severity", "message", "keywords", "regex_patterns")
+    entries = {p.name: {f: getattr(p, f) for f in fields} for p in views.CUSTOM_POLICIES}
+    policies = catalogs.load_policies(spark, _catalog_file(spark, "policies", entries))
+    return _violations(CORE, policies)(spark, sf_dir)
+
+
 def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations in raw web pages, by policy and what was matched."""
     found = policy_op.with_violations(views.table(spark, sf_dir, "pages"), "html", EXTENDED)
@@ -233,8 +258,18 @@ def policy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = policy_op.with_violations(views.prompts(spark, sf_dir), custom=views.CUSTOM_POLICIES)
-    done = policy_op.with_policy_actions(found)
+    return _policy_actions(spark, sf_dir, CORE)
+
+
+def policy_actions_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with regexes restricted to ASCII, for detection and redaction alike."""
+    return _policy_actions(spark, sf_dir, ScanConfig(unicode_regex=False))
+
+
+def _policy_actions(spark: SparkSession, sf_dir: str, config: ScanConfig) -> DataFrame:
+    custom = views.CUSTOM_POLICIES
+    found = policy_op.with_violations(views.prompts(spark, sf_dir), config=config, custom=custom)
+    done = policy_op.with_policy_actions(found, config=config, custom=custom)
     return done.select(
         "doc_id",
         "applied.processed_text",
@@ -268,8 +303,8 @@ def scan_actions_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_op.scan_table(views.turns(views.table(spark, sf_dir, "conversations")), "text", EXTENDED)
     return scanned.groupBy("role", "action").agg(
         F.count(F.lit(1)).alias("turns"),
-        F.sum(F.size("pii_detected")).alias("pii_found"),
-        F.sum(F.size("policy_violations")).alias("violations"),
+        F.sum(F.coalesce(F.array_size("pii_detected"), F.lit(0))).alias("pii_found"),
+        F.sum(F.coalesce(F.array_size("policy_violations"), F.lit(0))).alias("violations"),
     )
 
 
@@ -289,7 +324,8 @@ def scan_without_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_overlong(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a scan rejects for their length."""
-    scanned = scan_op.scan_table(views.table(spark, sf_dir, "documents"), "text", CORE)
+    config = ScanConfig(max_prompt_length=MAX_LENGTH)
+    scanned = scan_op.scan_table(views.table(spark, sf_dir, "documents"), "text", config)
     return scanned.filter(F.col("error").isNotNull()).select("doc_id", "error", _long("max_length").alias("max_length"))
 
 
@@ -377,13 +413,38 @@ def audit_chain_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select("event_id", "chain_id", "seq", "prev_hash", "hash")
 
 
-def _log(spark: SparkSession, sf_dir: str, chain: str = "user", **options) -> DataFrame:
-    return materialise(views.event_audit(spark, sf_dir, chain, **options), "audit")
+_stored_logs: dict[tuple, DataFrame] = {}
+
+
+def _log(spark: SparkSession, sf_dir: str, chain: str = "user", segment_rows: int | None = None) -> DataFrame:
+    """The log of all events as a stored table, written when the application first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, chain, segment_rows)
+    if key not in _stored_logs:
+        _stored_logs[key] = materialise(views.event_audit(spark, sf_dir, chain, segment_rows), "audit")
+    return _stored_logs[key]
 
 
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = chain_op.check_chain(_log(spark, sf_dir, "main", segment_rows=SEGMENT_ROWS), SEGMENT_ROWS)
-    return chain_op.chain_report(checked)
+    return chain_op.chain_report(chain_op.check_chain(_log(spark, sf_dir, "main")))
+
+
+def audit_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash over the ends of all segments of the cut chain."""
+    return chain_op.seals(chain_op.segment_ends(_log(spark, sf_dir, "main", SEGMENT_ROWS), SEGMENT_ROWS))
+
+
+def audit_forged_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first segment of a cut chain rewritten and hashed anew. Neighbours fit; the recorded ends do not."""
+    log = _log(spark, sf_dir, "main", SEGMENT_ROWS)
+    first = F.col("seq") <= SEGMENT_ROWS
+    changed = F.when(F.col("seq") == 7, F.lit("changed")).otherwise(F.col("original_text"))
+    names = [c for c in log.columns if c not in ("seq", "prev_hash", "hash")]
+    again = log.filter(first).withColumn("original_text", changed).select(*names, F.col("seq").alias("place"))
+    forged = chain_op.append_chain(again, order_by=("place",), segment_rows=SEGMENT_ROWS).drop("place")
+    forged = materialise(forged.unionByName(log.filter(~first)), "forged")
+    wrong = chain_op.invalid_entries(chain_op.check_chain(forged, SEGMENT_ROWS), links=True).count()
+    found = chain_op.check_segments(forged, chain_op.segment_ends(log, SEGMENT_ROWS), SEGMENT_ROWS)
+    return found.withColumn("wrong_entries", F.lit(wrong).cast("long"))
 
 
 def _tampered(log: DataFrame) -> DataFrame:
@@ -417,7 +478,7 @@ def audit_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         "action_taken", "user_id", "session_id", "to_json(metadata) AS metadata", "hash", "prev_hash",
     )
     imported = audit_op.import_log(log)
-    checked = chain_op.check_chain(imported, segment_rows=chain_op.ONE_SEGMENT)
+    checked = chain_op.check_chain(imported)
     return imported.join(checked.select("chain_id", "seq", "hash_ok", "link_ok"), ["chain_id", "seq"]).select(
         "seq",
         _joined(F.col("pii_detected"), "type", "name", "severity").alias("pii_detected"),
@@ -513,6 +574,32 @@ def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
     for batch, part in enumerate((events.filter(first), events.filter(first), events.filter(~first))):
         log.append(views.event_entries(part), max(batch - 1, 0), ("ts", "event_id"))
+    return _chain_ends(log)
+
+
+def audit_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers that both count their batches from 0, in one log: the second goes on where the first ended."""
+    log = AuditTable(spark, new_path(spark, "log"))
+    events = views.table(spark, sf_dir, "events")
+    first = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    log.append(views.event_entries(events.filter(first)), 0, ("ts", "event_id"), writer="early")
+    log.append(views.event_entries(events.filter(~first)), 0, ("ts", "event_id"), writer="late")
+    return _chain_ends(log)
+
+
+def audit_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append, append late entries, purge by time, check: the report and what is left of the log."""
+    log = AuditTable(spark, new_path(spark, "log"))
+    events = views.table(spark, sf_dir, "events")
+    late = F.col("event_id") % 10 == 0
+    log.append(views.event_entries(events.filter(~late)), 0, ("ts", "event_id"))
+    log.append(views.event_entries(events.filter(late)), 1, ("ts", "event_id"))
+    purged = log.purge(PURGE_BEFORE)
+    cut = log.cut_tails().count()
+    return chain_op.chain_report(log.check()).withColumns({"purged": F.lit(purged).cast("long"), "cut": F.lit(cut).cast("long")})
+
+
+def _chain_ends(log: AuditTable) -> DataFrame:
     return log.entries().groupBy("chain_id").agg(
         F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"), F.count(F.lit(1)).alias("entries")
     )
@@ -594,6 +681,7 @@ QUERIES: dict[str, Query] = {
     "pii_matches": pii_matches,
     "pii_matches_extended": pii_matches_extended,
     "pii_matches_custom": pii_matches_custom,
+    "pii_matches_from_file": pii_matches_from_file,
     "pii_conversations": pii_conversations,
     "luhn_cards": luhn_cards,
     "redact_literal": _redacted("[REDACTED]"),
@@ -612,11 +700,13 @@ QUERIES: dict[str, Query] = {
     "policy_violations_extended": _violations(EXTENDED),
     "policy_violations_custom": _violations(CORE, views.CUSTOM_POLICIES),
     "policy_violations_whole_word": _violations(ScanConfig(whole_word=True)),
+    "policy_violations_from_file": policy_violations_from_file,
     "policy_pages": policy_pages,
     "policy_summary_row": policy_summary_row,
     "policy_by_category": policy_by_category,
     "policy_rollup": policy_rollup,
     "policy_actions": policy_actions,
+    "policy_actions_ascii": policy_actions_ascii,
     "scan_prompts": scan_prompts,
     "scan_without_pii": scan_without_pii,
     "scan_without_policies": scan_without_policies,
@@ -632,6 +722,8 @@ QUERIES: dict[str, Query] = {
     "audit_chain_segments": audit_chain_segments,
     "scan_logged": scan_logged,
     "audit_verify": audit_verify,
+    "audit_seals": audit_seals,
+    "audit_forged_segment": audit_forged_segment,
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_rehashed": audit_verify_rehashed,
     "audit_import": audit_import,
@@ -646,6 +738,8 @@ QUERIES: dict[str, Query] = {
     "audit_purge_anchors": audit_purge_anchors,
     "audit_verify_purged": audit_verify_purged,
     "audit_table": audit_table,
+    "audit_two_writers": audit_two_writers,
+    "audit_life": audit_life,
     "stats_daily": stats_daily,
     "stats_merged": stats_merged,
     "stats_summary": stats_summary,

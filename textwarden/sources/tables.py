@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Up to this size a table may be a single row group, that is one task however many cores there are.
-SPREAD_BYTES = 256 * 1024 * 1024
 
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table as it is stored.
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread_small(spark.read.parquet(path))
-
-
-def spread_small(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
-    """Deal the rows of a small table out to all cores, as scanning text costs far more than moving it.
-
-    Larger tables have enough row groups of their own and are left as they are.
+    Scanning text costs far more than moving it, so a caller whose table is a few large row groups can have its rows
+    dealt out to ``partitions`` tasks.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > limit:
-        return df
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    table = spark.read.parquet(path)
+    return table if partitions is None else table.repartition(partitions)

@@ -26,14 +26,17 @@ def audit_stream(
     table: AuditTable,
     to_entries: Callable[[DataFrame], DataFrame],
     order_by: tuple[str, ...] = ("timestamp",),
+    writer: str = "stream",
 ) -> DataStreamWriter:
     """Append each micro-batch to the log under its batch number; a replayed one is not appended twice.
 
-    ``to_entries`` turns a batch of the stream into audit entries. The caller sets trigger and checkpoint.
+    ``to_entries`` turns a batch of the stream into audit entries. The caller sets trigger and checkpoint. Batch numbers
+    belong to a checkpoint, so every stream with a checkpoint of its own needs its own ``writer``; a number that comes
+    again with other entries stops the stream.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        table.append(to_entries(batch), batch_id, order_by)
+        table.append(to_entries(batch), batch_id, order_by, writer)
 
     return stream.writeStream.foreachBatch(append)
 
@@ -45,8 +48,8 @@ def statistics_stream(entries: DataFrame, ts_col: str = "ts", delay: str = "1 da
         .groupBy(F.window(ts_col, "1 day").alias("w"))
         .agg(
             F.count(F.lit(1)).alias("total_scans"),
-            F.sum(F.size("pii_detected")).cast("long").alias("pii_detections"),
-            F.sum(F.size("policy_violations")).cast("long").alias("policy_violations"),
+            F.sum(F.coalesce(F.array_size("pii_detected"), F.lit(0))).cast("long").alias("pii_detections"),
+            F.sum(F.coalesce(F.array_size("policy_violations"), F.lit(0))).cast("long").alias("policy_violations"),
             F.sum((F.col("action_taken") == "blocked").cast("long")).alias("blocked_prompts"),
         )
         .select(
@@ -64,15 +67,16 @@ def rate_breach_stream(entries: DataFrame, max_per_minute: int = 60, ts_col: str
     return rate_breaches(entries.withWatermark(ts_col, delay), max_per_minute, "1 minute", ts_col)
 
 
-def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream of its files."""
+def read_table_stream(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet file or folder as a stream of its files; ``partitions`` deals each batch out to so many tasks."""
     folder, _, name = path.rstrip("/").rpartition("/")
     schema = spark.read.parquet(path).schema
     if is_file(spark, path):
-        # The source lists folders; a single file is picked by name, and may be one task unless dealt out.
+        # The source lists folders; a single file is picked by name.
         stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-        return stream.repartition(2 * spark.sparkContext.defaultParallelism)
-    return spark.readStream.schema(schema).parquet(path)
+    else:
+        stream = spark.readStream.schema(schema).parquet(path)
+    return stream if partitions is None else stream.repartition(partitions)
 
 
 def run_to_table(result: DataFrame, label: str) -> DataFrame:
