@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ BPE = 2
 # A worker forgets its words when it holds so many.
 WORDS = 800_000
 ROWS_OUT = 256
+# Up to so many characters a word is merged without a priority queue.
+SHORT = 64
+NO_MERGE = float("-inf")
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -124,6 +128,7 @@ class Model:
             if self.user_defined
             else None
         )
+        self.merge_scores = {piece: score for piece, (score, _) in self.scores.items()}
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.scores)
         self.end_id = self.pieces.index("</s>")
 
@@ -208,6 +213,39 @@ class Model:
                 symbols += [*word[last : m.start()], m[0]]
                 last = m.end()
             symbols += word[last:]
+        symbols = self._merged_short(symbols) if len(symbols) <= SHORT and not self.user_pattern else self._merged(symbols)
+        scores, ids, widths = self.scores, [], []
+        for symbol in symbols:
+            raw = symbol.encode()
+            if found := scores.get(symbol):
+                ids.append(found[1])
+                widths.append(len(raw))
+            elif self.byte_ids:
+                ids += [self.byte_ids[b] for b in raw]
+                widths += [1] * len(raw)
+            elif ids and ids[-1] == self.unknown:
+                widths[-1] += len(raw)
+            else:
+                ids.append(self.unknown)
+                widths.append(len(raw))
+        return ids, widths
+
+    def _merged_short(self, symbols: list[str]) -> list[str]:
+        """All merges, with the scores of the pairs in a list: for words the quickest way."""
+        score = self.merge_scores.get
+        pairs = [score(a + b, NO_MERGE) for a, b in pairwise(symbols)]
+        while pairs and (best := max(pairs)) != NO_MERGE:
+            i = pairs.index(best)
+            symbols[i : i + 2] = [merged := symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(merged + symbols[i + 1], NO_MERGE)
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + merged, NO_MERGE)
+        return symbols
+
+    def _merged(self, symbols: list[str]) -> list[str]:
+        """All merges, with the pairs in a priority queue, so that a word of any length takes n log n steps."""
         n = len(symbols)
         following, previous = [*range(1, n), -1], [*range(-1, n - 1)]
         scores = self.scores
@@ -232,21 +270,7 @@ class Model:
             before = previous[i]
             if before >= 0 and (found := scores.get(symbols[before] + merged)) and symbols[before] not in fixed:
                 heappush(agenda, (-found[0], before, symbols[before] + merged))
-        ids, widths = [], []
-        for symbol in filter(None, symbols):
-            raw = symbol.encode()
-            if found := scores.get(symbol):
-                ids.append(found[1])
-                widths.append(len(raw))
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in raw]
-                widths += [1] * len(raw)
-            elif ids and ids[-1] == self.unknown:
-                widths[-1] += len(raw)
-            else:
-                ids.append(self.unknown)
-                widths.append(len(raw))
-        return ids, widths
+        return [x for x in symbols if x]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; a blank that the encoder put in front goes."""
