@@ -86,10 +86,12 @@ def unary_counts_of(fp: np.ndarray) -> np.ndarray:
 
 def grid_masks(distance: int) -> list[int]:
     """For every choice of ``distance`` of ``2 * distance`` blocks, the bits of their coordinates, as signed longs."""
+    if not distance:
+        return [-1]
     blocks = 2 * distance
     edges = [2 * (SEGMENTS * b // blocks) for b in range(blocks + 1)]
     bits = [((1 << edges[b + 1]) - 1) ^ ((1 << edges[b]) - 1) for b in range(blocks)]
-    masks = [sum(chosen) for chosen in combinations(bits, distance)] if distance else [(1 << 64) - 1]
+    masks = [sum(chosen) for chosen in combinations(bits, distance)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
