@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 from array import array
 from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 # A worker forgets its words when it holds so many.
 WORDS = 800_000
-BAR = b"|"
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -18,6 +19,18 @@ def _words(raw: bytes) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for; ``new`` has those not dealt with yet."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokenizer:
     """Encodes what stands between ASCII blanks on its own.
 
@@ -27,54 +40,64 @@ class WordTokenizer:
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
-        (self.bar,) = self._encoded([BAR.decode()])[0].ids
+        self.merge = self.tokenizer.model.tokenize
+        # The characters that stand for bytes, as the library writes them.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
+        self.marks = {m: self._encoded([m])[0].ids for m in ".,"}
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words = _Numbers()
         # Buffers are never empty: one unused place.
         self.ids, self.starts = array("I", [0]), array("q", [1])
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of words not met before. They are encoded as one text, with a bar between each two; a bar's id comes
-        from nothing else, as words that hold one are encoded on their own."""
-        plain, odd = [w for w in new if BAR not in w], [w for w in new if BAR in w]
-        found = [e.ids for e in self._encoded([w.decode() for w in odd])]
-        lengths = [len(x) for x in found]
-        flat = [np.array(x, np.uint32) for x in found]
-        if plain:
-            joined = f" {BAR.decode()} ".join([w.decode() for w in plain])
-            ids = np.array(self._encoded([joined])[0].ids, np.uint32)
-            bars = np.flatnonzero(ids == self.bar)
-            lengths = np.concatenate([lengths, np.diff(bars, prepend=-1, append=len(ids)) - 1]).astype(np.int64)
-            flat.append(np.delete(ids, bars))
-        first = len(self.words)
-        self.words.update(zip([*odd, *plain], range(first, first + len(new)), strict=True))
-        self.ids.frombytes(np.concatenate(flat).tobytes())
-        self.starts.frombytes((self.starts[-1] + np.cumsum(lengths, dtype=np.int64)).tobytes())
-
     def _encoded(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
+    def _merged(self, word: str) -> list[int] | None:
+        """Ids of a word of plain letters, with a point or comma after it; None for other words.
+
+        Letters are one piece for the tokenizer, and a point after them another; only the merges are left to do.
+        """
+        mark = word[-1]
+        stem = word[:-1] if mark in self.marks else word
+        if not stem.isalpha() or stem != stem.lower():
+            return None
+        if not stem.isascii():
+            if max(stem) >= "\u0250" or not is_normalized("NFC", stem):
+                return None
+            stem = stem.translate(self.letters)
+        ids = [t.id for t in self.merge(stem)]
+        return ids + self.marks[mark] if mark in self.marks else ids
+
+    def _learn(self) -> None:
+        """Ids of the words not met before."""
+        found = [self._merged(w.decode()) for w in self.words.new]
+        odd = [i for i, ids in enumerate(found) if ids is None]
+        for i, encoding in zip(odd, self._encoded([self.words.new[i].decode() for i in odd]), strict=True):
+            found[i] = encoding.ids
+        self.ids.extend(chain.from_iterable(found))
+        self.starts.frombytes((self.starts[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)).tobytes())
+        self.words.new = []
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text as unsigned 32-bit numbers."""
         if len(self.words) > WORDS:
             self._forget()
-        split = [_words(t.encode()) for t in texts]
-        places = [list(map(self.words.get, words)) for words in split]
-        missing = {w for words, at in zip(split, places, strict=True) if None in at for w, i in zip(words, at, strict=True) if i is None}
-        if missing:
-            self._learn(list(missing))
-            places = [
-                list(map(self.words.get, words)) if None in at else at for words, at in zip(split, places, strict=True)
-            ]
+        number = self.words.__getitem__
+        places = []
+        for text in texts:
+            words = _words(text.encode())
+            places.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if self.words.new:
+            self._learn()
         starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
         out = []
-        for found in places:
-            at = np.array(found, np.int64)
+        for at in places:
             first, count = starts[at], starts[at + 1] - starts[at]
             out.append(ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())])
         del starts, ids
