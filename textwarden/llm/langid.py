@@ -178,8 +178,10 @@ class Scorer:
         if len(self.words) > WORDS:
             self._forget()
         model = self.model
-        rows = [self.total(words_of(t or "")) for t in texts]
-        empty = np.array([n == 0 for _, n in rows])
+        counted = [words_of(t or "") for t in texts]
+        rows = [self.total(words) for words in counted]
+        # Signs like a raised two count as parts of words, but are no letters.
+        empty = np.array([not any(c.isalpha() for w in words for c in w) for words in counted])
         if not model.languages:
             empty[:] = True
             chances = np.ones((len(texts), 1))
