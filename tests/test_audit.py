@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import shutil
 
 import pytest
@@ -90,6 +91,24 @@ def test_only_one_appender_commits_a_version(spark, table, monkeypatch):
         table.append(entries(spark, 158, 8), 3, ("n",))
 
 
+def test_append_leaves_no_intermediate_tables(spark, tmp_path):
+    from textwarden.sources.scratch import new_path, shared_dir
+
+    log = AuditTable(spark, str(tmp_path / "log"))
+    mark = new_path(spark, "mark")
+    folder = mark.removeprefix("file:").rpartition("/")[0]
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert log.append(entries(spark, 0, 30), 0, ("n",)) and log.purge(START + dt.timedelta(hours=5)) == 5
+    assert set(os.listdir(folder)) == before and shared_dir(spark) in mark
+
+
+def test_empty_batches(spark, tmp_path):
+    log = AuditTable(spark, str(tmp_path / "log"))
+    assert log.append(entries(spark, 0, 0), 0, ("n",)) and log.entries().isEmpty()
+    assert log.append(entries(spark, 0, 5), 1, ("n",)) and not log.append(entries(spark, 0, 0), 0, ("n",))
+    assert chain_report(log.check()).first().entries_checked == 5
+
+
 def test_writers_count_their_own_batches(spark, table):
     assert table.append(entries(spark, 150, 8), 0, ("n",), writer="other")
     assert not table.append(entries(spark, 150, 8), 0, ("n",), writer="other")

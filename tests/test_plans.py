@@ -40,6 +40,11 @@ def test_row_wise_operators_do_not_shuffle(spark):
         assert "Exchange" not in physical(df)
 
 
+def test_registered_scans_do_not_shuffle(spark):
+    for name in ("scan_prompts", "scan_without_pii", "scan_without_policies", "redact_type", "compliance", "policy_actions"):
+        assert "Exchange" not in physical(QUERIES[name](spark, SF_DIR)), name
+
+
 def test_each_text_is_searched_once(spark):
     scanned = scan_table(documents(spark))
     for df in (

@@ -13,7 +13,7 @@ from textwarden.functions.canonical import iso_timestamp
 from textwarden.functions.sql import ident, lit
 from textwarden.operators.chain import MAIN_CHAIN, append_chain
 from textwarden.operators.scan import scan_table
-from textwarden.sources.scratch import materialise
+from textwarden.sources.scratch import cleaned_up, materialise
 
 DEFAULT_LIMIT = 100
 RECENT_LIMIT = 50
@@ -178,7 +178,8 @@ def export_logs(
     rows = export_rows(audit, format, limit, **filters)
     if format == "json":
         rows.write.json(path)
-    else:
+        return
+    with cleaned_up(audit.sparkSession):
         rows = materialise(rows, "export")
         rows.write.option("header", not rows.isEmpty()).csv(path)
 

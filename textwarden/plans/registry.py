@@ -490,7 +490,7 @@ def audit_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain_op.chain_heads(views.event_audit(spark, sf_dir))
+    return chain_op.chain_heads(_log(spark, sf_dir))
 
 
 def audit_cut_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,12 +551,12 @@ def audit_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that stay after a purge, per chain."""
-    kept = retention_op.kept_entries(views.event_audit(spark, sf_dir), PURGE_BEFORE)
+    kept = retention_op.kept_entries(_log(spark, sf_dir), PURGE_BEFORE)
     return kept.groupBy("chain_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first_seq"))
 
 
 def audit_purge_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retention_op.purge_anchors(views.event_audit(spark, sf_dir), PURGE_BEFORE)
+    return retention_op.purge_anchors(_log(spark, sf_dir), PURGE_BEFORE)
 
 
 def audit_verify_purged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from textwarden.operators.chain import (
 from textwarden.operators.retention import kept_entries, purge_anchors, purged_entries
 from textwarden.operators.stats import daily_statistics, merge_statistics
 from textwarden.sources.files import create, delete, exists, glob, rename
-from textwarden.sources.scratch import materialise
+from textwarden.sources.scratch import cleaned_up, materialise
 
 ENTRIES_SCHEMA = (
     "chain_id string, timestamp string, ts timestamp_ntz, event_type string, original_text string, "
@@ -123,6 +123,11 @@ class AuditTable:
             return False
         if (used.agg(F.max("batch")).first()[0] or -1) > batch:
             raise ValueError(f"writer {writer!r} has appended a batch after {batch} already")
+        with cleaned_up(self.spark):
+            self._append_version(entries, batch, order_by, writer)
+        return True
+
+    def _append_version(self, entries: DataFrame, batch: int, order_by: tuple[str, ...], writer: str) -> None:
         version = self._committed() + 1
         self._clear(version)
         if self.segment_rows is not None and not exists(self.spark, self._folder("properties.json")):
@@ -155,7 +160,6 @@ class AuditTable:
             for old in glob(self.spark, f"{self._folder('heads')}/bucket={bucket}/version=*"):
                 if int(old.rpartition("=")[2]) < version:
                     delete(self.spark, old)
-        return True
 
     def _write(self, rows: DataFrame, name: str, *by: str) -> None:
         rows.write.mode("append").partitionBy(*by).parquet(self._folder(name))
@@ -197,7 +201,10 @@ class AuditTable:
         purged = purged_entries(entries, before).count()
         if not purged:
             return 0
-        materialise(purge_anchors(entries, before), "anchors").write.mode("append").parquet(self._folder("anchors"))
+        with cleaned_up(self.spark):
+            # Written first, as a table is not appended to while it is read.
+            anchors = materialise(purge_anchors(entries, before), "anchors")
+            anchors.write.mode("append").parquet(self._folder("anchors"))
         day = before.date()
         for folder in glob(self.spark, f"{self._folder('entries')}/dt=*"):
             name = folder.rpartition("=")[2]
