@@ -16,11 +16,11 @@ beyond counting labels. Without any labelled text every row gets ``und``. A long
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textwarden.llm.worker_memory import remembered
+
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 # A worker forgets its words when it holds so many.
-WORDS = 400_000
+WORDS = 250_000
 
 
 def _features(word: str, buckets: int) -> list[int]:
@@ -192,11 +194,8 @@ class Scorer:
         return names, score, empty | (score < model.threshold)
 
 
-@lru_cache(maxsize=2)
 def _scorer(pickled: bytes) -> Scorer:
-    import pickle
-
-    return Scorer(pickle.loads(pickled))
+    return remembered(("langid", pickled), lambda: Scorer(pickle.loads(pickled)))
 
 
 def labelled_sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int) -> DataFrame:
@@ -228,8 +227,6 @@ def fit(
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``lang_pred, score, rejected``."""
-    import pickle
-
     pickled = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

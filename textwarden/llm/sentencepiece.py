@@ -18,7 +18,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textwarden.llm.columns import narrowed
+from textwarden.llm.worker_memory import remembered
 
 MARK = "▁"
 # Kinds of pieces and fields of a model file.
@@ -335,10 +335,9 @@ class Encoder:
         )
 
 
-@lru_cache(maxsize=2)
 def encoder(content: bytes) -> Encoder:
-    """One per worker and model; a worker that is used again keeps its words."""
-    return Encoder(Model(content))
+    """The worker's encoder for a model, with the words it has met in earlier tasks."""
+    return remembered(("sentencepiece", content), lambda: Encoder(Model(content)))
 
 
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 
+from textwarden.llm.worker_memory import remembered
+
 # A worker forgets its words when it holds so many.
-WORDS = 800_000
+WORDS = 500_000
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -104,6 +105,6 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(definition: str) -> WordTokenizer:
-    return WordTokenizer(definition)
+    """The worker's tokenizer, with the words it has met in earlier tasks."""
+    return remembered(("tokens", definition), lambda: WordTokenizer(definition))
