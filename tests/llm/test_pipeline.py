@@ -9,7 +9,8 @@ import __spark_entry__ as contract
 from compare import difference, duck
 from conftest import SF_DIR
 
-from textwarden.llm.queries import ORACLE_SQL, QUERIES
+from textwarden.llm.oracles import ORACLE_SQL
+from textwarden.llm.queries import QUERIES
 from textwarden.llm.secrets import scan_secrets
 from textwarden.llm.simhash import fingerprint
 

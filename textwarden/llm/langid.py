@@ -226,7 +226,7 @@ def fit(
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, score, rejected``."""
+    """The columns of ``docs`` and ``lang_pred, score, rejected``, which take the place of columns of that name."""
     pickled = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +247,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     more = [("__lang", T.StringType()), ("__score", T.DoubleType()), ("__rejected", T.BooleanType())]
     schema = T.StructType([*passed.schema.fields, *(T.StructField(name, kind) for name, kind in more)])
     found = passed.mapInArrow(run, schema)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     return found.select(
-        *[found["__text"].alias(text_col) if c == text_col else found[c] for c in docs.columns],
+        *[found["__text"].alias(text_col) if c == text_col else found[c] for c in kept],
         found["__lang"].alias("lang_pred"),
         found["__score"].alias("score"),
         found["__rejected"].alias("rejected"),

@@ -1,4 +1,4 @@
-"""One query per operator over its whole table, and their SQL where SQL can express them."""
+"""One query per operator over its whole table."""
 
 from __future__ import annotations
 
@@ -119,11 +119,3 @@ QUERIES: dict[str, Query] = {
         op10_lm_scoring,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op4_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-    """,
-}
