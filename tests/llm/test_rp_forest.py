@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textwarden.llm import rp_forest
 from textwarden.llm.rp_forest import grow, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, rank string"
@@ -90,3 +92,21 @@ def test_queue_opens_leaves_by_violated_margin():
     assert costs == pytest.approx(sorted(costs))
     sizes = np.bincount(forest.leaves(sample)[0], minlength=1 << forest.depth)
     assert sizes.max() <= 3 * sizes.mean()
+
+
+def test_slices_and_parts_of_blocks_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = {i: v.tolist() for i, v in enumerate(rng.normal(size=(900, 8)))}
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors.items()], SCHEMA).repartition(4)
+    for name, value in {"SLICE": 60, "BLOCK": 150, "DEEPEST": 1}.items():
+        monkeypatch.setattr(rp_forest, name, value)
+    classes = df.selectExpr("vec_id AS class_id", "cast(embedding AS array<double>) AS vec")
+    queries = classes.where("class_id % 3 = 0")
+    sample = np.array([r.vec for r in classes.orderBy("class_id").collect()])
+    forest = grow(sample, 900, float(np.linalg.norm(sample, axis=1).max()), trees=2)
+    met = rp_forest._candidates(classes, queries, forest, 4, 900, 5)
+    got = {(r["query"], r.class_id) for r in met.collect()}
+    scores = sample[::3] @ sample.T
+    for at, q in enumerate(range(0, 900, 3)):
+        assert {(q, int(i)) for i in np.argsort(-scores[at])[:6]} <= got
+    assert set(rp_forest.spread(pa.array([-3, 0, 5, 900]), 7)) <= set(range(7))

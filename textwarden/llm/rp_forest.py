@@ -12,7 +12,8 @@ compared with all vectors, and the leaves are counted that hold the wanted share
 Equal vectors are one entry of the index with the smallest ids it stands for: with ``k`` neighbours wanted, only the
 ``k + 1`` smallest ids of a vector can ever be returned, so nothing is lost when a third of all rows are one vector.
 Leaves and queries meet in blocks (a subtree each) of about ``BLOCK`` vectors, and a block hands on the best few of each
-query. Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose length is not the
+query. A block that is larger, as the depth is bounded, is dealt to parts; queries come in slices of about ``SLICE``, each
+with its own copy of the block, and are multiplied in tiles. So no task's memory grows with the table. Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose length is not the
 commonest one.
 """
 
@@ -37,6 +38,9 @@ LEAF = 128
 TREES = 8
 # Leaves of a tree at most: the sample still tells their medians.
 DEEPEST = 10
+# Queries that meet a block in one task, and the sides of a tile of products there.
+SLICE = 65_536
+TILE = 1_024
 # Candidates of a block beyond those wanted, as products are summed in another order there.
 SPARE = 8
 
@@ -147,6 +151,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
 
 
+def spread(ids: pa.Array, shares: int) -> np.ndarray:
+    """Share of every id, the same on both sides of a block; ids that follow a pattern are mixed first."""
+    mixed = ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(shares)).astype(np.int64)
+
+
 def true_neighbours(classes: DataFrame, queries: np.ndarray, k: int) -> list[list[int]]:
     """Exact nearest classes of a few queries, among all; a batch hands on its best."""
 
@@ -229,6 +239,8 @@ def _candidates(
     """``query, class_id``: the best candidates of every query in every block."""
     bits = min(forest.depth, max(1, int(np.ceil(np.log2(rows / BLOCK)))) if forest.depth else 0)
     shift = forest.depth - bits
+    parts = max(1, -(-rows // (BLOCK << bits)))
+    slices = max(1, -(-queries.count() // SLICE))
     content = pickle.dumps(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +250,12 @@ def _candidates(
                 continue
             vectors = _vectors(batch["vec"])
             for tree, leaf in enumerate(own.leaves(vectors)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((tree << bits) + (leaf >> shift)), pa.array(leaf), batch["class_id"], batch["vec"]],
-                    names=["block", "leaf", "class_id", "vec"],
-                )
+                block = ((tree << bits) + (leaf >> shift)) * parts + spread(batch["class_id"], parts)
+                for piece in range(slices):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block * slices + piece), pa.array(leaf), batch["class_id"], batch["vec"]],
+                        names=["block", "leaf", "class_id", "vec"],
+                    )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(content)
@@ -257,10 +271,12 @@ def _candidates(
                     blocks += by_block
                     leaves += by_block.values()
                 took = batch.take(pa.array(place, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks, pa.int64()), took["class_id"], took["vec"], pa.array(leaves, pa.list_(pa.int64()))],
-                    names=["block", "query", "vec", "leaves"],
-                )
+                lists, own_slice = pa.array(leaves, pa.list_(pa.int64())), spread(took["class_id"], slices)
+                for part in range(parts):
+                    block = (np.array(blocks, np.int64) * parts + part) * slices + own_slice
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block), took["class_id"], took["vec"], lists], names=["block", "query", "vec", "leaves"]
+                    )
 
     def meet(held: pa.Table, asked: pa.Table) -> pa.Table:
         wanted = k + 1 + SPARE
@@ -280,12 +296,14 @@ def _candidates(
         for number in np.unique(leaf):
             a, b = np.searchsorted(leaf, [number, number + 1])
             c, d = np.searchsorted(visited, [number, number + 1])
-            who = visitor[c:d]
-            if len(who):
-                new = query[who] @ vectors[a:b].T
-                both = np.concatenate([scores[who], new], 1)
-                names = np.concatenate([best[who], np.broadcast_to(ids[a:b], new.shape)], 1)
-                scores[who], best[who] = _best(both, names, wanted)
+            for at in range(c, d, TILE):
+                who = visitor[at : min(at + TILE, d)]
+                for low in range(a, b, TILE):
+                    high = min(low + TILE, b)
+                    new = query[who] @ vectors[low:high].T
+                    both = np.concatenate([scores[who], new], 1)
+                    names = np.concatenate([best[who], np.broadcast_to(ids[low:high], new.shape)], 1)
+                    scores[who], best[who] = _best(both, names, wanted)
         found = best >= 0
         return pa.table(
             {
