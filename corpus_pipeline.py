@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from textwarden.llm import langid
 from textwarden.llm.exact_dedup import deduplicate
-from textwarden.llm.near_copies import near_copies
 from textwarden.llm.packing import pack_documents
 from textwarden.llm.secrets import redacted, scan_secrets
 from textwarden.llm.ship import ship
+from textwarden.llm.simhash import near_duplicates
 from textwarden.sources.scratch import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +41,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles of five words only the one with the smallest id goes on."""
+    """Of documents whose SimHash fingerprints of 4-word shingles link at 4 or fewer differing bits, only the one with
+    the smallest id goes on (op1's operator with op1's contract)."""
     ship(spark)
-    found = near_copies(docs)
+    found = near_duplicates(docs, distance=SIMHASH_BITS, words=SIMHASH_WORDS)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
 
