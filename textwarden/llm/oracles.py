@@ -57,3 +57,49 @@ def secrets() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup(), "op5_secrets": secrets()}
+
+
+def centroids(clusters: int = 40, rounds: int = 5, dims: int = 64, limit: int = 1 << 19) -> str:
+    """k-means on quantised vectors, its rounds written out one after the other."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v
+            FROM embeddings WHERE len(embedding) = {dims}
+            AND list_bool_and(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x IS NOT NULL AND abs(x) < {limit})))""",
+        """comp AS MATERIALIZED (SELECT rid, generate_subscripts(v, 1) AS d, CAST(floor(unnest(v) * 256) AS BIGINT) AS q
+            FROM kept)""",
+        f"""seeds AS MATERIALIZED (SELECT rid, row_number() OVER (ORDER BY key, qv, vec_id) - 1 AS c FROM (
+            SELECT rid, vec_id, sha256('2:' || CAST(vec_id AS VARCHAR)) AS key,
+                list_transform(v, lambda x: CAST(floor(x * 256) AS BIGINT)) AS qv FROM kept WHERE vec_id IS NOT NULL)
+            ORDER BY key, qv, vec_id LIMIT {clusters})""",
+        "c0 AS MATERIALIZED (SELECT s.c, p.d, p.q AS x FROM seeds s JOIN comp p USING (rid))",
+    ]
+
+    def assigned(r: int, before: str) -> None:
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT rid, c, dd FROM (SELECT p.rid, m.c, sum((p.q - m.x) * (p.q - m.x)) AS dd
+                FROM comp p JOIN {before} m USING (d) GROUP BY p.rid, m.c)
+                QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dd, c) = 1)"""
+        )
+
+    for r in range(1, rounds + 1):
+        assigned(r, f"c{r - 1}")
+        total, n = "CAST(sum(p.q) AS HUGEINT)", "count(*)"
+        steps.append(
+            f"""c{r} AS MATERIALIZED (SELECT a.c, p.d, CAST(({total} - ((({total}) % {n}) + {n}) % {n}) // {n} AS BIGINT) AS x
+                FROM a{r} a JOIN comp p USING (rid) GROUP BY a.c, p.d
+                UNION ALL SELECT c, d, x FROM c{r - 1} WHERE c NOT IN (SELECT c FROM a{r}))"""
+        )
+    last = rounds + 1
+    assigned(last, f"c{rounds}")
+    return f"""
+        WITH {", ".join(steps)},
+        digest AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256
+            FROM c{rounds} GROUP BY c)
+        SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.dd AS BIGINT) AS distance,
+            CAST(sum(a.dd) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.dd) OVER () AS BIGINT) AS inertia,
+            h.centroid_sha256
+        FROM a{last} a JOIN kept k USING (rid) JOIN digest h USING (c)
+    """
+
+
+ORACLE_SQL["op11_centroids"] = centroids()

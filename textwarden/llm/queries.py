@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm.bootstrap_pii import KINDS, find_pii
+from textwarden.llm.centroids import cluster
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
 from textwarden.llm.langid import fit, held_out, identify
@@ -93,6 +94,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", out)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -117,5 +122,6 @@ QUERIES: dict[str, Query] = {
         op8_langid,
         op9_packing,
         op10_lm_scoring,
+        op11_centroids,
     )
 }
