@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.bootstrap_pii import KINDS, find_pii
 from textwarden.llm.centroids import cluster
+from textwarden.llm.chosen_path import near_duplicates as set_near_duplicates
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
 from textwarden.llm.langid import fit, held_out, identify
@@ -98,6 +99,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_near_duplicates(documents(spark, sf_dir))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -123,5 +128,6 @@ QUERIES: dict[str, Query] = {
         op9_packing,
         op10_lm_scoring,
         op11_centroids,
+        op12_chosen_path,
     )
 }
