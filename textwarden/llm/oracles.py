@@ -103,3 +103,36 @@ def centroids(clusters: int = 40, rounds: int = 5, dims: int = 64, limit: int =
 
 
 ORACLE_SQL["op11_centroids"] = centroids()
+
+
+def collocations(min_count: int = 100, longest: int = 5, top: int = 2000) -> str:
+    """All phrases counted outright, the weakest cut of each candidate, containment by one word more."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS text
+            FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+        w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, ws[i:i + m - 1] AS words
+            FROM w, range(1, {longest} + 1) r(m), LATERAL (SELECT unnest(range(1, len(ws) - m + 2)) AS i)),
+        f AS MATERIALIZED (SELECT lang, m, phrase, any_value(words) AS words, count(*) AS f FROM g GROUP BY lang, m, phrase),
+        c AS (SELECT * FROM f WHERE m >= 2 AND f >= {min_count}),
+        cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, fl.f AS l, fr.f AS r, n.n,
+                CAST((CAST(1000 AS HUGEINT) * c.f * n.n) // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+            FROM c, range(1, {longest}) q(k), f fl, f fr, n
+            WHERE k < c.m AND fl.lang = c.lang AND fl.phrase = array_to_string(c.words[1:k], ' ')
+              AND fr.lang = c.lang AND fr.phrase = array_to_string(c.words[k + 1:], ' ') AND n.lang = c.lang),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, array_to_string(words[2:], ' ') AS phrase, f AS outer_f FROM c
+            UNION ALL SELECT lang, array_to_string(words[:m - 1], ' '), f FROM c),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS
+            (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND i.outer_f >= b.a))
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+            CAST(r AS BIGINT) AS r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        WHERE rank <= {top}
+    """
+
+
+ORACLE_SQL["op13_collocations"] = collocations()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.bootstrap_pii import KINDS, find_pii
 from textwarden.llm.centroids import cluster
+from textwarden.llm.collocations import collocations
 from textwarden.llm.chosen_path import near_duplicates as set_near_duplicates
 from textwarden.llm.columns import documents
 from textwarden.llm.exact_dedup import duplicate_classes
@@ -103,6 +104,10 @@ def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_near_duplicates(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -129,5 +134,6 @@ QUERIES: dict[str, Query] = {
         op10_lm_scoring,
         op11_centroids,
         op12_chosen_path,
+        op13_collocations,
     )
 }
