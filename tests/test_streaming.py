@@ -70,3 +70,17 @@ def test_rate_breaches_as_minutes_close(spark, tmp_path):
     stream = spark.readStream.schema("user_id string, ts timestamp").parquet(source)
     got = jobs.run_to_table(jobs.rate_breach_stream(stream, 2), "rate-test").collect()
     assert [(r.user_id, r.requests) for r in got] == [("a", 3)]
+
+
+def test_chain_in_the_state_store_equals_the_batch_chain_across_restarts(spark):
+    """Four deliveries, each a micro-batch of a query started again from its checkpoint, give audit_chain's log."""
+    from textwarden.plans import views
+    from textwarden.sources.scratch import new_path
+    from textwarden.streaming.chain_state import run_in_parts
+
+    events = views.table(spark, SF_DIR, "events")
+    log = run_in_parts(spark, events, "ts", 4, views.event_entries, ("ts", "event_id"), ("event_id",), new_path(spark, "t"))
+    columns = ["chain_id", "seq", "timestamp", "action_taken", "prev_hash", "hash"]
+    batch = views.event_audit(spark, SF_DIR).select(*columns)
+    assert sorted(log.select(*columns).collect()) == sorted(batch.collect())
+    assert log.select("chain_id", "seq").distinct().count() == log.count()

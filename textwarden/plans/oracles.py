@@ -586,5 +586,6 @@ def oracle_queries() -> dict[str, str]:
         "FROM events GROUP BY 1, 2 HAVING count(*) > 1",
         "scan_stream": _scan_rows(TURNS, turns, extended),
         "audit_stream": _log() + "SELECT chain_id, seq, timestamp, action AS action_taken, prev_hash, hash FROM log",
+        "audit_stream_state": _log() + "SELECT chain_id, seq, timestamp, action AS action_taken, prev_hash, hash FROM log",
         "stats_stream": event_scan + DAILY,
     }

@@ -31,6 +31,7 @@ from textwarden.sources.audit_table import AuditTable
 from textwarden.sources.files import create
 from textwarden.sources.scratch import materialise, new_path
 from textwarden.streaming import jobs
+from textwarden.streaming.chain_state import run_in_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -667,6 +668,19 @@ def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.entries().select("chain_id", "seq", "timestamp", "action_taken", "prev_hash", "hash")
 
 
+STREAM_PARTS = 4
+
+
+def audit_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all events delivered in ``STREAM_PARTS`` parts by time, chained with the heads in the state store;
+    the stream restarts from its checkpoint for every part."""
+    events = views.table(spark, sf_dir, "events")
+    log = run_in_parts(
+        spark, events, "ts", STREAM_PARTS, views.event_entries, ("ts", "event_id"), ("event_id",), new_path(spark, "chain-state")
+    )
+    return log.select("chain_id", "seq", "timestamp", "action_taken", "prev_hash", "hash")
+
+
 def stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = jobs.read_table_stream(spark, f"{sf_dir}/events.parquet")
     entries = views.event_entries(stream).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -748,5 +762,6 @@ QUERIES: dict[str, Query] = {
     "rate_breaches": rate_breaches,
     "scan_stream": scan_stream,
     "audit_stream": audit_stream,
+    "audit_stream_state": audit_stream_state,
     "stats_stream": stats_stream,
 }
