@@ -3,11 +3,13 @@
 Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and the pieces at blanks and tabs into
 words; everything is counted per ``lang`` (null: ``und``). Counting goes level by level, Apriori-safe: a phrase of
 ``m`` words can occur ``MIN_COUNT`` times only if both its phrases of ``m - 1`` words do, so the candidates of a level
-come from a join of the frequent phrases of the level before. Words are counted by Spark; each further level broadcasts a
-double-array trie of its candidates (``base[s] + code = t`` and ``check[t] = s``; the first code is the language), and
-every task advances the states of all text positions of a batch at once in numpy, one word a step, bincounts the states
-reached after ``m`` words, and hands on the non-zero counts, which Spark sums over the tasks. A level's trie holds at most
-(word occurrences of the level) / ``MIN_COUNT`` phrases, as each needs that many occurrences; its size is logged.
+are the frequent phrases of the level before, each followed by a frequent word. Words are counted by Spark; each further
+level broadcasts a double-array trie of the frequent phrases of ``m - 1`` words (``base[s] + code = t`` and
+``check[t] = s``; the first code is the language). Every task advances the states of all text positions of a batch at
+once in numpy, one word a step, from each position and from the one after it: where both reach a frequent phrase, the
+occurrence of the candidate (prefix state, last word) is counted (``np.unique`` of the keys), and Spark sums the counts
+over the tasks. No candidate list is ever formed, and a trie holds at most (word occurrences) / ``MIN_COUNT`` phrases,
+as each needs that many occurrences; its size is logged.
 
 A candidate (2 to 5 words, ``a = f >= MIN_COUNT``) is cut after ``k`` words into parts counted ``l`` and ``r``; the
 score ``floor(1000 a n / (l r))`` of the lowest cut counts (ties: smallest ``k``), computed exactly in 38-digit decimals.
@@ -105,9 +107,11 @@ def pieces(text: str | None) -> list[list[str]]:
     return [[w for w in re.split(BLANKS, p) if w] for p in re.split(PIECE, lowered)]
 
 
-def _level_counts(words: dict[tuple[str, str], int], langs: dict[str, int], base, check, m: int):
+def _extensions(words: dict[tuple[str, str], int], langs: dict[str, int], base, check, m: int, vocabulary: int):
+    """Counts of ``(state, word)``: a frequent phrase of ``m - 1`` words (its trie state) followed by a word, where
+    the last ``m - 1`` words are a frequent phrase too (Apriori-safe), at every position of a batch at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(check), dtype=np.int64)
         for batch in batches:
             ids, roots = [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -118,15 +122,19 @@ def _level_counts(words: dict[tuple[str, str], int], langs: dict[str, int], base
                     roots.extend([root] * (len(piece) + 1))
             if not ids:
                 continue
-            ids_a = np.array(ids + [-1] * m, dtype=np.int64)
-            states = np.array(roots, dtype=np.int64)
-            for j in range(m):
-                states = advance(base, check, states, ids_a[j : j + len(states)])
-            reached = states[states >= 0]
-            counts += np.bincount(reached, minlength=len(check))
-        nonzero = np.flatnonzero(counts)
-        if len(nonzero):
-            yield pa.RecordBatch.from_pydict({"state": pa.array(nonzero), "f": pa.array(counts[nonzero])})
+            starts = np.array(roots, dtype=np.int64)
+            size = len(starts)
+            codes = np.array(ids + [-1] * m, dtype=np.int64)
+            prefix, suffix = starts.copy(), starts.copy()
+            for j in range(m - 1):
+                prefix = advance(base, check, prefix, codes[j : j + size])
+                suffix = advance(base, check, suffix, codes[j + 1 : j + 1 + size])
+            ok = (prefix >= 0) & (suffix >= 0)
+            keys, counts = np.unique(prefix[ok] * vocabulary + codes[m - 1 : m - 1 + size][ok], return_counts=True)
+            if len(keys):
+                yield pa.RecordBatch.from_pydict(
+                    {"state": pa.array(keys // vocabulary), "word": pa.array(keys % vocabulary), "f": pa.array(counts.astype(np.int64))}
+                )
 
     return run
 
@@ -150,24 +158,23 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     vocabulary = frequent[1].select("lang", F.col("words")[0].alias("w")).collect()
     words = {(r.lang, r.w): i for i, r in enumerate(vocabulary)}
     langs = {lang: i for i, lang in enumerate(sorted({r.lang for r in vocabulary}))}
+    lexicon = spark.createDataFrame([(i, r.w) for i, r in enumerate(vocabulary)], "word long, w string")
     for m in range(2, longest + 1):
-        before = frequent[m - 1]
-        grown = before.alias("p").join(
-            before.alias("s"), (F.col("p.lang") == F.col("s.lang")) & (F.slice("p.words", 2, m - 2) == F.slice("s.words", 1, m - 2))
-        ).select(F.col("p.lang").alias("lang"), F.concat("p.words", F.slice("s.words", m - 1, 1)).alias("words"))
-        candidates = grown.collect()
-        if not candidates:
+        known = frequent[m - 1].select("lang", "words").collect()
+        if not known:
             break
-        paths = [[langs[c.lang]] + [words[(c.lang, w)] for w in c.words] for c in candidates]
+        paths = [[langs[k.lang]] + [words[(k.lang, w)] for w in k.words] for k in known]
         base, check, ends = double_array(paths)
-        _log.info("level %d: %d candidates, trie of %d slots", m, len(candidates), len(check))
-        counted = texts.mapInArrow(_level_counts(words, langs, base, check, m), "state long, f long")
-        summed = counted.groupBy("state").agg(F.sum("f").alias("f"))
+        _log.info("level %d: trie of %d phrases, %d slots", m, len(known), len(check))
+        counted = texts.mapInArrow(_extensions(words, langs, base, check, m, max(len(vocabulary), 1)), "state long, word long, f long")
+        summed = counted.groupBy("state", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
         named = spark.createDataFrame(
-            [(e, c.lang, c.words) for e, c in zip(ends, candidates)], "state long, lang string, words array<string>"
+            [(e, k.lang, k.words) for e, k in zip(ends, known)], "state long, lang string, words array<string>"
         )
         frequent[m] = materialise(
-            named.join(summed, "state").where(F.col("f") >= min_count).select("lang", "words", "f"), f"collocations-{m}"
+            summed.join(named, "state").join(lexicon, "word")
+            .select("lang", F.concat("words", F.array("w")).alias("words"), "f"),
+            f"collocations-{m}",
         )
     every = None
     for m, table in frequent.items():
