@@ -37,6 +37,8 @@ from textwarden.sources.scratch import materialise
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
+# Word positions counted at once in a task.
+CHUNK = 1 << 20
 PIECE = "[.,;:!?\x0a-\x0d]"
 BLANKS = "[\x20\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,30 +113,42 @@ def _extensions(words: dict[tuple[str, str], int], langs: dict[str, int], base,
     """Counts of ``(state, word)``: a frequent phrase of ``m - 1`` words (its trie state) followed by a word, where
     the last ``m - 1`` words are a frequent phrase too (Apriori-safe), at every position of a batch at once."""
 
+    def counted(ids: list[int], roots: list[int]) -> pa.RecordBatch | None:
+        starts = np.array(roots, dtype=np.int64)
+        size = len(starts)
+        codes = np.array(ids + [-1] * m, dtype=np.int64)
+        prefix, suffix = starts.copy(), starts.copy()
+        for j in range(m - 1):
+            prefix = advance(base, check, prefix, codes[j : j + size])
+            suffix = advance(base, check, suffix, codes[j + 1 : j + 1 + size])
+        ok = (prefix >= 0) & (suffix >= 0)
+        keys, counts = np.unique(prefix[ok] * vocabulary + codes[m - 1 : m - 1 + size][ok], return_counts=True)
+        if not len(keys):
+            return None
+        return pa.RecordBatch.from_pydict(
+            {"state": pa.array(keys // vocabulary), "word": pa.array(keys % vocabulary), "f": pa.array(counts.astype(np.int64))}
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Positions are handled in chunks of about CHUNK words, so a task's memory does not grow with its batches;
+        # a piece is never split, as every piece ends with a separator.
+        ids, roots = [], []
         for batch in batches:
-            ids, roots = [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 root = advance(base, check, np.zeros(1, dtype=np.int64), np.array([langs.get(lang, -1)]))[0]
                 for piece in pieces(text):
                     ids.extend(words.get((lang, w), -1) for w in piece)
                     ids.append(-1)
                     roots.extend([root] * (len(piece) + 1))
-            if not ids:
-                continue
-            starts = np.array(roots, dtype=np.int64)
-            size = len(starts)
-            codes = np.array(ids + [-1] * m, dtype=np.int64)
-            prefix, suffix = starts.copy(), starts.copy()
-            for j in range(m - 1):
-                prefix = advance(base, check, prefix, codes[j : j + size])
-                suffix = advance(base, check, suffix, codes[j + 1 : j + 1 + size])
-            ok = (prefix >= 0) & (suffix >= 0)
-            keys, counts = np.unique(prefix[ok] * vocabulary + codes[m - 1 : m - 1 + size][ok], return_counts=True)
-            if len(keys):
-                yield pa.RecordBatch.from_pydict(
-                    {"state": pa.array(keys // vocabulary), "word": pa.array(keys % vocabulary), "f": pa.array(counts.astype(np.int64))}
-                )
+                    if len(ids) >= CHUNK:
+                        found = counted(ids, roots)
+                        if found is not None:
+                            yield found
+                        ids, roots = [], []
+        if ids:
+            found = counted(ids, roots)
+            if found is not None:
+                yield found
 
     return run
 
