@@ -19,6 +19,7 @@ from textwarden.functions import text as text_fn
 from textwarden.functions.canonical import GENESIS, entry_hash, iso_timestamp
 from textwarden.functions.sql import lit
 from textwarden.operators import audit as audit_op
+from textwarden.operators.keyword_index import keyword_matches
 from textwarden.operators import chain as chain_op
 from textwarden.operators import pii as pii_op
 from textwarden.operators import policy as policy_op
@@ -668,6 +669,35 @@ def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.entries().select("chain_id", "seq", "timestamp", "action_taken", "prev_hash", "hash")
 
 
+PHRASE_WORDS = 3
+PHRASE_CHARS = 3
+
+
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword catalog from data: every phrase of 1 to ``PHRASE_WORDS`` words (blank-separated, lower-cased) of
+    ``benchmark`` with at least ``PHRASE_CHARS`` characters; catalog order is the phrase itself."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    bench = views.table(spark, sf_dir, "benchmark").select(words.alias("ws"))
+    phrases = None
+    for n in range(1, PHRASE_WORDS + 1):
+        these = bench.select(
+            F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))).alias("keyword")
+        )
+        phrases = these if phrases is None else phrases.unionByName(these)
+    return (
+        phrases.where(F.length("keyword") >= PHRASE_CHARS)
+        .distinct()
+        .select(F.lit("benchmark_phrase").alias("policy_name"), "keyword", F.col("keyword").alias("ordinal"))
+    )
+
+
+def keywords_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents holding benchmark phrases, found through the trigram anchor index of a catalog table."""
+    docs = views.table(spark, sf_dir, "documents")
+    found = keyword_matches(docs, benchmark_phrases(spark, sf_dir), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), "policy_name", "matched_keyword", "n_keywords")
+
+
 STREAM_PARTS = 4
 
 
@@ -763,5 +793,6 @@ QUERIES: dict[str, Query] = {
     "scan_stream": scan_stream,
     "audit_stream": audit_stream,
     "audit_stream_state": audit_stream_state,
+    "keywords_indexed": keywords_indexed,
     "stats_stream": stats_stream,
 }
