@@ -39,6 +39,8 @@ LONGEST = 5
 TOP = 2000
 # Word positions counted at once in a task.
 CHUNK = 1 << 20
+# Texts encoded before their ids are handed on.
+ENCODED_ROWS = 512
 PIECE = "[.,;:!?\x0a-\x0d]"
 BLANKS = "[\x20\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,14 +111,35 @@ def pieces(text: str | None) -> list[list[str]]:
     return [[w for w in re.split(BLANKS, p) if w] for p in re.split(PIECE, lowered)]
 
 
-def _extensions(words: dict[tuple[str, str], int], langs: dict[str, int], base, check, m: int, vocabulary: int):
+def _encoder(words: dict[tuple[str, str], int], langs: dict[str, int]):
+    """Each text as the ids of its words (-1: not frequent) with -1 after every piece, and its language's code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, encoded = [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                ids = []
+                for piece in pieces(text):
+                    ids.extend(words.get((lang, w), -1) for w in piece)
+                    ids.append(-1)
+                codes.append(langs.get(lang, -1))
+                encoded.append(ids)
+                if len(codes) == ENCODED_ROWS:
+                    yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int32()), "ids": pa.array(encoded, pa.list_(pa.int32()))})
+                    codes, encoded = [], []
+            if codes:
+                yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int32()), "ids": pa.array(encoded, pa.list_(pa.int32()))})
+
+    return run
+
+
+def _extensions(base, check, m: int, vocabulary: int):
     """Counts of ``(state, word)``: a frequent phrase of ``m - 1`` words (its trie state) followed by a word, where
-    the last ``m - 1`` words are a frequent phrase too (Apriori-safe), at every position of a batch at once."""
+    the last ``m - 1`` words are a frequent phrase too (Apriori-safe), at every position of a chunk at once."""
 
-    def counted(ids: list[int], roots: list[int]) -> pa.RecordBatch | None:
-        starts = np.array(roots, dtype=np.int64)
+    def counted(codes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch | None:
         size = len(starts)
-        codes = np.array(ids + [-1] * m, dtype=np.int64)
+        codes = np.concatenate([codes, np.full(m, -1, dtype=np.int64)])
         prefix, suffix = starts.copy(), starts.copy()
         for j in range(m - 1):
             prefix = advance(base, check, prefix, codes[j : j + size])
@@ -130,25 +153,24 @@ def _extensions(words: dict[tuple[str, str], int], langs: dict[str, int], base,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Positions are handled in chunks of about CHUNK words, so a task's memory does not grow with its batches;
-        # a piece is never split, as every piece ends with a separator.
-        ids, roots = [], []
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                root = advance(base, check, np.zeros(1, dtype=np.int64), np.array([langs.get(lang, -1)]))[0]
-                for piece in pieces(text):
-                    ids.extend(words.get((lang, w), -1) for w in piece)
-                    ids.append(-1)
-                    roots.extend([root] * (len(piece) + 1))
-                    if len(ids) >= CHUNK:
-                        found = counted(ids, roots)
-                        if found is not None:
-                            yield found
-                        ids, roots = [], []
-        if ids:
-            found = counted(ids, roots)
-            if found is not None:
-                yield found
+            if batch.num_rows == 0:
+                continue
+            lists = batch.column("ids")
+            offsets = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            roots = advance(base, check, np.zeros(batch.num_rows, dtype=np.int64), batch.column("code").to_numpy(zero_copy_only=False).astype(np.int64))
+            # Rows are taken in runs of about CHUNK positions; every row ends with a separator, so runs join no words.
+            first = 0
+            while first < batch.num_rows:
+                last = int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1
+                last = min(max(last, first + 1), batch.num_rows)
+                lo, hi = offsets[first], offsets[last]
+                starts = np.repeat(roots[first:last], np.diff(offsets[first : last + 1]))
+                found = counted(ids[lo:hi], starts) if hi > lo else None
+                if found is not None:
+                    yield found
+                first = last
 
     return run
 
@@ -172,6 +194,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     vocabulary = frequent[1].select("lang", F.col("words")[0].alias("w")).collect()
     words = {(r.lang, r.w): i for i, r in enumerate(vocabulary)}
     langs = {lang: i for i, lang in enumerate(sorted({r.lang for r in vocabulary}))}
+    encoded = materialise(texts.mapInArrow(_encoder(words, langs), "code int, ids array<int>"), "collocations-ids")
     lexicon = spark.createDataFrame([(i, r.w) for i, r in enumerate(vocabulary)], "word long, w string")
     for m in range(2, longest + 1):
         known = frequent[m - 1].select("lang", "words").collect()
@@ -180,7 +203,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         paths = [[langs[k.lang]] + [words[(k.lang, w)] for w in k.words] for k in known]
         base, check, ends = double_array(paths)
         _log.info("level %d: trie of %d phrases, %d slots", m, len(known), len(check))
-        counted = texts.mapInArrow(_extensions(words, langs, base, check, m, max(len(vocabulary), 1)), "state long, word long, f long")
+        counted = encoded.mapInArrow(_extensions(base, check, m, max(len(vocabulary), 1)), "state long, word long, f long")
         summed = counted.groupBy("state", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
         named = spark.createDataFrame(
             [(e, k.lang, k.words) for e, k in zip(ends, known)], "state long, lang string, words array<string>"
