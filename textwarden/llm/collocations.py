@@ -158,7 +158,7 @@ def _extensions(base, check, m: int, vocabulary: int):
                 continue
             lists = batch.column("ids")
             offsets = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.values
             roots = advance(base, check, np.zeros(batch.num_rows, dtype=np.int64), batch.column("code").to_numpy(zero_copy_only=False).astype(np.int64))
             # Rows are taken in runs of about CHUNK positions; every row ends with a separator, so runs join no words.
             first = 0
@@ -167,7 +167,9 @@ def _extensions(base, check, m: int, vocabulary: int):
                 last = min(max(last, first + 1), batch.num_rows)
                 lo, hi = offsets[first], offsets[last]
                 starts = np.repeat(roots[first:last], np.diff(offsets[first : last + 1]))
-                found = counted(ids[lo:hi], starts) if hi > lo else None
+                # Only this run's ids are copied out of the batch.
+                chunk = values.slice(int(lo), int(hi - lo)).to_numpy(zero_copy_only=False).astype(np.int64) if hi > lo else None
+                found = counted(chunk, starts) if hi > lo else None
                 if found is not None:
                     yield found
                 first = last
