@@ -172,3 +172,38 @@ def test_scores_of_awkward_rows(awkward, empty):
     untrained = score_documents(awkward, F.lit(False)).collect()
     assert {r.train_tokens for r in untrained} == {0} and {r.n_known for r in untrained} == {0}
     assert all(r.base_score == pytest.approx(0) for r in untrained)
+
+
+def test_weights_learn_from_every_training_document(spark, monkeypatch):
+    from textwarden.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "SHARE", 100)
+    rng = random.Random(4)
+    rows = [(i, text_in(rng.choice(list(SYLLABLES)), rng, 40)) for i in range(600)]
+    # The first words of one document are turned round: counts and the start of the fit stay as they are.
+    point = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lm")), F.lit(1 << 30)) / float(1 << 30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("started", point < 20 / 540)
+    later = docs.where("NOT started AND doc_id % 10 != 0").orderBy("doc_id").first().doc_id
+    turned = F.when(F.col("doc_id") == later, F.reverse(F.split("text", " "))).otherwise(F.split("text", " "))
+    changed = docs.withColumn("text", F.array_join(turned, " "))
+
+    def scores(table):
+        found = score_documents(table, F.col("doc_id") % 10 != 0, training_documents=20)
+        return {r.doc_id: r.score for r in found.collect() if r.doc_id != later}
+
+    first = scores(docs.repartition(3))
+    assert scores(docs.repartition(7, "text")) == pytest.approx(first, rel=1e-9)
+    other = scores(changed)
+    assert any(abs(other[i] - first[i]) > 1e-6 for i in first)
+
+
+def test_words_are_cut_at_ascii_blanks_only():
+    import pyarrow as pa
+
+    from textwarden.llm.lm_scoring import words_of
+
+    texts = ["", " \t\n", "  A b\x0b\x0cC\r\nÀ ", "x y z\x1cw\x85", "one"]
+    words, lengths = words_of(pa.array(texts, pa.string()))
+    expected = [t.encode().lower().split() for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == [w for t in expected for w in t]
+    assert lengths.tolist() == [len(t) for t in expected]

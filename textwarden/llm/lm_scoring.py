@@ -7,23 +7,27 @@ Counts of all words of all training documents are one table; the base score is
 The recurrent model (``gru``) knows the ``VOCABULARY`` most frequent words, the end of a document, and one symbol for all
 other words. Another word's probability is that of the symbol times the word's base probability among all words the
 model does not know, so every word has one and the whole is a distribution. Frequencies of classes and words come from
-the counts of the whole corpus; the weights are fitted on a sample of at most about ``TRAINING`` documents.
-
-A task scores its documents with the most frequent words in memory, ``KNOWN`` at most (a fixed bound). Rarer words are sent to
-the count table, one row per document and word, and their sums are added to the document; they are rare, so no key of
-that join is hot but a word missing from all training documents, which the skew-join rule splits. Null texts count as
-empty and have the end token alone.
+the counts of the whole corpus. The weights are fitted on all training documents: they are dealt into shares of about
+``SHARE`` by a hash, every share goes on from the same start (a fit of about ``TRAINING`` documents), and the weights of
+all shares are averaged, each by its number of tokens.
+
+A task reads its documents with the most frequent words in memory, ``KNOWN`` at most (a fixed bound), and writes each
+as numbers of the model's symbols, for the fit and the scores. Rarer words are sent to the count table, one row per
+document and word, and their sums are added to the document; they are rare, so no key of that join is hot but a word
+missing from all training documents, which the skew-join rule splits. Null texts count as empty and have the end token
+alone.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,33 +40,31 @@ SMOOTHING = 0.1
 KNOWN = 65_536
 VOCABULARY = 2_048
 TRAINING = 1_500
-# Distinct words a task counts before it hands them on, and documents scored side by side.
-COUNTED = 400_000
+# Training documents of a share, on average, and what is fitted to them: streams side by side, but windows enough.
+SHARE = 4_096
+STREAMS = 512
+LEAST_WINDOWS = 64
+RATE = 0.02
+# Weights that are averaged in one row, and documents read or scored side by side.
+BLOCK = 4_096
 TOGETHER = 2_048
 
 
-def words_of(text: str) -> list[bytes]:
-    """A-Z in lower case, cut at ASCII blanks."""
-    return text.encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A-Z in lower case, cut at ASCII blanks: all words, and how many each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(trimmed)
+    # A text without words is cut into one empty piece.
+    pieces = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    pieces[pc.equal(trimmed, "").to_numpy(zero_copy_only=False)] = 0
+    words = split.flatten()
+    return words.filter(pc.not_equal(words, "")), pieces
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        words = list(held)
-        for at in range(0, len(words), 65_536):
-            part = words[at : at + 65_536]
-            counts = pa.array([held[w] for w in part], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), counts], names=["word", "c"])
-
     for batch in batches:
-        for text in batch["text"].to_pylist():
-            held.update(words_of(text))
-            if len(held) > COUNTED:
-                yield from rows()
-                held.clear()
-    yield from rows()
+        found = pc.value_counts(words_of(batch["text"])[0])
+        yield pa.RecordBatch.from_arrays(found.flatten(), names=["word", "c"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -105,34 +107,66 @@ class Scorer:
     model: gru.Gru | None = None
 
     def prepare(self) -> None:
-        self.rank = {w.encode(): i for i, w in enumerate(self.words)}
+        self.listed = pa.array(self.words, pa.string())
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """Rank of each word; one beyond the last for rarer ones."""
-        rare = len(self.words)
-        rank = self.rank.get
-        return np.array([rank(w, rare) for w in words], np.int64)
-
-    def symbols(self, numbers: np.ndarray) -> np.ndarray:
-        return np.append(self.symbol_of[numbers], self.end)
-
-    def rows(self, texts: list[str]) -> list[tuple]:
-        """Per text: tokens, known tokens, base score and model score without the rare words, and the rare words."""
-        split = [words_of(t) for t in texts]
-        numbers = [self.numbers(w) for w in split]
-        model = self.model.score([self.symbols(n) for n in numbers], self.end) / np.log(10)
-        base = np.append(self.base, 0.0)
-        out = []
-        for words, found, score in zip(split, numbers, model, strict=True):
-            rare = found == len(self.words)
-            unseen = self.symbol_of[found] == self.other
-            # A word the model does not know: its base probability among those.
-            score += base[found[unseen]].sum() - unseen.sum() * np.log10(self.other_mass)
-            tail = Counter([words[i] for i in np.flatnonzero(rare)])
-            known = len(words) - int(rare.sum())
-            out.append((len(words) + 1, known, float(base[found].sum()) + self.end_base, float(score), tail))
+        found = pc.fill_null(pc.index_in(words, value_set=self.listed), len(self.words))
+        return found.to_numpy(zero_copy_only=False)
+
+    def symbols(self, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The model's numbers of the words of texts of these lengths, each text with its end."""
+        ends = np.cumsum(lengths + 1) - 1
+        out = np.empty(len(numbers) + len(lengths), SYMBOL)
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = self.symbol_of[numbers]
+        out[ends] = self.end
         return out
 
+    def read(self, texts: pa.Array) -> tuple[pa.Array, ...]:
+        """Per text: tokens, known tokens and base score without the rare words, what the words that the model does not
+        know add to its score, the model's symbols, and the rare words with their numbers."""
+        words, lengths = words_of(texts)
+        numbers = self.numbers(words)
+        n, owner = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+        summed = partial(np.bincount, minlength=n)
+        base = np.append(self.base, 0.0)[numbers]
+        # A word the model does not know: its base probability among those.
+        unseen = self.symbol_of[numbers] == self.other
+        inside = summed(owner[unseen], base[unseen]) - summed(owner[unseen]) * np.log10(self.other_mass)
+        rare = numbers == len(self.words)
+        coded = words.filter(pa.array(rare)).dictionary_encode()
+        codes = max(1, len(coded.dictionary))
+        pairs, often = np.unique(owner[rare] * codes + coded.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(pairs, np.arange(n + 1) * codes), pa.int32())
+        symbols = self.symbols(numbers, lengths)
+        bounds = (np.cumsum([0, *(lengths + 1)]) * symbols.itemsize).astype(np.int32)
+        return (
+            pa.array(lengths + 1),
+            pa.array(lengths - summed(owner[rare])),
+            pa.array(summed(owner, base) + self.end_base),
+            pa.array(inside),
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(symbols)]),
+            pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pairs % codes))),
+            pa.ListArray.from_arrays(ends, pa.array(often)),
+        )
+
+
+# How symbols are written.
+SYMBOL = np.dtype("<u2")
+
+
+def documents_of(written: pa.Array) -> list[np.ndarray]:
+    """The model's numbers of documents written as symbols."""
+    return [np.frombuffer(x, SYMBOL).astype(np.int64) for x in written.to_pylist()]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
 
 def _scorer(content: bytes) -> Scorer:
     def made() -> Scorer:
@@ -163,12 +197,47 @@ def fit(counts: DataFrame, documents: int, total: int, distinct: int, sample: li
     mass = 1 - (10 ** base[:inside]).sum() - 10**end_base
     scorer = Scorer(words, base, end_base, symbol_of, int(place[inside]), int(place[inside + 1]), max(float(mass), 1e-12))
     scorer.prepare()
-    numbered = [scorer.symbols(scorer.numbers(words_of(t))) for t in sample]
-    scorer.model = gru.train(numbered, frequencies[order], scorer.end)
-    del scorer.rank
+    scorer.model = gru.train(documents_of(scorer.read(pa.array(sample, pa.string()))[4]), frequencies[order], scorer.end)
+    del scorer.listed
     return scorer
 
 
+def fit_all(start: DataFrame, scorer: Scorer, content: bytes) -> gru.Gru:
+    """The model fitted on from the scorer's by every row of ``share, symbols``, and averaged over the shares."""
+
+    def fitted(key: tuple, rows: pa.Table) -> pa.Table:
+        known, share = _scorer(content), key[0].as_py()
+        # In an order of their own, so that the fit does not depend on how rows were dealt out.
+        documents = documents_of(rows["symbols"].take(pc.sort_indices(rows["symbols"])))
+        tokens = sum(map(len, documents))
+        streams = max(1, min(STREAMS, tokens // (gru.WINDOW * LEAST_WINDOWS)))
+        model = gru.with_weights(known.model, gru.flat(known.model))
+        gru.improve(model, documents, known.end, 1, RATE, np.random.default_rng(share), streams)
+        weights = gru.flat(model)
+        blocks = [weights[at : at + BLOCK].tobytes() for at in range(0, len(weights), BLOCK)]
+        n = len(blocks)
+        columns = [pa.array(range(n), pa.int32()), pa.array([share] * n, pa.int64()), pa.array([tokens] * n, pa.int64())]
+        return pa.Table.from_arrays([*columns, pa.array(blocks, pa.binary())], names=["block", "share", "tokens", "weights"])
+
+    dtype = gru.flat(scorer.model).dtype
+
+    def averaged(key: tuple, rows: pa.Table) -> pa.Table:
+        total, weight = 0.0, 0
+        for at in pc.sort_indices(rows["share"]).to_pylist():
+            tokens = rows["tokens"][at].as_py()
+            total = total + np.frombuffer(rows["weights"][at].as_py(), dtype).astype(np.float64) * tokens
+            weight += tokens
+        weights = (total / weight).astype(dtype).tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([weights], pa.binary())})
+
+    shares = start.groupBy("share").applyInArrow(fitted, "block int, share long, tokens long, weights binary")
+    rows = shares.groupBy("block").applyInArrow(averaged, "block int, weights binary").collect()
+    if not rows:
+        return scorer.model
+    weights = np.frombuffer(b"".join(r["weights"] for r in sorted(rows, key=lambda r: r["block"])), dtype)
+    return gru.with_weights(scorer.model, weights)
+
+
 def score_documents(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", training_documents: int = TRAINING
 ) -> DataFrame:
@@ -184,37 +253,51 @@ def score_documents(
     total, distinct = total + documents, distinct + (documents > 0)
     point = F.pmod(F.xxhash64("name", F.lit("lm")), F.lit(1 << 30)) / float(1 << 30)
     chosen = texts.where(point < min(1.0, training_documents / max(documents, 1))).select("text").collect()
-    sample = sorted(r["text"] for r in chosen)
-    content = pickle.dumps(fit(counts, documents, total, distinct, sample))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(content)
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                tokens, known, base, score, tails = zip(*scorer.rows(batch["text"].to_pylist()), strict=True)
-                ends = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
-                names = pa.array([w for t in tails for w in t], pa.binary()).cast(pa.string())
-                often = pa.array([n for t in tails for n in t.values()], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"],
-                        *[pa.array(x, pa.int64()) for x in (tokens, known)],
-                        *[pa.array(x, pa.float64()) for x in (base, score)],
-                        pa.ListArray.from_arrays(ends, names),
-                        pa.ListArray.from_arrays(ends, often),
-                    ],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "often"],
-                )
+    scorer = fit(counts, documents, total, distinct, sorted(r["text"] for r in chosen))
+    content = pickle.dumps(scorer)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _scorer(content)
+        for batch in _cut(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["name"], batch["learnt"], *known.read(batch["text"])], names=names
+            )
 
     schema = (
-        "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<string>, often array<long>"
+        "doc_id long, name string, learnt boolean, n_tokens long, n_known long, base_score double, score double, "
+        "symbols binary, rare array<string>, often array<long>"
+    )
+    names = [part.split()[0] for part in schema.split(", ")]
+    whole = docs.select(
+        docs[id_col].cast("long").alias("doc_id"),
+        docs[id_col].cast("string").alias("name"),
+        F.coalesce(training, F.lit(False)).alias("learnt"),
+        text.alias("text"),
+    )
+    numbered = materialise(
+        whole.mapInArrow(read, schema).withColumn("row", F.monotonically_increasing_id()), "lm-symbols"
     )
-    whole = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
+    share = F.pmod(F.xxhash64("name", "symbols"), F.lit(max(1, documents // SHARE))).alias("share")
+    scorer.model = fit_all(numbered.where("learnt").select(share, "symbols"), scorer, content)
+    trained = pickle.dumps(scorer)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _scorer(trained)
+        for batch in _cut(batches):
+            found = known.model.score(documents_of(batch["symbols"]), known.end) / np.log(10)
+            columns = [batch[n] for n in (*kept, "row")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(batch["score"].to_numpy() + found)], names=[*kept, "row", "score"]
+            )
+
+    kept = ["doc_id", "n_tokens", "n_known", "base_score"]
     scored = materialise(
-        whole.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores"
+        numbered.select(*kept, "row", "score", "symbols").mapInArrow(
+            score, "doc_id long, n_tokens long, n_known long, base_score double, row long, score double"
+        ),
+        "lm-scores",
     )
-    rare = scored.select("row", F.inline(F.arrays_zip("rare", "often"))).withColumnRenamed("rare", "word")
+    rare = numbered.select("row", F.inline(F.arrays_zip("rare", "often"))).withColumnRenamed("rare", "word")
     chance = F.log10((F.coalesce("c", F.lit(0)) + SMOOTHING) / F.lit(total + SMOOTHING * (distinct + 1)))
     sums = (
         rare.join(counts, "word", "left")
@@ -227,7 +310,7 @@ def score_documents(
     more = F.coalesce("more", F.lit(0.0))
     # The end is a token too, known if there was any training document.
     found = F.coalesce("found", F.lit(0)) + F.lit(int(documents > 0))
-    return scored.drop("rare", "often").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + found).cast("long").alias("n_known"),
