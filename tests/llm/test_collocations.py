@@ -61,3 +61,33 @@ def test_double_array_walks_exactly_the_paths():
     for c in [1, 5, 7]:
         s = advance(base, check, s, np.array([c]))
     assert s[0] == -1
+
+
+def test_words_in_against_pieces():
+    import pyarrow as pa
+
+    from textwarden.llm.collocations import words_in
+
+    texts = ["", "A b,C", " \t", "..", "x\x0by\x1cz É!", "end", "one  two\n\nthree", ""]
+    for cut in (texts, texts[3:6], [""]):
+        found, places, ends = words_in(pa.array(texts, pa.string()).slice(3, 3) if cut == texts[3:6] else pa.array(cut))
+        written = [None] * int(ends[-1])
+        for place, word in zip(places, found.to_pylist()):
+            written[place] = word
+        expected = [[x for piece in pieces(t) for x in (*piece, None)] for t in cut]
+        assert written == [x for t in expected for x in t]
+        assert ends.tolist() == np.cumsum([len(t) for t in expected]).tolist()
+
+
+def test_large_trie_is_laid_out_in_time():
+    import time
+
+    rng = np.random.default_rng(3)
+    paths = np.unique(np.column_stack([rng.integers(0, 4, 150_000), *rng.zipf(1.3, (2, 150_000)) % 30_000]), axis=0)
+    began = time.monotonic()
+    base, check, ends = double_array(paths.tolist())
+    assert time.monotonic() - began < 15
+    states = np.zeros(len(paths), np.int64)
+    for codes in paths.T:
+        states = advance(base, check, states, codes)
+    assert states.tolist() == ends and len(set(ends)) == len(ends) and min(ends) > 0

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ TOP = 2000
 # Word positions counted at once in a task.
 CHUNK = 1 << 20
 # Texts encoded before their ids are handed on.
-ENCODED_ROWS = 512
+ENCODED_ROWS = 2_048
 PIECE = "[.,;:!?\x0a-\x0d]"
 BLANKS = "[\x20\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,53 +49,67 @@ _log = logging.getLogger(__name__)
 
 
 def double_array(paths: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """``base, check`` of a trie of the code sequences ``paths``, and the state each path ends in."""
-    children: list[dict[int, int]] = [{}]
-    ends = []
-    for path in paths:
-        node = 0
-        for code in path:
-            nxt = children[node].get(code)
-            if nxt is None:
-                nxt = len(children)
-                children[node][code] = nxt
-                children.append({})
-            node = nxt
-        ends.append(node)
-    size = max(16, 2 * len(children) + max((c for ch in children for c in ch), default=0) + 2)
-    base = np.zeros(size, dtype=np.int64)
-    check = np.full(size, -1, dtype=np.int64)
-    slot = np.zeros(len(children), dtype=np.int64)  # trie node -> array slot
+    """``base, check`` of a trie of the code sequences ``paths``, and the state each path ends in.
+
+    The trie is laid out level by level. Nodes with several children come first, the widest before others, at the first
+    place that is free for all of them; those with one child then fill the slots that are free, in one go.
+    """
+    if not paths:
+        return np.zeros(1, np.int64), np.array([0] + [-1] * 15, np.int64), []
+    lengths = np.array([len(p) for p in paths])
+    filled = np.full((len(paths), lengths.max()), -1, np.int64)
+    for i, path in enumerate(paths):
+        filled[i, : len(path)] = path
+    highest = int(filled.max())
+    base, check = np.zeros(16, np.int64), np.full(16, -1, np.int64)
     check[0] = 0
-    used = np.zeros(size, dtype=bool)
-    used[0] = True
-    order = [0]
-    free_from = 1
-    for node in order:
-        codes = np.array(sorted(children[node]), dtype=np.int64)
-        if len(codes) == 0:
-            continue
-        while used[free_from]:
-            free_from += 1
-        b = max(1, free_from - int(codes[0]))
+    states = np.zeros(len(paths), np.int64)
+
+    def room(size: int) -> None:
+        nonlocal base, check
+        if size > len(check):
+            more = size - len(check) + len(check) // 2
+            base = np.concatenate([base, np.zeros(more, np.int64)])
+            check = np.concatenate([check, np.full(more, -1, np.int64)])
+
+    def place(codes: np.ndarray, lowest: int) -> int:
+        """The first base from ``lowest`` on whose slots are free, tried many at a time."""
+        tried = 32
         while True:
-            need = b + codes
-            if need[-1] >= len(used):
-                grow = need[-1] + 1 - len(used) + size
-                used = np.concatenate([used, np.zeros(grow, dtype=bool)])
-                base = np.concatenate([base, np.zeros(grow, dtype=np.int64)])
-                check = np.concatenate([check, np.full(grow, -1, dtype=np.int64)])
-            if not used[need].any():
-                break
-            b += 1
-        base[slot[node]] = b
-        for code, t in zip(codes, need):
-            child = children[node][int(code)]
-            slot[child] = t
-            used[t] = True
-            check[t] = slot[node]
-            order.append(child)
-    return base, check, [int(slot[e]) for e in ends]
+            room(lowest + tried + int(codes[-1]) + 1)
+            free = np.arange(lowest, lowest + tried)
+            for code in codes:
+                free = free[check[free + code] < 0]
+                if not len(free):
+                    break
+            if len(free):
+                return int(free[0])
+            lowest += tried
+            tried = min(2 * tried, 65_536)
+
+    for level in range(filled.shape[1]):
+        here = np.flatnonzero(lengths > level)
+        edges, edge_of = np.unique(states[here] * (highest + 1) + filled[here, level], return_inverse=True)
+        nodes, codes = edges // (highest + 1), edges % (highest + 1)
+        first = np.flatnonzero(np.diff(nodes, prepend=-1))
+        width = np.diff(np.append(first, len(nodes)))
+        lowest: dict[int, int] = {}
+        for at in first[np.argsort(-width, kind="stable")][: int((width > 1).sum())]:
+            own = codes[at : np.searchsorted(nodes, nodes[at], side="right")]
+            # Bases below one that did not fit a node as wide are not tried again.
+            found = place(own, lowest.get(len(own), 1))
+            lowest[len(own)] = found
+            base[nodes[at]] = found
+            check[found + own] = nodes[at]
+        single = first[width == 1]
+        if len(single):
+            # Beyond the highest code, so that every base is positive.
+            room(highest + 2 + int((check >= 0).sum()) + len(single))
+            free = highest + 1 + np.flatnonzero(check[highest + 1 :] < 0)[: len(single)]
+            base[nodes[single]] = free - codes[single]
+            check[free] = nodes[single]
+        states[here] = (base[nodes] + codes)[edge_of]
+    return base, check, states.tolist()
 
 
 def advance(base: np.ndarray, check: np.ndarray, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -111,24 +126,68 @@ def pieces(text: str | None) -> list[list[str]]:
     return [[w for w in re.split(BLANKS, p) if w] for p in re.split(PIECE, lowered)]
 
 
+def _kinds() -> tuple[bytes, np.ndarray]:
+    """Bytes in lower case, and per byte 0 inside a word, 1 for a blank, 2 between pieces."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[[0x20, 0x09]] = 1
+    kinds[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+    return bytes(range(256)).lower(), kinds
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the texts, the places they take among words and ends of pieces, and where each text ends there."""
+    lower, kinds = _kinds()
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+    lowered = (texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[bounds[0] : bounds[-1]].translate(lower)
+    bounds = bounds - bounds[0]
+    letters = np.frombuffer(lowered, np.uint8)
+    kind = kinds[letters]
+    inside = kind == 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at_text = bounds[:-1][bounds[:-1] < len(kind)]
+    begins[at_text] = inside[at_text]
+    items = np.flatnonzero(begins | (kind == 2))
+    # Every text ends its last piece.
+    ends = np.searchsorted(items, bounds[1:]) + np.arange(1, len(bounds))
+    item_at = np.ones(len(items) + len(texts), bool)
+    item_at[ends - 1] = False
+    places = np.flatnonzero(item_at)[begins[items]]
+    starts = np.flatnonzero(begins[inside])
+    offsets = np.append(starts, int(inside.sum())).astype(np.int32)
+    data = pa.py_buffer(letters[inside])
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), data]), places, ends
+
+
 def _encoder(words: dict[tuple[str, str], int], langs: dict[str, int]):
     """Each text as the ids of its words (-1: not frequent) with -1 after every piece, and its language's code."""
+    known: dict[str, tuple[list[str], list[int]]] = {}
+    for (lang, word), i in words.items():
+        listed, ids = known.setdefault(lang, ([], []))
+        listed.append(word)
+        ids.append(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, encoded = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                ids = []
-                for piece in pieces(text):
-                    ids.extend(words.get((lang, w), -1) for w in piece)
-                    ids.append(-1)
-                codes.append(langs.get(lang, -1))
-                encoded.append(ids)
-                if len(codes) == ENCODED_ROWS:
-                    yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int32()), "ids": pa.array(encoded, pa.list_(pa.int32()))})
-                    codes, encoded = [], []
-            if codes:
-                yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int32()), "ids": pa.array(encoded, pa.list_(pa.int32()))})
+        lists = {k: (pa.array(w, pa.string()), np.array([*i, -1], np.int32)) for k, (w, i) in known.items()}
+        none = pa.array([], pa.string()), np.array([-1], np.int32)
+        for whole in batches:
+            whole = whole.sort_by("lang")
+            for at in range(0, whole.num_rows, ENCODED_ROWS):
+                batch = whole.slice(at, ENCODED_ROWS)
+                # Runs of one language.
+                runs = pc.run_end_encode(batch["lang"])
+                first = 0
+                for lang, last in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                    listed, ids = lists.get(lang, none)
+                    found, places, ends = words_in(pc.fill_null(batch["text"].slice(first, last - first), ""))
+                    encoded = np.full(int(ends[-1]), -1, np.int32)
+                    at_word = pc.fill_null(pc.index_in(found, value_set=listed), len(listed))
+                    encoded[places] = ids[at_word.to_numpy(zero_copy_only=False)]
+                    lists_of = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(encoded))
+                    code = pa.array([langs.get(lang, -1)] * (last - first), pa.int32())
+                    yield pa.RecordBatch.from_arrays([code, lists_of], names=["code", "ids"])
+                    first = last
 
     return run
 
