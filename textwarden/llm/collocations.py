@@ -240,10 +240,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                  longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of every language's first ``top`` collocations."""
     spark = docs.sparkSession
-    texts = materialise(
-        docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"),
-                    docs[text_col].cast("string").alias("text")),
-        "collocations-texts",
+    # Read twice, for the words and for the ids; a copy would take the size of the table.
+    texts = docs.select(
+        F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("string").alias("text")
     )
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     word = texts.select("lang", F.explode(F.split(lowered, PIECE)).alias("piece")).select(
