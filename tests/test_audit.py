@@ -134,6 +134,23 @@ def test_append_reads_and_rewrites_the_touched_heads_only(spark, table, tmp_path
     assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
+def test_a_bucket_of_heads_is_one_file(spark, tmp_path):
+    # Small tables would be gathered into one task otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    log = AuditTable(spark, str(tmp_path / "log"))
+    rows = spark.range(600).selectExpr("CAST(id AS int) AS n", "localtimestamp() AS ts", "concat('c', id) AS user", "'Plums' AS text")
+    try:
+        for batch in range(2):
+            log.append(audit_entries(scan_table(rows), ts="ts", chain_id="user", keep=("n",)), batch, ("n",))
+            files = [f.parent.parent.name for f in (tmp_path / "log" / "heads").rglob("*.parquet")]
+            assert len(files) == len(set(files))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    heads = {(r.chain_id, r.last_seq) for r in log.heads().collect()}
+    assert heads == {(f"c{i}", 2) for i in range(600)}
+    assert log.cut_tails().isEmpty() and chain_report(log.check()).first().valid
+
+
 def test_segment_size_is_kept_with_the_log(spark, table):
     assert AuditTable(spark, table.path).segment_rows == 20
     with pytest.raises(ValueError, match="segment_rows=20"):

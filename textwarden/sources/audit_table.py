@@ -150,7 +150,9 @@ class AuditTable:
         heads = self.heads(touched).unionByName(chain_heads(own)).groupBy("chain_id").agg(
             F.max("last_seq").alias("last_seq"), F.max_by("last_hash", "last_seq").alias("last_hash")
         )
-        self._write(_at(heads.withColumn("bucket", _bucket()), version), "heads", "bucket", "version")
+        # A bucket lies in one task, or every task would write a file of nearly every bucket.
+        bucketed = _at(heads.withColumn("bucket", _bucket()), version).hint("rebalance", "bucket")
+        self._write(bucketed, "heads", "bucket", "version")
         if self.segment_rows is not None:
             self._write(_at(segment_ends(own, self.segment_rows), version), "segments", "version")
         rows, digest = _digest(own)
