@@ -194,3 +194,27 @@ def test_anchors_and_cut_tails(spark):
     assert flagged(kept) == {(c, 21) for c, size in SIZES.items() if size > 20}
     cut = C.cut_tails(full.filter("NOT (chain_id = 'a' AND seq > 690) AND chain_id <> 'b'"), C.chain_heads(full))
     assert {(r.chain_id, r.last_seq, r.found_seq) for r in cut.collect()} == {("a", 700, 690), ("b", 1, None)}
+
+
+def test_long_unbroken_chains_are_hashed_in_parts(spark, monkeypatch):
+    """A task that hashes gets a part of a long chain, and only what is hashed, not the chain with all its columns."""
+    monkeypatch.setattr(C, "LONG_ROWS", 90)
+    monkeypatch.setattr(C, "PART_ROWS", 40)
+    rows = entries(SIZES | {"e": 400, "f": 95})
+    parts = [[r for r in rows if r["n"] < 30], [r for r in rows if r["n"] >= 30]]
+    given, fold = [], C._fold
+
+    def recorded(ordered, *args):
+        given.append(({"original_text", "n"} & set(ordered.columns), ordered.groupBy("chain_id").count().collect()))
+        return fold(ordered, *args)
+
+    monkeypatch.setattr(C, "_fold", recorded)
+    got, heads = {}, None
+    for part in parts:
+        appended = C.append_chain(frame(spark, part), heads, ("n",))
+        got |= collected(appended)
+        heads = spark.createDataFrame(C.chain_heads(appended).collect(), "chain_id string, last_seq long, last_hash string")
+    assert got == chained(rows)
+    assert max(r["count"] for _, counts in given for r in counts) < 250
+    long = [texts for texts, counts in given if {r.chain_id for r in counts} & {"a", "e"} and max(r["count"] for r in counts) > 30]
+    assert len(long) > 5 and not any(long)

@@ -2,7 +2,9 @@
 
 Every entry's hash covers the hash of the entry before it, so a chain is computed in order, whatever its length; a
 log spreads over the cluster by having many chains. The one task of a chain streams through it and does nothing
-but hash: texts are escaped before they get there. Checking needs no order at all: it compares neighbours.
+but hash: texts are escaped before they get there. A chain of more than ``LONG_ROWS`` entries is sorted by all tasks and
+hashed run after run, each from the hash that the one before ended with; only what is hashed goes there, and the other
+columns are joined with the hashes afterwards. Checking needs no order at all: it compares neighbours.
 
 A chain that must be hashed by several tasks can be cut into segments of ``segment_rows`` entries, if the caller asks
 for it: each segment then starts from a seed that depends on the chain and the segment's number. As anybody can
@@ -14,16 +16,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.canonical import GENESIS, entry_hash, hash_head, hash_tail
-from textwarden.sources.scratch import materialise
+from textwarden.sources.scratch import materialise, new_path
 
 # Neighbours are found inside blocks of this many entries; only the last entry of each block crosses over.
 BLOCK_ROWS = 100_000
+# Unbroken chains of more new entries are sorted by range, in parts of about ``PART_ROWS``, and so many are hashed at once.
+LONG_ROWS, PART_ROWS = 800_000, 100_000
 # Lists of chains or entries are broadcast if their rows and texts together stay below this, else joined by a
 # shuffle.
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -66,7 +72,8 @@ def append_chain(
 
     The entries are written once before they are counted and hashed, so that what produced them runs once. Every
     chain is unbroken unless ``segment_rows`` is given: then chains with more new entries than that are numbered by a
-    distributed rank, and no task hashes more than a segment.
+    distributed rank, and no task hashes more than a segment. Unbroken chains with more than ``LONG_ROWS`` new entries are
+    hashed in runs, one after another.
     """
     if segment_rows is not None and segment_rows < 1:
         raise ValueError("segment_rows must be positive")
@@ -82,30 +89,39 @@ def append_chain(
     heads = heads(entries) if callable(heads) else heads
     if heads is not None:
         heads = heads.select("chain_id", "last_seq", "last_hash")
+    stored = entries
     # Escaped where the entries are read, by all cores, and not in the task of a chain.
-    entries = entries.withColumns(
-        {
-            "_head": F.expr(hash_head("action_taken", "event_type", "original_text")),
-            "_tail": F.expr(hash_tail("timestamp")),
-        }
-    )
-
-    if segment_rows is None or entries.count() <= segment_rows:
+    entries = _escaped(stored)
+    most = LONG_ROWS if segment_rows is None else segment_rows
+    total = stored.count()
+    if total <= most:
         return _hash_small(entries, heads, order_by, segment_rows)
     large = materialise(
-        entries.groupBy("chain_id").count().filter(F.col("count") > segment_rows).select("chain_id"), "large"
+        entries.groupBy("chain_id").count().filter(F.col("count") > most).select("chain_id", "count"), "large"
     )
     if large.isEmpty():
         return _hash_small(entries, heads, order_by, segment_rows)
+    rows = large.agg(F.sum("count")).first()[0]
+    large = large.select("chain_id")
     listed = _broadcast_if_small(large)
     small = _hash_small(entries.join(listed, "chain_id", "left_anti"), heads, order_by, segment_rows)
     if heads is not None:
         # Heads of large chains only; as few as those.
         heads = _broadcast_if_small(materialise(large.join(heads, "chain_id"), "large-heads"))
-    hashed = _hash_large(entries.join(listed, "chain_id", "left_semi"), heads, order_by, segment_rows)
+    if segment_rows is not None:
+        hashed = _hash_large(entries.join(listed, "chain_id", "left_semi"), heads, order_by, segment_rows)
+    elif rows < total:
+        hashed = _hash_unbroken(stored.join(listed, "chain_id", "left_semi"), rows, heads, order_by)
+    else:
+        return _hash_unbroken(stored, rows, heads, order_by)
     return small.unionByName(hashed)
 
 
+def _escaped(entries: DataFrame) -> DataFrame:
+    head, tail = hash_head("action_taken", "event_type", "original_text"), hash_tail("timestamp")
+    return entries.withColumns({"_head": F.expr(head), "_tail": F.expr(tail)})
+
+
 def _broadcast_if_small(df: DataFrame) -> DataFrame:
     texts = [F.sum(F.octet_length(c)) for c, t in df.dtypes if t == "string"]
     rows, *sizes = df.agg(F.count(F.lit(1)), *texts).first()
@@ -138,6 +154,51 @@ def _hash_large(entries: DataFrame, heads: DataFrame | None, order_by: Sequence[
     )
 
 
+def _hash_unbroken(entries: DataFrame, rows: int, heads: DataFrame | None, order_by: Sequence[str]) -> DataFrame:
+    """Long chains: what is hashed is sorted by range, and the runs of parts of a chain are hashed one after another."""
+    spark = entries.sparkSession
+    columns = ["chain_id", *order_by, "_entry"]
+    parts = -(-rows // PART_ROWS)
+    given = entries.select(*dict.fromkeys([*columns, *HASHED])).repartitionByRange(parts, *columns)
+    # Escaped behind the shuffle, as what is before it runs twice, the first time for the bounds of the ranges.
+    ranked = _escaped(_ranked(given, columns, HASHED)).drop(*HASHED)
+    path = new_path(spark, "parts")
+    ranked.write.partitionBy("_part").parquet(path)
+    ranked = spark.read.schema(ranked.schema).parquet(path)
+    runs = materialise(_with_heads(_runs(ranked), heads), "runs")
+
+    def hashed(run: list[int], start: str) -> tuple[str, list[str]]:
+        """The last hash of a run of parts and the files with all of them; the first entry links to ``start`` if its chain
+        began earlier."""
+        here = F.col("_part").between(run[0], run[-1])
+        numbered = ranked.filter(here).coalesce(1).join(F.broadcast(runs.filter(here)), ["chain_id", "_part"])
+        ordered = _seeded(numbered.withColumn("_n", _place()), None).sortWithinPartitions("_at")
+        links = materialise(_fold(ordered, start, ("_entry", "seq", "_at")), "hashes")
+        return links.agg(F.max_by("hash", "_at")).first()[0], links.inputFiles()
+
+    # Runs that a chain goes through wait for each other; others do not.
+    queues: list[list[list[int]]] = []
+    for part, before in runs.groupBy("_part").agg(F.max("_before")).orderBy("_part").collect():
+        if not before:
+            queues.append([[part]])
+        elif len(queues[-1][-1]) * PART_ROWS < LONG_ROWS:
+            queues[-1][-1].append(part)
+        else:
+            queues[-1].append([part])
+
+    def in_turn(queue: list[list[int]]) -> list[str]:
+        current, files = GENESIS, []
+        for run in queue:
+            current, written = hashed(run, current)
+            files += written
+        return files
+
+    with ThreadPoolExecutor(max_workers=min(len(queues), spark.sparkContext.defaultParallelism)) as pool:
+        files = [f for found in pool.map(inheritable_thread_target(spark)(in_turn), queues) for f in found]
+    links = spark.read.schema("_entry long, seq long, prev_hash string, hash string").parquet(*files)
+    return entries.drop("seq").join(links, "_entry").drop("_entry")
+
+
 def _rank(keys: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """``_entry, _n``: the place of each entry in its chain, with no chain in one task.
 
@@ -145,20 +206,27 @@ def _rank(keys: DataFrame, order_by: Sequence[str]) -> DataFrame:
     partitions + place in the own partition. Written once, as range boundaries are sampled anew in every run.
     """
     columns = ["chain_id", *order_by, "_entry"]
-    ranked = materialise(
-        keys.repartitionByRange(*columns)
-        .sortWithinPartitions(*columns)
-        .select("chain_id", "_entry", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")),
-        "ranked",
-    )
+    ranked = materialise(_ranked(keys.repartitionByRange(*columns), columns), "ranked")
+    return ranked.join(_runs(ranked), ["chain_id", "_part"]).select("_entry", _place().alias("_n"))
+
+
+def _ranked(by_range: DataFrame, columns: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """Every partition sorted and numbered: ``_at`` rises with ``_part`` and with the place in it."""
+    numbers = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    return by_range.sortWithinPartitions(*columns).select("chain_id", "_entry", *carried, *numbers)
+
+
+def _runs(ranked: DataFrame) -> DataFrame:
+    """``chain_id, _part, _first, _before``: where the entries of a chain begin in a part, and how many lie before it."""
     runs = ranked.groupBy("chain_id", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("chain_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
+    return runs.select(
         "chain_id", "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
-    return ranked.join(runs, ["chain_id", "_part"]).select(
-        "_entry", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("_n")
-    )
+
+
+def _place() -> Column:
+    return F.col("_before") + F.col("_at") - F.col("_first") + 1
 
 
 def _seeded(numbered: DataFrame, segment_rows: int | None) -> DataFrame:
@@ -168,15 +236,16 @@ def _seeded(numbered: DataFrame, segment_rows: int | None) -> DataFrame:
     return numbered.withColumn("seq", seq).withColumn("_seed", seed.when(F.col("_n") == 1, F.col("last_hash")))
 
 
-def _fold(ordered: DataFrame) -> DataFrame:
+def _fold(ordered: DataFrame, start: str = GENESIS, only: Sequence[str] | None = None) -> DataFrame:
+    """The rows, or their columns ``only``, with their links; the first row links to ``start`` if it has no seed."""
     dropped = {"_entry", "_n", "last_seq", "last_hash", "_seed", "_head", "_tail"}
-    kept = [f for f in ordered.schema.fields if f.name not in dropped]
+    kept = [f for f in ordered.schema.fields if (f.name not in dropped if only is None else f.name in only)]
     names = [f.name for f in kept]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["prev_hash string", "hash string"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Only the running hash is kept from batch to batch.
-        current = GENESIS
+        current = start
         for batch in batches:
             links, hashes = [], []
             columns = (batch.column(c).to_pylist() for c in ("_head", "_tail", "_seed"))
